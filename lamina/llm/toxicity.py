@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .vocabulary import Memo
 
 #: Labelled documents that are fitted: about this many, evenly by a hash of the id.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 6_000
 THRESHOLD = 0.3
 #: Features seen in fewer training documents are left out; at most MAX_FEATURES are kept.
 #: Of these, those stay whose share of toxic documents is SIGMA standard deviations or more from the mean share.
@@ -28,11 +29,6 @@ _SENTENCE = re.compile(r"[^.!?\n。！？]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence that has a letter."""
-    return [m.span() for m in _SENTENCE.finditer(text) if _WORD.search(text, *m.span())]
-
-
 def features(word: str) -> list[str]:
     return [word] if len(word) < 5 else [word, word[:4] + "*", word[:5] + "*"]
 
@@ -72,22 +68,28 @@ class Model:
         return float(-np.expm1(stay)), top[1], top[2], float(1 / (1 + np.exp(-top[0])))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 200, decay: float = 5e-3, rate: float = 0.05) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 300, decay: float = 2e-3, rate: float = 0.05) -> Model:
     """Trains by Adam on the cross-entropy of the noisy-or against document labels; no toxic label, no toxic text."""
-    bags = [[sorted({f for w in set(_WORD.findall(t[a:b].lower())) for f in features(w)}) for a, b in sentences(t)] for t in texts]
-    seen = Counter(f for bag in bags for f in {f for s in bag for f in s})
-    toxic = Counter(f for bag, y in zip(bags, labels) if y for f in {f for s in bag for f in s})
+    seen, toxic = Counter(), Counter()
+    for text, label in zip(texts, labels):
+        own = {f for w in set(_WORD.findall(text.lower())) for f in features(w)}
+        seen.update(own)
+        if label:
+            toxic.update(own)
     share = sum(labels) / max(1, len(labels))
     telling = lambda f, n: abs(toxic[f] - n * share) >= SIGMA * (n * share * (1 - share)) ** 0.5
     names = [f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= MIN_DOCS and telling(f, n)][:MAX_FEATURES]
     at = {f: i for i, f in enumerate(names)}
+    columns = Memo(lambda w: [at[f] for f in features(w) if f in at])
     cols, rows, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [at[f] for f in s if f in at]
-            cols += own
-            rows += [len(doc)] * len(own)
-            doc.append(d)
+    for d, text in enumerate(texts):
+        for m in _SENTENCE.finditer(text):
+            found = _WORD.findall(m[0].lower())
+            if found:
+                own = {c for w in found for c in columns[w]}
+                cols += sorted(own)
+                rows += [len(doc)] * len(own)
+                doc.append(d)
     cols, rows, doc, y = np.array(cols, np.int64), np.array(rows, np.int64), np.array(doc, np.int64), np.array(labels, float)
     if not len(doc) or not y.any():
         return Model({}, -8.0)
