@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary_output, bpe_codec, language_id, lm_scoring, mixing, near_dedup, token_counts, toxicity
+from . import ann, binary_output, bpe_codec, language_id, lm_scoring, media, mixing, near_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_id_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
