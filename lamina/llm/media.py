@@ -13,6 +13,7 @@ are unpacked as arrays, all others symbol by symbol.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -51,15 +52,28 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
 
 def _entropy(bits: np.ndarray) -> bytes:
     """Bits as entropy-coded bytes: padded by ones, stuffed."""
-    pad = -len(bits) % 8
-    return np.packbits(np.concatenate([bits, np.ones(pad, np.uint8)])).tobytes().replace(b"\xff", b"\xff\x00")
+    data, pad = np.packbits(bits).tobytes(), -len(bits) % 8
+    if pad:
+        data = data[:-1] + bytes([data[-1] | (1 << pad) - 1])
+    return data.replace(b"\xff", b"\xff\x00")
 
 
-def _scan(components: list[tuple[int, int]], start: int, end: int, high: int, low: int, bits: np.ndarray) -> bytes:
-    head = bytes([len(components)]) + b"".join(bytes([c, t]) for c, t in components) + bytes([start, end, high << 4 | low])
-    return _segment(0xDA, head) + _entropy(bits)
+@functools.lru_cache(256)
+def _scan_head(components: tuple, start: int, end: int, high: int, low: int) -> bytes:
+    return _segment(0xDA, bytes([len(components)]) + b"".join(bytes([c, t]) for c, t in components) + bytes([start, end, high << 4 | low]))
 
 
+def _scan(components: tuple, start: int, end: int, high: int, low: int, bits: np.ndarray | bytes) -> bytes:
+    data = bits.replace(b"\xff", b"\xff\x00") if isinstance(bits, bytes) else _entropy(bits)
+    return _scan_head(components, start, end, high, low) + data
+
+
+@functools.lru_cache(4)
+def _tables(s: int) -> bytes:
+    return _table(0x00, list(range(12)), 4) + _table(0x10, [s - 1], 1) + _table(0x11, [s], 1) + _table(0x12, [0], 1)
+
+
+@functools.lru_cache(512)
 def _mcu_order(rows: int, cols: int, sampling: tuple[int, int]) -> np.ndarray:
     """Places, in a component of rows x cols MCUs, of its blocks in the order of interleaved scans: (MCU, block)."""
     v, h = sampling
@@ -91,7 +105,9 @@ def encode_payload(payload: bytes) -> bytes:
     diff = []
     for c, o in zip(dc, orders):
         x = (c >> 1)[o].reshape(-1)
-        diff.append(np.diff(x, prepend=np.int16(0)).reshape(o.shape))
+        y = x.copy()
+        y[1:] -= x[:-1]
+        diff.append(y.reshape(o.shape))
     d = np.concatenate(diff, axis=1).reshape(-1).astype(np.int64)
     size = np.zeros(len(d), np.int64)
     nonzero = d != 0
@@ -104,9 +120,9 @@ def encode_payload(payload: bytes) -> bytes:
     out = [
         b"\xff\xd8", _segment(0xFE, struct.pack(">QB", len(payload), len(used) - 1) + used.tobytes()), _segment(0xDB, b"\x00" + b"\x01" * 64),
         _segment(0xC2, struct.pack(">BHHB", 8, rows * 16, cols * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
-        _table(0x00, list(range(12)), 4), _table(0x10, [s - 1], 1), _table(0x11, [s], 1), _table(0x12, [0], 1),
+        _tables(s),
     ]
-    out.append(_scan([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 1, dc_bits))
+    out.append(_scan(((1, 0), (2, 0), (3, 0)), 0, 0, 0, 1, dc_bits))
     a, b = LOW
     for i, p in enumerate(parts):
         x = p[:, a : b + 1]
@@ -115,15 +131,22 @@ def encode_payload(payload: bytes) -> bytes:
         first = np.where(x >= half, magnitude >> 1, (full >> 1) - (magnitude >> 1))
         bits = np.zeros((x.size, s), np.uint8)
         bits[:, 1:] = _bits(first.reshape(-1), s - 1)
-        out.append(_scan([(i + 1, 0x00)], a, b, 0, 1, bits.reshape(-1)))
-        out.append(_scan([(i + 1, 0x01)], *HIGH, 0, 0, (_bits(p[:, HIGH[0] :].reshape(-1), s + 1)).reshape(-1)))
+        out.append(_scan(((i + 1, 0x00),), a, b, 0, 1, bits.reshape(-1)))
+        rest = p[:, HIGH[0] :]  # a code and its magnitude bits are one byte if s is 7
+        out.append(_scan(((i + 1, 0x01),), *HIGH, 0, 0, rest.astype(np.uint8).tobytes() if s == 7 else _bits(rest.reshape(-1), s + 1).reshape(-1)))
         fix = np.zeros((len(p), b - a + 2), np.uint8)
         fix[:, 1:] = magnitude & 1
-        out.append(_scan([(i + 1, 0x02)], a, b, 1, 0, fix.reshape(-1)))
-    out.append(_scan([(1, 0), (2, 0), (3, 0)], 0, 0, 1, 0, low))
+        out.append(_scan(((i + 1, 0x02),), a, b, 1, 0, fix.reshape(-1)))
+    out.append(_scan(((1, 0), (2, 0), (3, 0)), 0, 0, 1, 0, low))
     return b"".join(out) + b"\xff\xd9"
 
 
+@functools.lru_cache(512)
+def _grid(all_rows: int, all_cols: int, rows: int, cols: int) -> np.ndarray:
+    """Places of the blocks that a scan of one component has."""
+    return np.arange(all_rows * all_cols).reshape(all_rows, all_cols)[:rows, :cols].reshape(-1, 1)
+
+
 class _Reader:
     """Bits of an entropy-coded part."""
 
@@ -153,11 +176,36 @@ def _extend(x: int, s: int) -> int:
     return x if not s or x >> (s - 1) else x - (1 << s) + 1
 
 
+@functools.lru_cache(16)
+def _lookups(codes: tuple[bytes, bytes]) -> list[tuple[int, int]]:
+    """(length, symbol) for each 16 bits; length 0 where no code matches."""
+    table, code, i = [(0, 0)] * 65536, 0, 0
+    for length, n in enumerate(codes[0], 1):
+        for _ in range(n):
+            first = code << (16 - length)
+            table[first : first + (1 << (16 - length))] = [(length, codes[1][i])] * (1 << (16 - length))
+            code, i = code + 1, i + 1
+        code <<= 1
+    return table
+
+
+@functools.lru_cache(16)
+def _differences(codes: tuple[bytes, bytes]) -> list[tuple[int, int | None]]:
+    """(length with magnitude bits, difference) for each 16 bits; (size and code length, None) if they are more."""
+    out: list[tuple[int, int | None]] = []
+    for w, (length, s) in enumerate(_lookups(codes)):
+        if length + s <= 16:
+            out.append((length + s if length else 0, _extend(w >> (16 - length - s) & (1 << s) - 1, s)))
+        else:
+            out.append((s << 8 | length, None))
+    return out
+
+
 class Decoder:
     """Decodes one progressive file: coefficients (component -> array (rows, cols, 64) in zigzag order)."""
 
     def __init__(self, data: bytes, arrays: bool = True):
-        self.arrays, self.quant, self.huffman, self.single = arrays, {}, {}, {}
+        self.arrays, self.quant, self.huffman, self.codes, self.single = arrays, {}, {}, {}, {}
         self.coefficients: dict[int, np.ndarray] = {}
         self.sampling: dict[int, tuple[int, int, int]] = {}
         self.comment, self.interval, at = b"", 0, 2
@@ -199,25 +247,13 @@ class Decoder:
             key, counts = body[0], body[1:17]
             n = sum(counts)
             self.single[key] = body[17] if n == 1 and counts[0] == 1 else None
-            self.huffman[key] = (counts, body[17 : 17 + n])
+            self.huffman[key] = self.codes[key] = (counts, body[17 : 17 + n])
             body = body[17 + n :]
 
     def _lookup(self, key: int) -> list[tuple[int, int]]:
         found = self.huffman[key]
         if isinstance(found, tuple):
-            key16 = hash(found)
-            if key16 not in _LOOKUPS:
-                if len(_LOOKUPS) > 64:
-                    _LOOKUPS.clear()
-                table, code, i = [(0, 0)] * 65536, 0, 0
-                for length, n in enumerate(found[0], 1):
-                    for _ in range(n):
-                        first = code << (16 - length)
-                        table[first : first + (1 << (16 - length))] = [(length, found[1][i])] * (1 << (16 - length))
-                        code, i = code + 1, i + 1
-                    code <<= 1
-                _LOOKUPS[key16] = table
-            found = self.huffman[key] = _LOOKUPS[key16]
+            found = self.huffman[key] = _lookups(found)
         return found
 
     def _frame(self, body: bytes) -> None:
@@ -253,8 +289,7 @@ class Decoder:
             c = own[0][0]
             h, v, _ = self.sampling[c]
             rows, cols = -(-(-(-self.height * v // self.v)) // 8), -(-(-(-self.width * h // self.h)) // 8)
-            grid = np.arange(self.coefficients[c].shape[0] * self.coefficients[c].shape[1]).reshape(self.coefficients[c].shape[:2])
-            units = [(c, own[0][1], grid[:rows, :cols].reshape(-1, 1))]
+            units = [(c, own[0][1], _grid(*self.coefficients[c].shape[:2], rows, cols))]
         else:
             units = [(c, t, _mcu_order(self.rows, self.cols, self.sampling[c][1::-1])) for c, t in own]
         if self.arrays and len(parts) == 1:
@@ -282,44 +317,65 @@ class Decoder:
         """A scan with one symbol of one bit: (run 0, size s) throughout, or an end of block with correction bits."""
         c, t, order = unit
         symbol = self.single.get(0x10 | (t & 15))
-        blocks, m = order[:, 0], end - start + 1
         flat = self.coefficients[c].reshape(-1, 64)
+        blocks, m = slice(None) if len(order) == len(flat) else order[:, 0], end - start + 1
+        count = len(order)
         bits = np.frombuffer(part, np.uint8)
         if symbol and not high and symbol < 16:
-            s, n = symbol, len(blocks) * m
+            s, n = symbol, count * m
             if len(bits) * 8 < n * (s + 1):
                 return False
-            if s == 7:
+            if s == 7:  # a code and its magnitude bits are one byte
                 v = bits[:n].astype(np.int16)
+            elif s <= 8:
+                v = np.packbits(np.unpackbits(bits, count=n * (s + 1)).reshape(n, s + 1)[:, 1:], axis=1).reshape(-1).astype(np.int16) >> (8 - s)
             else:
-                v = np.unpackbits(bits, count=n * (s + 1)).reshape(n, s + 1) @ (1 << np.arange(s, -1, -1)).astype(np.int16)
-            value = np.where(v >> (s - 1), v, v - (1 << s) + 1) << low
-            flat[blocks, start : end + 1] = value.reshape(len(blocks), m)
+                return False
+            v -= (v < 1 << (s - 1)) * np.int16((1 << s) - 1)
+            flat[blocks, start : end + 1] = (v << low).reshape(count, m)
             return True
         if symbol == 0 and high:
             x = flat[blocks, start : end + 1]
-            if not (x != 0).all() or len(bits) * 8 < len(blocks) * (m + 1):
+            if not (x != 0).all() or len(bits) * 8 < count * (m + 1):
                 return False
-            fix = np.unpackbits(bits, count=len(blocks) * (m + 1)).reshape(-1, m + 1)[:, 1:].astype(np.int16) << low
+            fix = np.unpackbits(bits, count=count * (m + 1)).reshape(-1, m + 1)[:, 1:].astype(np.int16) << low
             flat[blocks, start : end + 1] = np.where(x > 0, x + fix, x - fix)
             return True
         return False
 
+    def _dc_first(self, units: list, part: bytes, mcus: range, low: int) -> None:
+        """First DC scan: one lookup of 16 bits gives a code with its magnitude bits, where they fit."""
+        data, at, count = part + b"\xff" * 8, 0, [u[2].shape[1] for u in units]
+        tables = [_differences(self.codes[u[1] >> 4]) for u in units for _ in range(u[2].shape[1])]
+        found = []
+        for _ in mcus:
+            for table in tables:
+                i = at >> 3
+                length, value = table[(data[i] << 16 | data[i + 1] << 8 | data[i + 2]) >> (8 - (at & 7)) & 0xFFFF]
+                if value is None:  # more than 16 bits together
+                    s, w = length >> 8, int.from_bytes(data[i : i + 6], "big")
+                    length = (length & 255) + s
+                    value = _extend(w >> (48 - (at & 7) - length) & (1 << s) - 1, s)
+                if not length:
+                    raise ValueError("broken Huffman code")
+                at += length
+                found.append(value)
+        d, k = np.array(found, np.int64).reshape(-1, len(tables)), 0
+        for (c, _, order), n in zip(units, count):
+            values = np.cumsum(d[:, k : k + n].reshape(-1)) << low
+            self.coefficients[c].reshape(-1, 64)[order[mcus.start : mcus.stop].reshape(-1), 0] = values
+            k += n
+
     def _symbols(self, units: list, part: bytes, mcus: range, start: int, end: int, high: int, low: int) -> None:
         """Decodes MCUs of a scan symbol by symbol."""
         r = _Reader(part)
+        if start == 0 and not high:
+            return self._dc_first(units, part, mcus, low)
         if start == 0:
-            last = dict.fromkeys((u[0] for u in units), 0)
-            flats = {u[0]: (self.coefficients[u[0]].reshape(-1, 64), None if high else self._lookup(u[1] >> 4), u[2].tolist()) for u in units}
             for i in mcus:
-                for c, (flat, table, order) in flats.items():
-                    for b in order[i]:
-                        if high:
-                            flat[b, 0] |= r.take(1) << low
-                        else:
-                            s = r.symbol(table)
-                            last[c] += _extend(r.take(s), s)
-                            flat[b, 0] = last[c] << low
+                for c, _, order in units:
+                    for b in order[i].tolist():
+                        self.coefficients[c].reshape(-1, 64)[b, 0] |= r.take(1) << low
             return
         c, t, order = units[0]
         table, flat, run = self._lookup(0x10 | (t & 15)), self.coefficients[c].reshape(-1, 64), 0
@@ -407,9 +463,6 @@ class Decoder:
         return used[np.where(c > 0, c, c + full)].tobytes()
 
 
-_LOOKUPS: dict[int, list[tuple[int, int]]] = {}
-
-
 def padded(text: str | None) -> bytes:
     """A text's UTF-8 bytes with zeros up to a positive multiple of 64."""
     data = (text or "").encode("utf-8", "surrogatepass")
