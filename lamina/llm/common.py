@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words in every operator that counts words: runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,10 +37,44 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to shared storage and reads it: cuts lineage and survives lost executors."""
+    """Writes df to shared storage and reads it: cuts lineage and survives lost executors.
+
+    discard() removes the table; others stay until the folder is cleaned after the application."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lamina_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of stored() that no later plan reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lamina_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(docs: DataFrame, function: Callable, added: str) -> DataFrame:
+    """docs with the columns of `added` (DDL) that function(texts) gives for each text as a list of lists.
+
+    All columns of docs travel along, so no join by a key has to bring them back."""
+    prepare(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(added).fields])
+    kinds = to_arrow_schema(T._parse_datatype_string(added))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            first = size = 0
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size >= 1 << 20 or i == len(texts) - 1:
+                    columns = function([t or "" for t in texts[first : i + 1]])
+                    part = batch.slice(first, i + 1 - first)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, f.type) for c, f in zip(columns, kinds))], names=[*part.schema.names, *kinds.names])
+                    first, size = i + 1, 0
+
+    return docs.mapInArrow(run, schema)
 
 
 def remainder(col: str | Column, modulus: int) -> Column:

@@ -143,32 +143,28 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, dimensions: int = DIMENSI
 
 
 def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, gram: int = GRAM) -> DataFrame:
-    """doc_id, lang_pred, score (cosine, 0 to 1) of every row of docs (doc_id, text).
+    """docs (text and any other columns) with lang_pred and score (cosine, 0 to 1) of every row.
 
     Null texts and texts without letters, and all texts where no language was learned, are `und` with
-    score 0. Equal cosines go to the first language by name. Only the text is read."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    shared = spark.sparkContext.broadcast((languages, prototypes))  # at most MAX_LANGUAGES prototypes
+    score 0. Equal cosines go to the first language by name. Only the text is read. Columns of docs may
+    not be named lang_pred or score."""
+    shared = docs.sparkSession.sparkContext.broadcast((languages, prototypes))  # at most MAX_LANGUAGES prototypes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: list[str]) -> tuple[list, list]:
         names, table = shared.value
-        own = space(table.shape[1], gram)
-        for ids, texts in common.text_slices(batches, 1 << 20):
-            profiles, has = own.profiles(texts)
-            if names:
-                cosines = profiles @ table.T
-                best = cosines.argmax(axis=1)
-                pred = [names[b] if h else UNDETERMINED for b, h in zip(best, has)]
-                score = np.where(has, np.clip(cosines[np.arange(len(texts)), best].astype(float), 0, 1), 0.0)
-            else:
-                pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        if not names:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        profiles, has = space(table.shape[1], gram).profiles(texts)
+        cosines = profiles @ table.T
+        best = cosines.argmax(axis=1)
+        pred = [names[b] if h else UNDETERMINED for b, h in zip(best, has)]
+        return pred, np.where(has, np.clip(cosines[np.arange(len(texts)), best].astype(float), 0, 1), 0.0)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.carried(docs, score, "lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; prototypes come from rows whose crc32(doc_id) mod 4 is not 2."""
     langs, prototypes = train(docs.where(~common.held_out("doc_id", 4, 2)))
-    return identify(docs, langs, prototypes).select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return identify(rows, langs, prototypes).select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

@@ -12,7 +12,7 @@ before it. A source with most of the rows therefore spreads over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,11 +47,16 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (number of words, null text: 0), order (a hash of id and text that shuffles)."""
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.xxhash64("doc_id", F.crc32("text")).alias("order"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), shuffling(docs).alias("order"))
+
+
+def shuffling(docs: DataFrame) -> Column:
+    """The place of a row in its source's shuffled order."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.crc32(docs["text"]))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, copies, finish, taken of every row of docs (doc_id, text, source).
+    """doc_id, order, size, source_size, target, copies, finish, taken of every row of docs (doc_id, text, source).
 
     taken: words that the mix takes in all passes; the document at a source's border is cut where the
     budget ends. copies: times that a mix of whole documents has it (the border one if its middle is
@@ -79,4 +84,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     finish = F.try_divide(end.cast("double"), F.col("target"))
     start, whole = end - F.col("size"), F.round("target").cast("long")
     taken = sum((F.least(F.greatest(whole - F.lit(e) * F.col("source_size") - start, F.lit(0)), F.col("size")) for e in range(most)), F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), finish.alias("finish"), taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "order", "size", "source_size", "target", copies.alias("copies"), finish.alias("finish"), taken.cast("long").alias("taken"))

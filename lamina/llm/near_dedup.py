@@ -138,7 +138,8 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         small_min = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(small_min, F.col("a") == F.col("k"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = common.stored(small, name)
+        last, e = e, common.stored(small, name)
+        common.discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         # a forest of stars: each node has one parent, and no parent has a parent
         if now[0] == now[2] and (now == before or e.join(e.select(F.col("a").alias("p")), F.col("b") == F.col("p"), "left_semi").isEmpty()):

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ MAX_TRAIN = 6_000
 THRESHOLD = 0.3
 #: Features seen in fewer training documents are left out; at most MAX_FEATURES are kept.
 #: Of these, those stay whose share of toxic documents is SIGMA standard deviations or more from the mean share.
-MIN_DOCS, MAX_FEATURES, SIGMA = 8, 60_000, 2.5
+MIN_DOCS, MAX_FEATURES, SIGMA = 3, 60_000, 2.5
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -125,25 +123,24 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted, and the most toxic sentence (top_start, top_end, top_score) of every row.
+    """docs (text and any other columns) with score, predicted and the most toxic sentence (top_start,
+    top_end in characters, top_score) of every row.
 
-    Only the text is read. Null and empty texts have no sentence: score 0, not toxic. Places are in
-    characters. Rows of equal or null ids stay rows of their own; no shuffle."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    shared = spark.sparkContext.broadcast((model.weights, model.bias))  # at most MAX_FEATURES weights
+    Only the text is read. Null and empty texts have no sentence: score 0, not toxic. Columns of docs may
+    not have the names of the added ones; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # at most MAX_FEATURES weights
     cache: dict[str, Model] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = cache.setdefault("model", Model(*shared.value))
-        for ids, texts in common.text_slices(batches):
-            found = [own.score(t) for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([x[0] for x in found], pa.float64()), pa.array([int(x[0] >= threshold) for x in found], pa.int32()), *(pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)), pa.array([x[3] for x in found], pa.float64())], ["doc_id", "score", "predicted", "top_start", "top_end", "top_score"])
+    def run(texts: list[str]) -> list[list]:
+        if "model" not in cache:
+            cache["model"] = Model(*shared.value)
+        found = list(map(cache["model"].score, texts))
+        return [[x[0] for x in found], [int(x[0] >= threshold) for x in found], *([x[k] for x in found] for k in (1, 2, 3))]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, top_start long, top_end long, top_score double")
+    return common.carried(docs, run, "score double, predicted int, top_start long, top_end long, top_score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """score() of all docs with held_out; learned from labels whose crc32(doc_id) mod 4 is not 2."""
     model = train(docs, labels.where(~common.held_out("doc_id", 4, 2)))
-    return score(docs, model).select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "top_start", "top_end", "top_score")
+    return score(docs.select(F.col("doc_id").cast("long"), "text"), model).select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "top_start", "top_end", "top_score")
