@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ BLOCK, PERCENTILE = 1024, 0.98
 #: Ids in a file: whole documents until this many are reached.
 FILE_IDS = 1 << 19
 _HEAD, _MAGIC = struct.Struct("<4sIQII"), b"PFR1"
-_ENCODERS: dict[int, Memo] = {}
+_ENCODERS: dict[int, "_Encoder"] = {}
+_CLOSING = frozenset(".,;:!?")
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -78,19 +80,44 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def encoder(content: str):
-    """text -> little-endian bytes of its ids, by the tokenizers library; equal runs are encoded once."""
-    key = hash(content)
-    if key not in _ENCODERS:
-        library = vocabulary(content).library
-        _ENCODERS[key] = Memo(lambda run: np.array(library.encode(run, add_special_tokens=False).ids, "<u4").tobytes(), 800_000)
-    runs = _ENCODERS[key]
+class _Encoder:
+    """text -> little-endian bytes of its ids, by the tokenizers library; equal runs are encoded once.
+
+    A run that is not known yet is cut where every byte-level splitter of this family cuts: at a single line
+    feed between signs, and between a Latin letter and one closing sign after it."""
+
+    def __init__(self, content: str):
+        self.library = vocabulary(content).library
+        self.plain = Memo(self._plain, 400_000)
+        self.spaced = Memo(self._spaced, 800_000)
+
+    def _ids(self, run: str) -> bytes:
+        return array("I", self.library.encode(run, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, run: str) -> bytes:
+        return self._ids(run) if len(run) < 2 else self._cut("", run, self.plain)
 
-    def encode(text: str) -> bytes:
+    def _spaced(self, run: str) -> bytes:
+        return self._cut(" ", run, self.spaced)
+
+    def _cut(self, before: str, run: str, own: Memo) -> bytes:
+        head, feed, rest = run.partition("\n")
+        if feed and head and rest and not head[-1].isspace() and not rest[0].isspace():
+            return own[head] + self.plain[feed] + self.plain[rest]
+        if run[-1:] in _CLOSING and len(run) > 1 and run[-2] < "\u0180" and run[-2].isalpha() and "<|" not in run:
+            return own[run[:-1]] + self.plain[run[-1]]
+        return self._ids(before + run)
+
+    def __call__(self, text: str) -> bytes:
         head, *rest = spaced_runs(text)
-        return runs[head] + b"".join([runs[" " + r] for r in rest])
+        return self.plain[head] + b"".join(map(self.spaced.__getitem__, rest)) if "<|" not in text else self._ids(text)
+
 
-    return encode
+def encoder(content: str) -> _Encoder:
+    key = hash(content)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = _Encoder(content)
+    return _ENCODERS[key]
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
