@@ -16,7 +16,7 @@ from lamina.llm import bpe_codec, common, language_id, mixing, near_dedup, toxic
 #: Columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes whose text is in no learned language, has no letter, or is less like its language than this.
-MIN_COSINE = 0.3
+MIN_COSINE = 0.05
 #: A document goes whose toxicity score reaches this.
 MAX_TOXICITY = 0.3
 
