@@ -129,7 +129,12 @@ def word_hashes(texts: list[str], lower: str = "unicode") -> tuple[np.ndarray, n
     """64-bit hashes of all words of the texts, and the number of words in each text.
 
     lower: 'unicode' lower-cases all letters, 'ascii' A-Z only. A word's hash is a polynomial of its
-    bytes modulo 2**64, taken from prefix sums, then mixed with its length; equal words, equal hashes."""
+    bytes modulo 2**64, taken from prefix sums, then mixed with its length; equal words, equal hashes.
+    Texts of over a million characters together are hashed in parts, which bounds the arrays."""
+    if len(texts) > 1 and sum(map(len, texts)) > 1 << 20:
+        half = len(texts) // 2
+        (h, n), (g, m) = word_hashes(texts[:half], lower), word_hashes(texts[half:], lower)
+        return np.concatenate([h, g]), np.concatenate([n, m])
     data = "\n".join([t.lower() for t in texts] if lower == "unicode" else texts).encode("utf-8", "surrogatepass")
     b = np.frombuffer(data.lower() if lower == "ascii" else data, np.uint8)
     if not len(b):
