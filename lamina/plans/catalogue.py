@@ -292,9 +292,9 @@ def search_empty_filter(spark, d):
     return _search(spark, d, collections=[])
 
 
-@query(f"SELECT vec_id, list_sum(list_transform(embedding, lambda x: {F16('x * 100')} * 16777216))::BIGINT AS total FROM embeddings")
+@query(f"SELECT vec_id, list_sum(list_transform(embedding, lambda x: {F16('x')} * 16777216))::BIGINT AS total FROM embeddings")
 def f16_quantize(spark, d):
-    scaled = F.transform("embedding", lambda x: V.f16(x * F.lit(100).cast("float")) * 16777216)
+    scaled = F.transform("embedding", lambda x: V.f16(x) * 16777216)
     return table(spark, d, "embeddings").select("vec_id", F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))
 
 
