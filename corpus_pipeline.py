@@ -15,8 +15,10 @@ from lamina.llm import bpe_codec, common, language_id, mixing, near_dedup, toxic
 
 #: Columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes whose text is in no learned language, has no letter, or is less like its language than this.
-MIN_COSINE = 0.05
+#: A document goes that has no letter, or has MIN_LETTERS or more and is less like every learned language than
+#: MIN_COSINE, which is over three standard deviations of the cosine of unrelated profiles of 1024 dimensions.
+#: Shorter texts say too little about their language to go by the cosine.
+MIN_COSINE, MIN_LETTERS = 0.1, 40
 #: A document goes whose toxicity score reaches this.
 MAX_TOXICITY = 0.3
 
@@ -24,11 +26,14 @@ ORACLE_SQL = None
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose profile is near a language's prototype; und and unlike texts go."""
+    """Keeps documents whose profile is near a language's prototype; null texts, texts without letters and texts unlike
+    every learned language go. All go where no language was learned."""
     docs = docs.select(*COLUMNS)
     names, prototypes = language_id.train(docs.where(~common.held_out("doc_id", 4, 2)))
     found = language_id.identify(docs, names, prototypes)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_COSINE)).select(*COLUMNS)
+    letters = F.regexp_count("text", F.lit(r"\p{L}"))
+    near = (F.col("score") >= MIN_COSINE) | (letters < MIN_LETTERS)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & near).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import shutil
 from pathlib import Path
 
@@ -38,3 +39,14 @@ def test_odd_rows(spark, tmp_path):
     for stage in (P.keep_languages, P.drop_near_duplicates, P.mix):
         assert stage(spark, docs.where("false"), "").count() == 0
     assert P.mix(spark, docs, "").where(F.col("text").isNull()).count() == 0
+
+
+def test_texts_of_unlearned_languages_go(spark):
+    """Texts in letters that no learned language has go, short and mixed texts of a learned language stay."""
+    rng = random.Random(3)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcdefgh", 40), "x", "a", 1) for i in range(40)]
+    rows += [(100 + i, text(letters, 60), None, "a", 1) for i, letters in enumerate(["абвгдежз", "αβγδεζηθ", "אבגדהוזח", "กขคฆงจฉช"] * 5)]
+    rows += [(200, "ab.", None, "a", 1), (201, "12 !?", None, "a", 1), (202, text("abcdefgh", 30) + " " + text("абвгд", 10), None, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.keep_languages(spark, docs, "").collect()) == [*range(40), 200, 202]
