@@ -51,8 +51,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def shuffling(docs: DataFrame) -> Column:
-    """The place of a row in its source's shuffled order."""
-    return F.xxhash64(docs["doc_id"].cast("long"), F.crc32(docs["text"]))
+    """The place of a row in its source's shuffled order: the first 60 bits of an MD5 of id and text."""
+    key = F.md5(F.concat_ws(" ", docs["doc_id"].cast("long").cast("string"), F.md5(docs["text"].cast("binary"))))
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -69,7 +70,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         raise ValueError(f"more than {MAX_SOURCES} sources")
     goal = targets({r["source"]: r["size"] for r in totals}, weights, most)
     table = spark.createDataFrame([(r["source"], r["size"], float(goal[r["source"]]), max(1, -(-r["n"] // BUCKET_ROWS))) for r in totals], "source string, source_size long, target double, buckets long")
-    key = F.floor((F.shiftrightunsigned("order", 32).cast("double") / F.lit(float(1 << 32))) * F.col("buckets")).cast("long")
+    key = F.floor((F.shiftright("order", 28).cast("double") / F.lit(float(1 << 32))) * F.col("buckets")).cast("long")
     # the table of sources is bounded by MAX_SOURCES
     rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).select("doc_id", rows["source"], "size", "order", "source_size", "target", key.alias("bucket"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lamina.llm import ann, binary_output, bpe_codec, common, language_id, lm_scoring, media, mixing, near_dedup, token_counts, toxicity
+from lamina.llm import ann, binary_output, bpe_codec, common, language_id, lm_scoring, media, mixing, near_dedup, queries, token_counts, toxicity
 from lamina.llm.vocabulary import read_content, vocabulary
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -213,6 +213,22 @@ def test_mixing(docs, rows):
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+def test_mixing_sql(spark, docs, tmp_path):
+    """The query and its SQL agree on odd rows, on a source that fills its cap, and on no rows."""
+    import duckdb
+
+    long = spark.createDataFrame([(1000 + i, "word " * 40, s) for i, s in enumerate(["c", "c", "c", "d", None])], "doc_id long, text string, source string")
+    for name, part in (("odd", docs), ("capped", docs.unionByName(long, allowMissingColumns=True)), ("none", docs.where("false"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        exp = con.sql(queries.MIXING_SQL)
+        got = queries.op7_mixing(spark, f"{tmp_path}/{name}")
+        assert got.columns == exp.columns
+        key = lambda r: tuple((v is not None, v) for v in r)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(exp.fetchall(), key=key)
+
+
 def test_media(docs, rows):
     got = media.media_features(docs).collect()
     exp = Counter()
