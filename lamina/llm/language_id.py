@@ -33,7 +33,7 @@ class Space:
         self.classes = np.zeros(0x110000, np.int8)  # 0 unknown, 1 letter, 2 other
         self.letters: dict[int, np.ndarray] = {}
         self.grams: dict[int, int] = {}
-        self.table = np.zeros((1024, dimensions), np.float32)
+        self.table = np.zeros((1024, dimensions), np.int8)  # +1 and -1; workers keep it from stage to stage
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -53,7 +53,8 @@ class Space:
         if len(self.grams) + len(grams) > self.most:
             self.grams.clear()
         if len(self.grams) + len(grams) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((len(self.grams) + len(grams), self.dimensions), np.float32)])
+            more = max(len(self.grams) + len(grams), min(2 * len(self.table), self.most)) - len(self.table)
+            self.table = np.concatenate([self.table, np.zeros((more, self.dimensions), np.int8)])
         out = np.empty(len(grams), np.int64)
         for i, g in enumerate(grams.tolist()):
             at = self.grams.get(g)
@@ -96,7 +97,8 @@ class Space:
                 m = min(128, len(texts) - first)
                 counts = np.bincount((doc[own] - first) * len(part) + inverse[own] - at, minlength=m * len(part)).reshape(m, len(part)).astype(np.float32)
                 used = np.flatnonzero(counts.any(axis=0))
-                out[first : first + m] += counts[:, used] @ self.table[rows[used]]
+                for some in np.array_split(used, len(used) // 4096 + 1):
+                    out[first : first + m] += counts[:, some] @ self.table[rows[some]].astype(np.float32)
         norm = np.linalg.norm(out, axis=1)
         return out / np.maximum(norm, 1e-9)[:, None], has
 
