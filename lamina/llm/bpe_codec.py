@@ -24,8 +24,8 @@ class Codec:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.pieces = Memo(lambda p: [vocab.ids[t] for t in self.merge(vocab.symbols(p))])
-        self.runs = Memo(self._run)
+        self.pieces = Memo(lambda p: [vocab.ids[t] for t in self.merge(vocab.symbols(p))], 100_000)
+        self.runs = Memo(self._run, 250_000)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Parts of a piece: boundaries and the rank of each adjacent pair lie in two lists side by side."""
