@@ -1,26 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter (operator 6).
 
-Counts of words and word pairs are taken over all training documents, as packed sorted arrays of hashes
-that are dealt by hash range and merged. Pair counts are quantised to q = 1 + floor(log2 c); the filter
-holds (pair, 1) ... (pair, q), and a count is read by probing levels until one is missing. The filter is
-blocked: a pair's probes lie in one block of 512 bits, so that segments are filled apart and joined.
+Texts are cut into stored slices of packed tokens. Each slice deals its distinct words and word pairs, with their
+counts in training documents, by hash range to shards. A shard merges the counts. For words it answers each slice
+with exact counts. For pairs it quantises the counts to q = 1 + floor(log2 c), fills its segment of the filter with
+(pair, 1) ... (pair, q), and answers each slice with the levels read from it, by probing until one is missing. The
+answers meet their slice again in a join, where texts are scored.
 
-The filter has a fixed greatest size. The pairs that enter it are those of at least c_min occurrences,
-where c_min is the least count with which the keys fit, found from the histogram of all pair counts.
-Other pairs back off to word counts, which are exact: those of the commonest words (a bounded table) are
-broadcast, and occurrences of other words meet their counts in a join.
+All pairs of training documents enter, and all words have their counts: a segment is as large as its keys need, and
+the number of shards follows the input. Segments are blocked: a pair's probes lie in one block of 512 bits. They are
+kept in the stored table of answers, in rows without a slice.
 
-Score of word w after v, with c exact for words, ~c the filter's reading:
+Score of word w after v, with c exact for words, ~c the filter's reading, at most c(v) and c(w):
   log10 (~c(v, w) + MU * p(w)) / (c(v) + MU),  p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +26,20 @@ from pyspark.sql import functions as F
 from . import common
 
 MU = 200.0
-#: Greatest size of the filter, bits for each key, hash functions, and segments it is filled by.
-FILTER_BYTES, BITS_PER_KEY, PROBES, SEGMENTS = 64 << 20, 10, 6, 64
-#: Words in the broadcast table.
+#: Bits for each key of the filter, and hash functions.
+BITS_PER_KEY, PROBES = 10, 6
+#: Bytes of a filter's segment, about; segments are as many as the input needs.
+FILTER_BYTES = 2 << 20
+#: Distinct words of a shard, about.
 HOT_WORDS = 1 << 20
-#: Distinct hashes that a merging task holds, about.
-SHARD = 2_000_000
+#: Characters of a slice, about.
+SLICE = 4 << 20
 #: The end token: a hash that no word has but by chance.
 END = np.uint64(0xE4D0E4D0E4D0E4D0)
 _LEVELS = 40
+_WORDS, _PAIRS = 0, 1
+#: Pairs that are probed at once.
+_AT_ONCE = 1 << 18
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,39 +68,24 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return h[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def count_hashes(train: DataFrame, shards: int, pairs: bool, least: int) -> DataFrame:
-    """Stored (shard, hashes, counts, total, histogram) over all texts of train: packed sorted uint64 and
-    int64 arrays. Hashes counted under least times appear in the histogram alone."""
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as bytes by place, so that the places that are nearly all 0 compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in common.text_slices(batches, 6 << 20):
-            t, n = tokens(texts)
-            h, c = np.unique(pair_hashes(t, n) if pairs else t, return_counts=True)
-            shard = ((h >> np.uint64(32)).astype(np.uint64) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[s], cuts[s + 1]
-                yield pa.record_batch([pa.array([s], pa.int32()), pa.array([h[a:b].tobytes()], pa.binary()), pa.array([c[a:b].astype(np.uint32).tobytes()], pa.binary())], ["shard", "h", "c"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, c = _counted([(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32).astype(np.int64)) for x, y in zip(pdf["h"], pdf["c"])])
-        bins = np.bincount(np.where(c < 1024, c, 1023 + np.ceil(np.log2(np.maximum(c, 1)) * 8).astype(np.int64)), minlength=2)
-        keep = c >= least
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "hashes": [h[keep].tobytes()], "counts": [c[keep].astype(np.int64).tobytes()], "total": [int(c.sum())], "histogram": [bins.tolist()]})
 
-    rows = train.select(F.lit(0).alias("k"), "text").mapInArrow(gather, "shard int, h binary, c binary")
-    return common.stored(rows.groupBy("shard").applyInPandas(merge, "shard int, hashes binary, counts binary, total long, histogram array<long>"), "counts")
+def _whole(b: bytes, kind: type) -> np.ndarray:
+    """The integers of _planes()."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _histogram(counted: DataFrame) -> dict[int, int]:
-    """Number of hashes by count, counts from 1024 on in steps of an eighth of an octave: under 2,000 rows."""
-    rows = counted.select(F.posexplode("histogram").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).where("n > 0").collect()
-    return {r["b"]: r["n"] for r in rows}
+def _pack(h: np.ndarray) -> bytes:
+    """Sorted hashes as planes of their differences."""
+    return _planes(np.diff(h, prepend=np.uint64(0)))
 
 
-def _bin_floor(b: int) -> int:
-    """The least count of a histogram bin."""
-    return b if b < 1024 else max(1024, math.floor(2 ** ((b - 1024) / 8)) + 1)
+def _unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(_whole(b, np.uint64), dtype=np.uint64)
 
 
 def _positions(h: np.ndarray, level: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,61 +95,101 @@ def _positions(h: np.ndarray, level: int, blocks: int) -> tuple[np.ndarray, np.n
     return block, np.stack([(g >> np.uint64(9 * i)).astype(np.int64) & 511 for i in range(PROBES)])
 
 
-def build_filter(counted: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[np.ndarray, int]:
-    """(the filter's bytes, c_min) from counted pairs; its size follows the keys up to filter_bytes."""
-    hist = _histogram(counted)
-    most, keys, c_min = filter_bytes * 8 // BITS_PER_KEY, 0, None
-    for b in sorted((b for b in hist if b >= 2), reverse=True):
-        more = hist[b] * (1 + int(math.log2(_bin_floor(b))))
-        if keys + more > most:
-            break
-        keys, c_min = keys + more, _bin_floor(b)
-    per = -(-max(1, -(-keys * BITS_PER_KEY // 512)) // SEGMENTS)
-    blocks = per * SEGMENTS
-    if c_min is None:
-        return np.zeros(blocks * 64, np.uint8), 0
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x, y in zip(pdf["hashes"], pdf["counts"]):
-                h, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)
-                h, c = h[c >= c_min], c[c >= c_min]
-                q = (1 + np.floor(np.log2(c))).astype(np.uint8)
-                segment = _positions(h, 1, blocks)[0] // per
-                order = np.argsort(segment, kind="stable")
-                cuts = np.searchsorted(segment[order], np.arange(SEGMENTS + 1))
-                for s in np.flatnonzero(np.diff(cuts)):
-                    own = order[cuts[s] : cuts[s + 1]]
-                    yield pd.DataFrame({"segment": [int(s)], "h": [h[own].tobytes()], "q": [q[own].tobytes()]})
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        segment, bits = int(pdf["segment"].iloc[0]), np.zeros(per * 512, bool)
-        for x, y in zip(pdf["h"], pdf["q"]):
-            h, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint8)
-            for level in range(1, int(q.max()) + 1):
-                block, places = _positions(h[q >= level], level, blocks)
-                bits[((block - segment * per) * 512 + places).reshape(-1)] = True
-        return pd.DataFrame({"segment": [segment], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    dealt = counted.select("hashes", "counts").mapInPandas(deal, "segment int, h binary, q binary")
-    out = np.zeros((SEGMENTS, per * 64), np.uint8)
-    for r in dealt.groupBy("segment").applyInPandas(fill, "segment int, bits binary").toLocalIterator():
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1), c_min
-
-
-def read_counts(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Quantised counts of pairs (0 where level 1 is missing): the middle of [2**(q-1), 2**q)."""
-    blocks, level_of = len(bits) // 64, np.zeros(len(h), np.int64)
-    left = np.arange(len(h))
-    for level in range(1, _LEVELS):
-        block, places = _positions(h[left], level, blocks)
-        at = block * 512 + places
-        left = left[((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)]
-        if not len(left):
-            break
-        level_of[left] = level
-    return np.where(level_of == 0, 0.0, np.where(level_of == 1, 1.0, 1.5 * 2.0 ** (level_of - 1)))
+def build_filter(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The bytes of a segment that holds all levels of distinct pairs of counts c > 0."""
+    q = np.frexp(c.astype(np.float64))[1]
+    blocks = max(1, -(-int(q.sum()) * BITS_PER_KEY // 512))
+    bits = np.zeros(blocks * 512, bool)
+    for first in range(0, len(h), _AT_ONCE):
+        part, most = h[first : first + _AT_ONCE], q[first : first + _AT_ONCE]
+        for level in range(1, int(most.max()) + 1):
+            block, places = _positions(part[most >= level], level, blocks)
+            bits[(block * 512 + places).reshape(-1)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def read_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Levels of pairs in a segment, 0 where level 1 is missing."""
+    blocks, level_of = len(bits) // 64, np.zeros(len(h), np.uint8)
+    for first in range(0, len(h), _AT_ONCE):
+        left = np.arange(first, min(first + _AT_ONCE, len(h)))
+        for level in range(1, _LEVELS):
+            block, places = _positions(h[left], level, blocks)
+            at = block * 512 + places
+            left = left[((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)]
+            if not len(left):
+                break
+            level_of[left] = level
+    return level_of
+
+
+def level_counts(level: np.ndarray) -> np.ndarray:
+    """Quantised counts of levels: the middle of [2**(q-1), 2**q)."""
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level.astype(np.float64) - 1)))
+
+
+def slices(base: DataFrame) -> DataFrame:
+    """Stored (slice, ids, flags, n, words, code) of rows (doc_id, text): the ids, flags of 1 for null ids and 2 for
+    training rows, and numbers of tokens of a slice's texts; its distinct token hashes and each token's place in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for who, texts in common.text_slices(batches, SLICE):
+            t, n = tokens(texts)
+            words, code = np.unique(t, return_inverse=True)
+            ids = np.array([w["doc_id"] or 0 for w in who], np.int64)
+            flags = np.array([(w["doc_id"] is None) + 2 * w["learn"] for w in who], np.uint8)
+            row = [ids.tobytes(), flags.tobytes(), n.astype(np.int64).tobytes(), _pack(words), _planes(code.astype(np.uint32))]
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in row], ["ids", "flags", "n", "words", "code"])
+
+    who = F.struct("doc_id", (~common.held_out("doc_id", 10, 0)).alias("learn")).alias("who")
+    out = base.select(who, "text").mapInArrow(run, "ids binary, flags binary, n binary, words binary, code binary")
+    return common.stored(out.withColumn("slice", F.monotonically_increasing_id()), "slices")
+
+
+def answers(cut: DataFrame, word_shards: int, pair_shards: int) -> DataFrame:
+    """Stored (kind, shard, slice, answer, total, known): for each slice and shard, the training counts of the slice's
+    distinct words (int64) or the filter's levels of its distinct pairs (uint8), in order of their hashes. The row of a
+    shard without a slice has its numbers of training tokens and of distinct ones, and for pairs the filter's segment."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, code, words = np.frombuffer(r["n"], np.int64), _whole(r["code"], np.uint32), _unpack(r["words"])
+                learn = np.repeat(np.frombuffer(r["flags"], np.uint8) >> 1, n)
+                pairs, place = np.unique(pair_hashes(words[code], n), return_inverse=True)
+                for kind, shards, h, at in ((_WORDS, word_shards, words, code), (_PAIRS, pair_shards, pairs, place)):
+                    c = np.bincount(at, learn, len(h)).astype(np.uint32)
+                    shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                    first = np.flatnonzero(np.diff(shard, prepend=-1))
+                    spans = list(zip(first, np.append(first[1:], len(h))))
+                    values = [
+                        pa.array([kind] * len(spans), pa.int32()), pa.array(shard[first], pa.int64()), pa.array([r["slice"]] * len(spans), pa.int64()),
+                        pa.array([_pack(h[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(c[a:b]) for a, b in spans], pa.binary()),
+                    ]
+                    yield pa.record_batch(values, ["kind", "shard", "slice", "h", "c"])
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        kind, shard = (k.as_py() for k in key)
+        parts = [_unpack(x) for x in group["h"].to_pylist()]
+        h, c = _counted([(x, _whole(y, np.uint32).astype(np.int64)) for x, y in zip(parts, group["c"].to_pylist())])
+        h, c = h[c > 0], c[c > 0]
+        if kind == _PAIRS:
+            bits = build_filter(h, c)
+            found = [read_levels(bits, x).tobytes() for x in parts]
+        else:
+            bits, found = np.zeros(0, np.uint8), []
+            for x in parts:
+                at = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
+                found.append(_planes(np.where(h[at] == x, c[at], 0) if len(h) else np.zeros(len(x), np.int64)))
+        k = len(parts)
+        return pa.table({
+            "kind": pa.array([kind] * (k + 1), pa.int32()), "shard": pa.array([shard] * (k + 1), pa.int64()), "slice": pa.array([*group["slice"].to_pylist(), None], pa.int64()),
+            "answer": pa.array([*found, bits.tobytes()], pa.binary()), "total": pa.array([None] * k + [int(c.sum())], pa.int64()), "known": pa.array([None] * k + [len(h)], pa.int64()),
+        })
+
+    dealt = cut.select("slice", "flags", "n", "words", "code").mapInArrow(deal, "kind int, shard long, slice long, h binary, c binary")
+    merged = dealt.groupBy("kind", "shard").applyInArrow(merge, "kind int, shard long, slice long, answer binary, total long, known long")
+    return common.stored(merged, "answers")
 
 
 def lm_scores(docs: DataFrame, mu: float = MU, filter_bytes: int = FILTER_BYTES, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -169,87 +197,37 @@ def lm_scores(docs: DataFrame, mu: float = MU, filter_bytes: int = FILTER_BYTES,
 
     Learns from rows whose crc32(doc_id) mod 10 is not 0. Null texts are empty: one end token. Rows of
     equal or null ids stay rows of their own. Without training rows the counts are 0 and scores are those
-    of the smoothing alone. Words are identified by 64-bit hashes."""
-    spark = docs.sparkSession
-    common.prepare(spark)
+    of the smoothing alone. Words are identified by 64-bit hashes. filter_bytes and hot_words set how much
+    a segment of the filter and a shard of words hold, about, and so their number; nothing is left out."""
+    common.prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    train = base.where(~common.held_out("doc_id", 10, 0)).select("text")
-    size = train.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    shards = max(1, -(-size // (12 * SHARD)))
-    words = count_hashes(train, shards, False, 1)
-    pairs = count_hashes(train, max(1, -(-size // (4 * SHARD))), True, 2)
-    n_train = words.agg(F.sum("total")).first()[0] or 0
-    hist = _histogram(words)
-    v_train = sum(hist.values())
-    # the commonest words: all counts from `hot` on, as many as the table may hold
-    hot, held = 1 << 62, 0
-    for b in sorted((b for b in hist if b), reverse=True):
-        if held + hist[b] > hot_words:
-            break
-        hot, held = _bin_floor(b), held + hist[b]
-
-    def select(least: int, below: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for x, y in zip(pdf["hashes"], pdf["counts"]):
-                    h, c = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                    keep = (c >= least) & (c < below)
-                    yield pd.DataFrame({"h": h[keep], "c": c[keep]})
-
-        return words.select("hashes", "counts").mapInPandas(run, "h long, c long")
-
-    found = [(r["h"], r["c"]) for r in select(hot, 1 << 62).groupBy(F.spark_partition_id()).applyInPandas(lambda p: pd.DataFrame({"h": [p["h"].to_numpy(np.int64).tobytes()], "c": [p["c"].to_numpy(np.int64).tobytes()]}), "h binary, c binary").toLocalIterator()] if held else []
-    hot_h, hot_c = _counted([(np.frombuffer(a, np.int64).view(np.uint64), np.frombuffer(b, np.int64)) for a, b in found]) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    bits, _ = build_filter(pairs, filter_bytes)
-    table = spark.sparkContext.broadcast((hot_h, hot_c, bits))  # at most 16 bytes for each hot word, and filter_bytes
+    size = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    cut = slices(base)
+    found = answers(cut, max(1, -(-size // (24 * hot_words))), max(1, -(-size // (4 * filter_bytes))))
+    r = found.where(F.col("slice").isNull() & (F.col("kind") == _WORDS)).agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
+    n_train, v_train = r["n"] or 0, r["v"] or 0
     whole = n_train + 0.1 * (v_train + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_h, hot_c, bits = table.value
-        for ids, texts in common.text_slices(batches, 1 << 20):
-            t, n = tokens(texts)
-            start = np.cumsum(n) - n
-            distinct, inverse = np.unique(t, return_inverse=True)
-            at = np.minimum(np.searchsorted(hot_h, distinct), max(len(hot_h) - 1, 0))
-            is_hot = hot_h[at] == distinct if len(hot_h) else np.zeros(len(distinct), bool)
-            count = np.where(is_hot, hot_c[at], 0) if len(hot_h) else np.zeros(len(distinct), np.int64)
-            hot, c = is_hot[inverse], count[inverse].astype(np.float64)
-            p = (c + 0.1) / whole
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            end_at = np.searchsorted(distinct, END)
-            before[start] = count[end_at]
-            seen = read_counts(bits, pair_hashes(t, n)) if len(bits) else np.zeros(len(t))
-            was_hot = np.empty_like(hot)
-            was_hot[1:] = hot[:-1]
-            was_hot[start] = True
-            # a pair that was counted has words that were; the filter's false answers go where a word is rare
-            seen = np.where(hot & was_hot, np.minimum(seen, np.minimum(c, before)), 0.0)
-            free = np.log10(mu) - np.log10(before + mu)
-            own = np.where(hot, np.where(seen > 0, np.log10(seen + mu * p) - np.log10(before + mu), np.log10(p) + free), free)
-            plain = np.where(hot, np.log10(p), 0.0)
-            doc = np.repeat(np.arange(len(texts)), n)
-            rare = ~hot
-            order = np.lexsort((t[rare], doc[rare]))
-            d, h = doc[rare][order], t[rare][order]
-            new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))) if len(d) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(d)))
-            cut = np.searchsorted(d[new], np.arange(len(texts) + 1))
-            hs, ts = h[new].view(np.int64), times.astype(np.int32)
-            values = [
-                pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(np.add.reduceat((hot & (c > 0)).astype(np.int64), start), pa.int64()),
-                pa.array(np.add.reduceat(plain, start), pa.float64()), pa.array(np.add.reduceat(own, start), pa.float64()),
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hs, pa.int64())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ts, pa.int32())),
-            ]
-            yield pa.record_batch(values, ["doc_id", "n_tokens", "known", "plain", "own", "rare", "times"])
-
-    scored = common.stored(base.mapInArrow(score, "doc_id long, n_tokens long, known long, plain double, own double, rare array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id()), "scored")
-    uses = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    rest = uses.join(select(1, hot), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("c") + 0.1) / F.lit(whole))).alias("add"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"))
-    out = scored.drop("rare", "times").join(sums, "row", "left")
-    add = F.coalesce("add", F.lit(0.0))
-    return out.select(
-        "doc_id", common.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("plain") + add).alias("base_score"), (F.col("own") + add).alias("score"),
-    )
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        r = own.to_pylist()[0]
+        n, code, words = np.frombuffer(r["n"], np.int64), _whole(r["code"], np.uint32), _unpack(r["words"])
+        got = sorted(zip(found["kind"].to_pylist(), found["shard"].to_pylist(), found["answer"].to_pylist()))
+        count = np.concatenate([_whole(x, np.int64) for kind, _, x in got if kind == _WORDS]).astype(np.float64)
+        level = np.concatenate([np.frombuffer(x, np.uint8) for kind, _, x in got if kind == _PAIRS])
+        t, c = words[code], count[code]
+        start = np.cumsum(n) - n
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        before[start] = count[np.searchsorted(words, END)]
+        seen = level_counts(level[np.unique(pair_hashes(t, n), return_inverse=True)[1]])
+        seen = np.minimum(seen, np.minimum(c, before))  # a pair is no more frequent than its words
+        p = (c + 0.1) / whole
+        ids, flags = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["flags"], np.uint8)
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64(), mask=(flags & 1).astype(bool)), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), start), pa.int64()),
+            "base_score": pa.array(np.add.reduceat(np.log10(p), start), pa.float64()), "score": pa.array(np.add.reduceat(np.log10(seen + mu * p) - np.log10(before + mu), start), pa.float64()),
+        })
+
+    told = found.where(F.col("slice").isNotNull()).select("slice", "kind", "shard", "answer")
+    out = cut.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", common.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

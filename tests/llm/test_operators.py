@@ -200,6 +200,35 @@ def test_lm_scores(docs, rows):
     assert lm_scoring.lm_scores(docs.where("false")).count() == 0
 
 
+def lm_brute_force(rows):
+    """(id, number of tokens, score) of every row, with quantised counts of all training pairs, sorted by repr."""
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + [None]
+    learned = [split(t) for i, t, _ in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    c, pairs = Counter(w for t in learned for w in t), Counter(x for t in learned for x in zip([None, *t], t))
+    n, v = sum(c.values()), len(c)
+
+    def score(before, w):
+        level = math.frexp(pairs[before, w])[1]
+        seen = min(0 if not level else 1 if level == 1 else 1.5 * 2 ** (level - 1), c[before], c[w])
+        return math.log10((seen + lm_scoring.MU * (c[w] + 0.1) / (n + 0.1 * (v + 1))) / (c[before] + lm_scoring.MU))
+
+    return sorted(((i, len(split(t)), sum(score(*x) for x in zip([None, *split(t)], split(t)))) for i, t, _ in rows), key=repr)
+
+
+def lm_compare(docs, exp, **options):
+    """The filter's false answers, about one in a hundred, only raise scores."""
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in lm_scoring.lm_scores(docs, **options).collect()), key=repr)
+    assert [r[:2] for r in got] == [r[:2] for r in exp]
+    more = [a[2] - b[2] for a, b in zip(got, exp)]
+    assert min(more) > -1e-6 and sum(more) < 5e-3 * sum(r[1] for r in exp), (min(more), sum(more))
+
+
+def test_lm_score_has_all_pairs(docs, rows):
+    """Pairs seen once count, and however small the filter's segments are, none is left out."""
+    for filter_bytes in (lm_scoring.FILTER_BYTES, 512):
+        lm_compare(docs, lm_brute_force(rows), filter_bytes=filter_bytes)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_sources(docs).collect()
     size = lambda t: len(t.encode().split())
