@@ -229,6 +229,12 @@ def test_lm_score_has_all_pairs(docs, rows):
         lm_compare(docs, lm_brute_force(rows), filter_bytes=filter_bytes)
 
 
+def test_lm_score_of_rare_words(docs, rows):
+    """The formula is one for all words: few words in a shard or many, scores are equal."""
+    for hot_words in (lm_scoring.HOT_WORDS, 20):
+        lm_compare(docs, lm_brute_force(rows), hot_words=hot_words)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_sources(docs).collect()
     size = lambda t: len(t.encode().split())
