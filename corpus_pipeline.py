@@ -45,14 +45,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class of near-duplicates; of rows with that id, the first by a
-    hash of the text. Rows of null id stay."""
-    docs = docs.select(*COLUMNS)
-    kept = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text").asc_nulls_last()))
-    rows = rows.withColumn("_n", once).where("_n = 1").select(*COLUMNS)
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps the document of least doc_id of each class of near-duplicates; of that id's texts in the class, the first
+    by a hash. An id whose texts are in several classes may stay more than once. Rows of null id stay."""
+    return near_dedup.first_of_classes(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -95,9 +95,13 @@ def _distinct(elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return e[new], np.bincount(d[new], minlength=len(sizes)), np.diff(np.append(first, len(e)))
 
 
+def text_key(text: str = "text") -> Column:
+    """128-bit hash of a text."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id, text_key (128-bit hash of the text), n_shingles, keys (a hash for each band) of rows with a word."""
-    import xxhash
+    """doc_id, text_key, n_shingles, keys (a hash for each band) of rows (doc_id, text) with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.text_slices(batches, 1 << 20):
@@ -114,10 +118,9 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool
                 for r in range(rows):
                     key = common.mix(key ^ s[:, :, r], r)
                 keys += key.view(np.int64).tolist()
-            hashes = [xxhash.xxh3_128_digest(texts[i].encode("utf-8", "surrogatepass")) for i in keep]
-            yield pa.record_batch([pa.array([ids[i] for i in keep], pa.int64()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "keys"])
+            yield pa.record_batch([pa.array([ids[i]["doc_id"] for i in keep], pa.int64()), pa.array([ids[i]["text_key"] for i in keep], pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, keys array<long>")
+    return docs.select(F.struct("doc_id", text_key().alias("text_key")).alias("id"), "text").mapInArrow(run, "doc_id long, text_key binary, n_shingles long, keys array<long>")
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
@@ -216,6 +219,11 @@ def links_in_block(ids: list[int], texts: list[str], side: np.ndarray | None, th
     return forest, degree
 
 
+def _lone() -> Column:
+    """Rows without words."""
+    return F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, class_id, n_links, copies of every row of docs (doc_id, text; other columns are ignored).
 
@@ -223,32 +231,53 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     of shingles (five lower-cased words; fewer words: all of them) have a Jaccard similarity of at least
     threshold. copies: rows with this text; n_links: other texts linked to it. Rows without words (null,
     empty, white space) and rows of null id are classes of their own. Rows of equal id and text are
-    copies; rows of equal id with different texts share one class id each finds."""
+    copies; rows of equal id with different texts have the class of their text each, and two classes may
+    have the same least doc_id."""
+    base = docs.select(F.col("doc_id").cast("long"), "text")
+    out = text_classes(docs, threshold, bands, rows, weighted).select("doc_id", "class_id", "n_links", "copies")
+    alone = base.where(_lone() | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+    return out.unionByName(alone)
+
+
+def first_of_classes(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that near-duplicates leave: of each class a row of the least doc_id, of its
+    texts the one of least hash. Rows without words stay, once for each id and text. Rows of null id stay."""
+    kept = text_classes(docs).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*")
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("text_key", text_key())
+    found = keyed.where(~_lone()).join(kept, ["doc_id", "text_key"], "left_semi").unionByName(keyed.where(_lone()))
+    return found.dropDuplicates(["doc_id", "text_key"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """doc_id, text_key, root (a number of the class), class_id, n_links, copies of rows with an id and a word.
+
+    Each distinct text is a node of its own, numbered by a 64-bit hash of text_key."""
     spark = docs.sparkSession
     common.prepare(spark)
     base = docs.select(F.col("doc_id").cast("long"), "text")
     table = common.stored(sketch(base.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()), bands, rows, weighted), "sketch")
-    texts = table.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    texts = table.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("text_key"))
     texts = common.stored(texts, "texts")
     # the representative's row of keys; rows of equal id and text are one
-    reps = table.join(texts, (table["text_key"] == texts["text_key"]) & (table["doc_id"] == texts["rep"]), "left_semi").select("doc_id", "n_shingles", "keys")
-    banded = common.stored(reps.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
-    first = banded.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = banded.join(first, ["band", "key"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    reps = table.join(texts, (table["text_key"] == texts["text_key"]) & (table["doc_id"] == texts["rep"]), "left_semi").select(F.xxhash64("text_key").alias("node"), "n_shingles", "keys")
+    banded = common.stored(reps.select("node", F.posexplode("keys").alias("band", "key")), "bands")
+    first = banded.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = banded.join(first, ["band", "key"]).select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     coarse = common.stored(connected_components(star, "coarse"), "coarse")
-    sizes = reps.select("doc_id", "n_shingles").distinct()
-    members = coarse.join(sizes, F.col("node") == F.col("doc_id")).select("node", "root", "n_shingles")
+    sizes = reps.select("node", "n_shingles").distinct()
+    members = coarse.join(sizes, "node").select("node", "root", "n_shingles")
     groups = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     groups = groups.select("root", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(groups, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    own = base.join(members, F.col("doc_id") == F.col("node")).join(texts.select("text_key", "rep"), F.col("node") == F.col("rep"), "left_semi").select("node", "text", "root", "blocks", "block")
+    members = members.join(texts.select("node", "rep", "text_key"), "node")
+    own = base.withColumn("key", text_key()).join(members, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("text_key"))).select("node", "text", "root", "blocks", "block")
     # a row for each pair of blocks that its block is in: (block, j) and (i, block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = own.select("node", "text", "root", "block", other.alias("other"))
     spread = spread.select("node", "text", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["node", "text"]).drop_duplicates("node")
+        pdf = pdf.sort_values("node").drop_duplicates("node")
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         side = None if i == j else (pdf["block"] == j).to_numpy()
         ids = pdf["node"].tolist()
@@ -258,9 +287,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     found = common.stored(spread.groupBy("root", "i", "j").applyInPandas(run, "a long, b long, n long"), "links")
     degrees = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     classes = connected_components(found.where("a <> b").select("a", "b"), "classes")
-    by_text = texts.join(classes, F.col("rep") == F.col("node"), "left").drop("node").join(degrees, F.col("rep") == F.col("node"), "left")
-    by_text = by_text.select("text_key", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
-    out = table.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", "class_id", "n_links", "copies")
-    lone = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
-    alone = base.where(lone | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
-    return out.unionByName(alone)
+    by_text = texts.join(classes, "node", "left").join(degrees, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = by_text.groupBy("root").agg(F.min("rep").alias("class_id"))
+    by_text = by_text.join(least, "root").select("text_key", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
+    return table.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", "text_key", "root", "class_id", "n_links", "copies")

@@ -109,6 +109,19 @@ def test_near_dedup(docs, rows):
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    """Both texts of an id find their near copies, and one document of each class stays in the pipeline."""
+    import corpus_pipeline
+
+    text = lambda mark: " ".join(f"{mark}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " end"), (3, text("b") + " end"), (4, text("c")), (4, text("a")), (5, text("c") + " end"), (1, text("b")), (6, text("b"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, 1, 2), (1, 1, 1, 3), (2, 1, 1, 1), (3, 1, 1, 1), (4, 4, 1, 1), (4, 1, 1, 2), (5, 4, 1, 1), (1, 1, 1, 3), (6, 1, 1, 3)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, text("a")), (1, text("b")), (4, text("c"))]
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     e = common.mix(np.arange(300, dtype=np.uint64))
