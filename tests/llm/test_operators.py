@@ -292,6 +292,18 @@ def test_media(docs, rows):
         media.Decoder(b"no image")
 
 
+def test_media_tensors(spark, docs):
+    """Stored media give full-resolution tensors, whose means are the features."""
+    some = docs.where("doc_id < 20")
+    stored = media.store_media(some)
+    feature = {r.doc_id: r.feature for r in media.features(stored).collect()}
+    got = media.tensors(stored.select("doc_id", "media")).collect()
+    assert len(got) == some.count() == len(feature)
+    for r in got:
+        x = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert feature[r.doc_id] == f"{r.width}x{r.height} " + " ".join(f"{v:.2f}" for v in x.reshape(-1, 3).mean(axis=0))
+
+
 def test_jpeg_scans_with_runs():
     """A grey image of two blocks with zero runs, an end-of-block run and refinement, coded by hand."""
     table = lambda kind, symbols: media._table(kind, symbols, 4)
