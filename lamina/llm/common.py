@@ -125,6 +125,16 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: a polynomial modulo 2**64 from prefix sums, mixed with the length."""
+    up, down = _powers(len(b) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+        h = (sums[end] - sums[start]) * down[start]
+        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(texts: list[str], lower: str = "unicode") -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and the number of words in each text.
 
@@ -142,12 +152,7 @@ def word_hashes(texts: list[str], lower: str = "unicode") -> tuple[np.ndarray, n
     inside = np.concatenate(([False], ~_SPACE[b], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    up, down = _powers(len(b) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-        h = (sums[end] - sums[start]) * down[start]
-        h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = span_hashes(b, start, end)
     if lower == "unicode":
         sizes = np.array([len(t.lower().encode("utf-8", "surrogatepass")) if not t.isascii() else len(t) for t in texts], np.int64)
     else:

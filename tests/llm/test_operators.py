@@ -68,6 +68,9 @@ def test_token_id_files(docs, rows):
     x = np.full(4000, 7, np.uint32)
     x[::500] = 4_000_000_000
     assert len(binary_output.pack(x)) < 400 and (binary_output.unpack(binary_output.pack(x), 2, 3) == x[2048:3072]).all()
+    image = binary_output.pack(x, doc_ids=[3, None, -1], lengths=[1, 0, 3999])
+    assert (binary_output.unpack(image) == x).all() and binary_output.documents(image)[0] == [3, None, -1] and binary_output.documents(image)[1].tolist() == [1, 0, 3999]
+    assert binary_output.token_id_files(docs.where("false"), BYTE).collect() == []
     t = Tokenizer.from_file(BYTE)
     got = sorted(binary_output.token_id_files(docs, BYTE).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _, _ in rows), key=lambda i: (i is not None, i or 0))
@@ -82,6 +85,17 @@ def test_token_id_files(docs, rows):
     assert not any(v for c in exp.values() for v in c.values())
 
 
+def test_encoding_by_pieces():
+    """Texts of all kinds of neighbours: every cut is one that the library's splitter makes too."""
+    t, own, rng = Tokenizer.from_file(BYTE), binary_output.encoder(read_content(BYTE)), random.Random(11)
+    signs = [" ", " ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'", "'s", "'ll", "'T", ".", "...", "%%", "-", "_", "×", "÷", "½", "é", "ÀÉ", "ſ", "ŉ", "a", "Bc", "the", "xyz", "1", "23", "٣", "中文", "e\u0301", "\u0301", "😀", "\x00", "ﬁ", "ß", "<|endoftext|>", "<|", "ζ"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + ["q" * 5000 + " " * 3000 + "\n" * 999 + "é" * 999]
+    for first in range(0, len(texts), 500):
+        ids, n = own.encode(texts[first : first + 500])
+        for text, got in zip(texts[first : first + 500], np.split(ids, np.cumsum(n)[:-1])):
+            assert got.tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def shingles(text):
     w = text.lower().split()
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
