@@ -1,13 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing (operator 7).
 
-Each source is a queue of its documents in shuffled order (by a hash), passed through again up to `most`
-times. A document's virtual finish time is the cumulative size of its source up to and with it, divided
-by the source's target; all queues are served in order of finish time until the budget, the sum of all
-sizes, is spent. Since targets add up to the budget, that is finish time 1.
-
-Cumulative sizes are two-level prefix sums: sources are dealt into buckets by the leading bits of the
-shuffling hash, buckets are summed, and the running sum inside a bucket is added to that of the buckets
-before it. A source with most of the rows therefore spreads over many tasks.
+Each source is a queue of its documents in shuffled order (by a hash), passed through again up to `most` times, and
+served in packets of up to QUANTUM words. A packet's virtual finish time is the cumulative size of its source up to
+and with it, divided by the source's target. All packets are range-sorted by finish time and served until the budget,
+the sum of all sizes, is spent; the last packet is cut where it ends. So a source's words differ from its target by
+about a packet.
+
+Sums are in two levels: rows of a source by buckets of the shuffling hash, packets by partitions of the range. A source
+with most of the rows spreads over many tasks; of the sorted packets only the partition where the budget ends is summed
+row by row.
 """
 
 from __future__ import annotations
@@ -19,29 +20,29 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
+#: Words of a packet.
+QUANTUM = 64
 #: Rows that a bucket of a source holds on average.
 BUCKET_ROWS = 4096
-#: Sources are a dimension whose totals the driver holds; more than this many are refused.
-MAX_SOURCES = 100_000
-
-
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
-    """Each source's target: shares of the total by weight, capped at most times the size, excess reshared by weight.
-
-    Sources come in code-point order, null last, and take the weights in turn."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out, free, left = {}, [s for s in names], float(sum(sizes.values()))
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if weight[s] * unit > most * sizes[s]]
-        if not full:
-            out |= {s: weight[s] * unit for s in free}
-            break
-        out |= {s: float(most * sizes[s]) for s in full}
-        left -= sum(most * sizes[s] for s in full)
-        free = [s for s in free if s not in out]
-    return {s: out.get(s, 0.0) for s in names}
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """number, source, source_size, target, rows of sizes (source, source_size, rows): shares of the total by weight,
+    capped at most times the size, the excess reshared by weight.
+
+    Sources come in code-point order, null last, and take the weights in turn. They fill up to their caps in order of
+    size by weight; the first that does not fill gives the unit of all others. One row for each source is windowed."""
+    number = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
+    own = sizes.withColumn("number", number).withColumn("weight", F.get(F.array(*map(F.lit, weights)), (F.col("number") - 1) % len(weights)))
+    order = W.orderBy(F.col("source_size") / F.col("weight"), "number")
+    before, whole = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    left = F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    heavy = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    own = own.withColumn("unit", left.cast("double") / heavy).withColumn("place", F.row_number().over(order))
+    fits = F.when(F.col("weight") * F.col("unit") <= most * F.col("source_size"), F.col("place"))
+    own = own.withColumn("level", F.min_by("unit", fits).over(W.partitionBy()))
+    goal = F.least(F.col("weight") * F.col("level"), (most * F.col("source_size")).cast("double"))
+    return own.select("number", "source", "source_size", goal.alias("target"), "rows")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -56,33 +57,58 @@ def shuffling(docs: DataFrame) -> Column:
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def queued(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, order) with number, source_size and target of their source, and end: the words of
+    the source's queue up to and with the row."""
+    key = F.floor((F.shiftright("order", 28).cast("double") / F.lit(float(1 << 32))) * F.ceil(F.col("rows") / F.lit(float(BUCKET_ROWS)))).cast("long")
+    rows = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    rows = rows.select("doc_id", "size", "order", "number", "source_size", "target", key.alias("bucket"))
+    sums = rows.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
+    before = F.sum("n").over(W.partitionBy("number").orderBy("bucket")) - F.col("n")
+    inside = F.sum("size").over(W.partitionBy("number", "bucket").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("inside", inside).join(sums.select("number", "bucket", before.alias("before")), ["number", "bucket"])
+    return rows.select("doc_id", "size", "order", "number", "source_size", "target", (F.col("inside") + F.col("before")).alias("end"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, quantum: int = QUANTUM) -> DataFrame:
     """doc_id, order, size, source_size, target, copies, finish, taken of every row of docs (doc_id, text, source).
 
-    taken: words that the mix takes in all passes; the document at a source's border is cut where the
-    budget ends. copies: times that a mix of whole documents has it (the border one if its middle is
-    inside). Null sources form one source, the last; null texts have size 0 and are never taken; rows of
-    equal id and text count apart. An empty table gives an empty result."""
+    taken: words of all packets served in all passes. copies: passes of which at least half of the words are served:
+    times that a mix of whole documents has it. finish: of the first pass. Null sources form one source, the last;
+    null texts have size 0 and are never taken; rows of equal id and text count apart; other columns are ignored. An
+    empty table gives an empty result."""
     spark = docs.sparkSession
     rows = common.stored(measured(docs), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets({r["source"]: r["size"] for r in totals}, weights, most)
-    table = spark.createDataFrame([(r["source"], r["size"], float(goal[r["source"]]), max(1, -(-r["n"] // BUCKET_ROWS))) for r in totals], "source string, source_size long, target double, buckets long")
-    key = F.floor((F.shiftright("order", 28).cast("double") / F.lit(float(1 << 32))) * F.col("buckets")).cast("long")
-    # the table of sources is bounded by MAX_SOURCES
-    rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).select("doc_id", rows["source"], "size", "order", "source_size", "target", key.alias("bucket"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("inside", inside).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    end = F.col("inside") + F.col("before")
-    # pass number e finishes at (e * source_size + end) / target; the middle of the document decides at the border
-    middle = end - F.col("size") / 2
-    passes = F.floor((F.col("target") - middle) / F.col("source_size")) + 1
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.greatest(passes, F.lit(0)), F.lit(most))).cast("int")
-    finish = F.try_divide(end.cast("double"), F.col("target"))
-    start, whole = end - F.col("size"), F.round("target").cast("long")
-    taken = sum((F.least(F.greatest(whole - F.lit(e) * F.col("source_size") - start, F.lit(0)), F.col("size")) for e in range(most)), F.lit(0))
-    return rows.select("doc_id", "order", "size", "source_size", "target", copies.alias("copies"), finish.alias("finish"), taken.cast("long").alias("taken"))
+    sources = common.stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "sources")
+    queue = common.stored(queued(rows, sources), "queue")
+    n, budget = sources.agg(F.count("*"), F.sum("source_size")).first()
+    some = queue.where("size > 0")
+    # all packets up to a time T hold at least T * budget - n * quantum words, so none after this time is served
+    latest = 1 + (n * quantum + 1) / (budget or 1)
+    passes = F.least(F.lit(most), F.floor(F.col("target") * latest / F.col("source_size")).cast("int") + 1)
+    packets = some.withColumn("turn", F.explode(F.sequence(F.lit(0), passes - 1)))
+    packets = packets.withColumn("packet", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / F.lit(float(quantum))).cast("int") - 1)))
+    done = F.least((F.col("packet") + 1) * F.lit(quantum), F.col("size"))
+    at = F.col("turn") * F.col("source_size") + F.col("end") - F.col("size") + done
+    packets = packets.select("number", "end", "turn", (done - F.col("packet") * F.lit(quantum)).alias("words"), (at.cast("double") / F.col("target")).alias("time"), at.alias("at")).where(F.col("time") <= latest)
+    order = ["time", "number", "at"]
+    ranged = packets.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    served = common.stored(ranged.withColumn("part", F.spark_partition_id()), "packets")
+    border, left = -1, budget or 0  # the partition where the budget ends, and what is left of it there
+    for part, words in sorted((r["part"], r["n"]) for r in served.groupBy("part").agg(F.sum("words").alias("n")).collect()):  # one row for each partition
+        border = part
+        if left <= words:
+            break
+        left -= words
+    spent = F.sum("words").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    cut = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(left) + F.col("words") - spent))
+    last = served.where(F.col("part") == border).withColumn("words", cut)
+    taken = served.where(F.col("part") < border).unionByName(last).where("words > 0")
+    turns = [F.sum(F.when(F.col("turn") == e, F.col("words"))).alias(f"_{e}") for e in range(most)]
+    # the words of a queue up to a row tell rows of one source with a size apart
+    sums = taken.groupBy("number", "end").agg(*turns)
+    found = some.join(sums, ["number", "end"], "left").unionByName(queue.where("size = 0"), True)
+    words = [F.coalesce(F.col(f"_{e}"), F.lit(0)) for e in range(most)]
+    copies = sum((F.when((w * 2 >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0) for w in words), F.lit(0)).cast("int")
+    finish = F.try_divide(F.col("end").cast("double"), F.col("target"))
+    return found.select("doc_id", "order", "size", "source_size", "target", copies.alias("copies"), finish.alias("finish"), sum(words, F.lit(0)).cast("long").alias("taken"))

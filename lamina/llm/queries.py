@@ -59,27 +59,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Sources in order of size per weight fill up to their caps; the first that does not gives the unit of all others.
+#: Packets of 64 words of all passes are served by finish time until the budget is spent.
 MIXING_SQL = r"""
 WITH measured AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5(concat_ws(' ', doc_id::BIGINT, md5(text))), 1, 15))::BIGINT AS place FROM documents),
 sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
-  FROM measured GROUP BY source),
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM measured GROUP BY source),
+weighed AS (SELECT *, [5.0::DOUBLE, 2, 1][(number - 1) % 3 + 1] AS weight FROM sources),
 units AS (
-  SELECT *, source_size / weight AS fullness,
+  SELECT *, row_number() OVER before AS fill,
     (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS unit
-  FROM sources WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT arg_min(unit, fullness) AS unit FROM units WHERE weight * unit <= 3 * source_size),
-targets AS (SELECT source, source_size, least(weight * level.unit, (3 * source_size)::DOUBLE) AS target FROM sources, level),
+  FROM weighed WINDOW before AS (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(unit, fill) AS unit FROM units WHERE weight * unit <= 3 * source_size),
+targets AS (SELECT source, number, source_size, least(weight * level.unit, (3 * source_size)::DOUBLE) AS target FROM weighed, level),
 placed AS (
-  SELECT m.*, source_size, target, (sum(size) OVER (PARTITION BY m.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS ended
-  FROM measured m JOIN targets t ON m.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, place AS "order", size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE least(greatest(floor((target - (ended - size / 2)) / source_size) + 1, 0), 3) END::INTEGER AS copies,
-  ended::DOUBLE / nullif(target, 0) AS finish,
-  list_sum([least(greatest(round(target)::BIGINT - e * source_size - (ended - size), 0), size) FOR e IN [0, 1, 2]])::BIGINT AS taken
-FROM placed
+  SELECT m.*, number, source_size, target, row_number() OVER () AS id, (sum(size) OVER (PARTITION BY m.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS ended
+  FROM measured m JOIN targets t ON m.source IS NOT DISTINCT FROM t.source),
+packets AS (
+  SELECT id, number, target, turn, least(64, size - packet * 64) AS words, turn * source_size + ended - size + least((packet + 1) * 64, size) AS reached
+  FROM (SELECT *, unnest(range((size + 63) // 64)) AS packet FROM placed), (SELECT unnest([0, 1, 2]) AS turn)),
+served AS (
+  SELECT id, turn, greatest(0, least(words, (SELECT sum(source_size) FROM sources) - sum(words) OVER (ORDER BY reached::DOUBLE / target, number, reached ROWS UNBOUNDED PRECEDING) + words)) AS words
+  FROM packets),
+turns AS (SELECT id, turn, sum(words) AS words FROM served GROUP BY id, turn),
+taken AS (SELECT t.id, sum(words)::BIGINT AS taken, sum((2 * words >= size)::INTEGER)::INTEGER AS copies FROM turns t JOIN placed USING (id) GROUP BY t.id)
+SELECT doc_id, place AS "order", size, source_size, target, coalesce(copies, 0)::INTEGER AS copies, ended::DOUBLE / nullif(target, 0) AS finish, coalesce(taken, 0)::BIGINT AS taken
+FROM placed LEFT JOIN taken USING (id)
 """
 
 

@@ -262,6 +262,28 @@ def test_lm_score_of_rare_words(docs, rows):
         lm_compare(docs, lm_brute_force(rows), hot_words=hot_words)
 
 
+def targets(sizes, weights=(5.0, 2.0, 1.0), most=3):
+    """Targets by filling sources until none is above its cap."""
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, free, left = {}, list(names), float(sum(sizes.values()))
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        full = [s for s in free if weight[s] * unit > most * sizes[s]] or free
+        out |= {s: min(weight[s] * unit, float(most * sizes[s])) for s in full}
+        left -= sum(out[s] for s in full)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_mixing_targets(spark):
+    rng = random.Random(8)
+    for sizes in [{"a": 10, "b": 1000, None: 5}, {"a": 0, None: 0}, {"x": 7}, {"a": 5, "b": 2, "c": 1, "d": 5}, *({"s%d" % i if i else None: rng.choice([0, 1, 30, 1000]) for i in range(9)} for _ in range(4))]:
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, rows long")
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        assert got == pytest.approx(targets(sizes))
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_sources(docs).collect()
     size = lambda t: len(t.encode().split())
@@ -269,9 +291,11 @@ def test_mixing(docs, rows):
     total = sum(r.size for r in got)
     by = {r.source_size: r for r in got}
     assert abs(sum(r.target for r in by.values()) - total) < 1e-6 and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert sum(r.taken for r in got) == total
     for s, r in by.items():
-        assert abs(sum(x.taken for x in got if x.source_size == s) - r.target) <= 1
-    assert mixing.targets({"a": 10, "b": 1000, None: 5}) == {"a": 30.0, "b": 970.0, None: 15.0}
+        assert abs(sum(x.taken for x in got if x.source_size == s) - r.target) <= mixing.QUANTUM * len(by)
+    for r in mixing.mix_sources(docs, quantum=1).collect():
+        assert abs(r.copies * r.size - r.taken) <= r.size * 1.5
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
