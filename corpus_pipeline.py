@@ -53,11 +53,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it as a whole, 0 to 3 times.
 
-    Equal rows share their copies evenly."""
+    Rows of equal id and text share their copies evenly."""
     docs = docs.select(*COLUMNS)
-    taken = mixing.mix_sources(docs).groupBy("order").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    rows = docs.withColumn("order", mixing.shuffling(docs)).join(taken, "order")
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("order").orderBy("doc_id")))
+    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id"), "order").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    rows = docs.withColumn("_order", mixing.shuffling(docs))
+    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["_order"] == taken["order"]))
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_id", "order").orderBy("doc_id")))
     own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     rows = rows.withColumn("_own", own.cast("int")).where("_own > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_own"))).select(*COLUMNS)
