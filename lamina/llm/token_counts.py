@@ -6,24 +6,30 @@ suffix: all that later symbols can depend on, since a sequence of tokens is the
 each adjacent pair is. Each transition carries the change in the number of emitted tokens, so the sum
 along a piece is its token count. States and transitions are compiled when first reached and kept.
 
-A text is cut into chunks of a fixed number of characters. White space sends every state to the start,
-so a chunk's state map has three parts: the run before its first white space, whose count depends on
-the state at entry, a count for all runs between, and the open run at its end. Maps compose
-associatively; a parallel prefix scan (log2 rounds over all chunks of a batch) gives every text's count.
+A text is cut into chunks, and each chunk becomes a map from states at its entry to (state at its exit, emitted
+tokens). White space and the ends of pieces send every state to the start, so a chunk of whole runs maps the start
+to itself with a count; the transitions of a whole run from the start are compiled into one and kept. A long run
+is cut inside its pieces: there the entries are the states that the letters before the cut can lead to, from a few
+places where a token may have begun; a state outside these is followed when it is met. Maps compose
+associatively, and a prefix scan over a text's chunks (pairs, then pairs of pairs) gives the count up to each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .vocabulary import Memo, Vocabulary, _GAPS, _ODD, read_content, vocabulary, white_runs
+from .vocabulary import Memo, Vocabulary, read_content, vocabulary, white_runs
 
 CHUNK = 1 << 14
+#: The state before a piece: nothing read, no token yet.
+START = ("", (None,), (0,))
+#: States that a chunk inside a piece is followed from at first, about.
+ENTRIES = 4
 _COUNTERS: dict[int, "RunCounter"] = {}
 
 
@@ -57,7 +63,7 @@ class Transducer:
         self.names: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.next: list[dict[str, tuple[int, int]]] = []
-        self._state(("", (None,), (0,)))
+        self._state(START)
 
     def _state(self, key: tuple) -> int:
         if key not in self.names:
@@ -94,69 +100,125 @@ class Transducer:
         lasts, counts = (*lasts, token)[-keep - 1 :], tuple(x - delta for x in (*counts, delta)[-keep - 1 :])
         return self._state((read, lasts, counts)), delta
 
-    def count(self, symbols: list[str]) -> int:
-        """Tokens that BPE makes of a piece's symbols."""
-        if len(self.keys) > self.most:
-            self._reset()
-        state = total = 0
-        for s in symbols:
-            c = self.letter[s]
-            step = self.next[state].get(c)
-            if step is None:
-                step = self.next[state][c] = self._compile(state, c)
-            state, delta = step
-            total += delta
-        return total
+    def run(self, entry: tuple, letters: str) -> tuple[tuple, int]:
+        """(state after the letters, emitted tokens), from a state."""
+        state, total = self._state(entry), 0
+        for first in range(0, len(letters), 4096):
+            if len(self.keys) > self.most:
+                entry = self.keys[state]
+                self._reset()
+                state = self._state(entry)
+            for c in letters[first : first + 4096]:
+                step = self.next[state].get(c)
+                if step is None:
+                    step = self.next[state][c] = self._compile(state, c)
+                state, delta = step
+                total += delta
+        return self.keys[state], total
+
+
+class ChunkMap:
+    """A chunk's map from entry states to (exit state, emitted tokens); `follow` finds what is not known yet."""
+
+    __slots__ = ("known", "follow")
+
+    def __init__(self, known: dict[tuple, tuple[tuple, int]], follow: Callable[[tuple], tuple[tuple, int]]):
+        self.known, self.follow = known, follow
+
+    def __call__(self, entry: tuple) -> tuple[tuple, int]:
+        if entry not in self.known:
+            self.known[entry] = self.follow(entry)
+        return self.known[entry]
+
+    def then(self, other: "ChunkMap") -> "ChunkMap":
+        """The map of this chunk and the one after it."""
+
+        def follow(entry: tuple) -> tuple[tuple, int]:
+            middle, n = self(entry)
+            last, m = other(middle)
+            return last, n + m
+
+        return ChunkMap({entry: follow(entry) for entry in self.known}, follow)
+
+
+def scan(maps: list[ChunkMap]) -> list[ChunkMap]:
+    """The composition of the first 1, 2, 3 ... maps: pairs are joined, scanned, and the places between filled in."""
+    if len(maps) < 2:
+        return maps
+    pairs = scan([a.then(b) for a, b in zip(maps[::2], maps[1::2])])
+    out = [maps[0]]
+    for i in range(1, len(maps)):
+        out.append(pairs[i // 2] if i % 2 else pairs[i // 2 - 1].then(maps[i]))
+    return out
 
 
 class RunCounter:
-    """Token counts of runs without white space and, by chunk maps, of whole texts."""
+    """Token counts of texts by chunk maps."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.machine = vocab, Transducer(vocab)
-        self.pieces = Memo(lambda piece: self.machine.count(vocab.symbols(piece)))
+        self.pieces = Memo(lambda piece: self.machine.run(START, self._letters(piece))[1])
         self.runs = Memo(lambda run: sum(map(self.pieces.__getitem__, vocab.pieces(run))))
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); count is None for a chunk without white space, all of which is its head."""
-        if not _ODD.search(chunk):
-            runs = chunk.split()
-            lead, trail = chunk[:1].isspace(), chunk[-1:].isspace()
-        else:
-            runs = [r for r in _GAPS.split(chunk) if r]
-            lead, trail = bool(_GAPS.match(chunk[:1])), bool(_GAPS.match(chunk[-1:]))
-        if len(runs) == 1 and not lead and not trail:
-            return chunk, None, ""
-        head = "" if lead or not runs else runs.pop(0)
-        tail = "" if trail or not runs else runs.pop()
-        return head, sum(map(self.runs.__getitem__, runs)), tail
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None:
-            return (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1], a[2] + b[0])
-        joint = a[2] + b[0]
-        return (a[0], a[1] + b[1] + (self.runs[joint] if joint else 0), b[2])
-
-    def scan(self, maps: list[tuple]) -> tuple:
-        """The composition of all maps, in log2(len(maps)) rounds of independent pairs."""
-        while len(maps) > 1:
-            joined = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
-            maps = joined + maps[len(joined) * 2 :]
-        return maps[0] if maps else ("", None, "")
+    def _letters(self, piece: str) -> str:
+        return "".join(map(self.machine.letter.__getitem__, self.vocab.symbols(piece)))
+
+    @staticmethod
+    def _reset(count: int) -> ChunkMap:
+        """A chunk from the start to the start."""
+        return ChunkMap({START: (START, count)}, lambda entry: (START, count))
+
+    def _inside(self, letters: str, first: int, last: int) -> ChunkMap:
+        """The map of letters[first : last] of a piece; the piece's end sends all to the start."""
+        machine, part, ends = self.machine, letters[first:last], last == len(letters)
+
+        def follow(entry: tuple) -> tuple[tuple, int]:
+            after, n = machine.run(entry, part)
+            return (START if ends else after), n
+
+        window = machine.longest
+        entries = {START} if not first else {machine.run(START, letters[max(0, first - window - k) : first])[0] for k in range(0, window, max(1, window // ENTRIES))}
+        return ChunkMap({entry: follow(entry) for entry in entries}, follow)
+
+    def _long(self, run: str, chunk: int) -> list[ChunkMap]:
+        """Maps of a run, which is cut inside its pieces."""
+        maps, count = [], 0
+        for piece in self.vocab.pieces(run):
+            if len(piece) <= chunk:
+                count += self.pieces[piece]
+                continue
+            letters = self._letters(piece)
+            maps += [self._reset(count), *(self._inside(letters, i, min(i + chunk, len(letters))) for i in range(0, len(letters), chunk))]
+            count = 0
+        return [*maps, self._reset(count)]
+
+    def maps(self, text: str, chunk: int = CHUNK) -> list[ChunkMap]:
+        """The maps of a text's chunks of about `chunk` characters."""
+        out = []
+        for i, part in enumerate(self.vocab.parts(text)):
+            if i % 2:  # a special token
+                out.append(self._reset(1))
+                continue
+            runs = white_runs(part)
+            if len(part) <= chunk:
+                out.append(self._reset(sum(map(self.runs.__getitem__, runs))))
+                continue
+            count = size = 0
+            for run in runs:
+                if len(run) > chunk:
+                    out += [self._reset(count), *self._long(run, chunk)]
+                    count = size = 0
+                    continue
+                count += self.runs[run]
+                size += len(run) + 1
+                if size >= chunk:
+                    out.append(self._reset(count))
+                    count = size = 0
+            out.append(self._reset(count))
+        return out
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        total = 0
-        for i, part in enumerate(self.vocab.parts(text)):
-            if i % 2:
-                total += 1
-            elif len(part) <= chunk:
-                total += sum(map(self.runs.__getitem__, white_runs(part)))
-            else:
-                head, middle, tail = self.scan([self.chunk_map(part[i : i + chunk]) for i in range(0, len(part), chunk)])
-                total += (middle or 0) + sum(self.runs[x] for x in (head, tail) if x)
-        return total
+        return scan(self.maps(text, chunk))[-1](START)[1]
 
 
 def counter(content: str) -> RunCounter:

@@ -71,7 +71,7 @@ class Vocabulary:
 
     def parts(self, text: str) -> list[str]:
         """Ordinary parts of a text at even places, special strings between them at odd ones."""
-        if self.splitter is None or "<|" not in text:
+        if not any(t in text for t in self.special):
             return [text]
         return self.splitter.split(text)
 

@@ -46,6 +46,30 @@ def test_token_counts(docs, rows):
     assert token_counts.token_counts(docs.where("false"), WORD).count() == 0
 
 
+def test_chunk_maps():
+    """Maps of chunks inside a run compose to the library's count, whatever the order of composition."""
+    t, own, rng = Tokenizer.from_file(WORD), token_counts.counter(read_content(WORD)), random.Random(9)
+    letters = lambda n, some: "".join(rng.choice(some) for _ in range(n))
+    for text in ["a" * 1001, "ab" * 700, letters(3000, "etaoinshr"), letters(900, "abc") + "1234" * 99 + letters(800, "é中z"), "!?" * 400, "haha" * 300 + " x " + "lol" * 300]:
+        exp = len(t.encode(text, add_special_tokens=False).ids)
+        for chunk in (1, 3, 7, 64, 1000):
+            maps = own.maps(text, chunk)
+            left, state, total = [], token_counts.START, 0
+            for m in maps:
+                state, n = m.follow(state)
+                left.append((state, total := total + n))
+            assert left == [m(token_counts.START) for m in token_counts.scan(maps)] and total == exp == own.count(text, chunk), (text[:9], chunk)
+    assert len(own.maps("ab" * 700, 64)) > 20 and all(m.known for m in own.maps("ab" * 700, 64))
+
+
+def test_token_counts_of_long_runs():
+    """Runs of a million characters without white space, and a small cap on the states that are kept."""
+    t, own, rng = Tokenizer.from_file(WORD), token_counts.RunCounter(vocabulary(read_content(WORD))), random.Random(10)
+    own.machine.most = 2000
+    for text in ["".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "a" * 300_000, "x1" * 100_000]:
+        assert own.count(text) == len(t.encode(text, add_special_tokens=False).ids)
+
+
 def test_bpe_codec(docs, rows):
     t, sha = Tokenizer.from_file(WORD), lambda s: hashlib.sha256(s.encode()).hexdigest()
     exp = Counter()
