@@ -8,7 +8,8 @@ A payload of bytes is carried losslessly by the format's own unit, the coefficie
 place in the file's table of used bytes (a comment segment), and the place v of s bits becomes the
 coefficient whose magnitude bits are v, of category s (7 for up to 128 distinct bytes, else 8). No
 coefficient is zero, so each AC scan has one Huffman symbol and codes of one length; scans of that kind
-are unpacked as arrays, all others symbol by symbol.
+are unpacked as arrays, all others symbol by symbol. Wide arrays (a byte for each bit, planes of floats) are made
+for strips of blocks, so memory is a small multiple of the file and its tensor.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i
 _DCT = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)], np.float32)
 #: MCUs in a row of an image that carries a payload; each MCU is 16 x 16 pixels, 4 + 1 + 1 blocks.
 ROW = 64
+#: Blocks whose bits, and rows of MCUs whose planes, are made at once; a multiple of 8, so that strips end at bytes.
+STRIP = 4096
 #: AC coefficients that are sent in two approximations, and the rest.
 LOW, HIGH = (1, 5), (6, 63)
 
@@ -50,12 +53,10 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
     return np.unpackbits(values.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, 16 - width :]
 
 
-def _entropy(bits: np.ndarray) -> bytes:
-    """Bits as entropy-coded bytes: padded by ones, stuffed."""
+def _padded_bits(bits: np.ndarray) -> bytes:
+    """Bits as bytes, padded by ones."""
     data, pad = np.packbits(bits).tobytes(), -len(bits) % 8
-    if pad:
-        data = data[:-1] + bytes([data[-1] | (1 << pad) - 1])
-    return data.replace(b"\xff", b"\xff\x00")
+    return data[:-1] + bytes([data[-1] | (1 << pad) - 1]) if pad else data
 
 
 @functools.lru_cache(256)
@@ -64,8 +65,8 @@ def _scan_head(components: tuple, start: int, end: int, high: int, low: int) ->
 
 
 def _scan(components: tuple, start: int, end: int, high: int, low: int, bits: np.ndarray | bytes) -> bytes:
-    data = bits.replace(b"\xff", b"\xff\x00") if isinstance(bits, bytes) else _entropy(bits)
-    return _scan_head(components, start, end, high, low) + data
+    data = bits if isinstance(bits, bytes) else _padded_bits(bits)
+    return _scan_head(components, start, end, high, low) + data.replace(b"\xff", b"\xff\x00")
 
 
 @functools.lru_cache(4)
@@ -133,7 +134,7 @@ def encode_payload(payload: bytes) -> bytes:
         bits[:, 1:] = _bits(first.reshape(-1), s - 1)
         out.append(_scan(((i + 1, 0x00),), a, b, 0, 1, bits.reshape(-1)))
         rest = p[:, HIGH[0] :]  # a code and its magnitude bits are one byte if s is 7
-        out.append(_scan(((i + 1, 0x01),), *HIGH, 0, 0, rest.astype(np.uint8).tobytes() if s == 7 else _bits(rest.reshape(-1), s + 1).reshape(-1)))
+        out.append(_scan(((i + 1, 0x01),), *HIGH, 0, 0, rest.astype(np.uint8).tobytes() if s == 7 else b"".join(_padded_bits(_bits(rest[k : k + STRIP].reshape(-1), s + 1).reshape(-1)) for k in range(0, len(rest), STRIP))))
         fix = np.zeros((len(p), b - a + 2), np.uint8)
         fix[:, 1:] = magnitude & 1
         out.append(_scan(((i + 1, 0x02),), a, b, 1, 0, fix.reshape(-1)))
@@ -318,21 +319,23 @@ class Decoder:
         c, t, order = unit
         symbol = self.single.get(0x10 | (t & 15))
         flat = self.coefficients[c].reshape(-1, 64)
-        blocks, m = slice(None) if len(order) == len(flat) else order[:, 0], end - start + 1
-        count = len(order)
+        m, count = end - start + 1, len(order)
+        blocks = slice(None) if count == len(flat) else order[:, 0]
         bits = np.frombuffer(part, np.uint8)
         if symbol and not high and symbol < 16:
-            s, n = symbol, count * m
-            if len(bits) * 8 < n * (s + 1):
+            s = symbol
+            if s > 8 or len(bits) * 8 < count * m * (s + 1):
                 return False
-            if s == 7:  # a code and its magnitude bits are one byte
-                v = bits[:n].astype(np.int16)
-            elif s <= 8:
-                v = np.packbits(np.unpackbits(bits, count=n * (s + 1)).reshape(n, s + 1)[:, 1:], axis=1).reshape(-1).astype(np.int16) >> (8 - s)
-            else:
-                return False
-            v -= (v < 1 << (s - 1)) * np.int16((1 << s) - 1)
-            flat[blocks, start : end + 1] = (v << low).reshape(count, m)
+            for first in range(0, count, STRIP):  # strips begin at whole bytes
+                n, at = min(STRIP, count - first) * m, first * m * (s + 1) // 8
+                if s == 7:  # a code and its magnitude bits are one byte
+                    v = bits[at : at + n].astype(np.int16)
+                else:
+                    own = np.unpackbits(bits[at : at + -(-n * (s + 1) // 8)], count=n * (s + 1))
+                    v = np.packbits(own.reshape(n, s + 1)[:, 1:], axis=1).reshape(-1).astype(np.int16) >> (8 - s)
+                v -= (v < 1 << (s - 1)) * np.int16((1 << s) - 1)
+                where = slice(first, first + n // m) if isinstance(blocks, slice) else blocks[first : first + n // m]
+                flat[where, start : end + 1] = (v << low).reshape(-1, m)
             return True
         if symbol == 0 and high:
             x = flat[blocks, start : end + 1]
@@ -434,33 +437,47 @@ class Decoder:
 
     def rgb(self) -> np.ndarray:
         """The image as uint8 (height, width, 3): inverse transform, upsampled chroma, YCbCr to RGB."""
+        out = np.empty((self.height, self.width, 3), np.uint8)
+        step = max(1, STRIP // max(1, self.cols * self.h * self.v))
+        for first in range(0, self.rows, step):
+            part = out[first * 8 * self.v : (first + step) * 8 * self.v]
+            if len(part):
+                self._strip(part, first, min(self.rows, first + step))
+        return out
+
+    def _strip(self, out: np.ndarray, first: int, last: int) -> None:
+        """Fills the pixels of rows of MCUs."""
         planes = []
         for c, (h, v, q) in self.sampling.items():
-            z = self.coefficients[c].astype(np.float32) * self.quant[q]
+            z = self.coefficients[c][first * v : last * v].astype(np.float32) * self.quant[q]
             rows, cols = z.shape[:2]
             x = np.empty_like(z)
             x[:, :, ZIGZAG] = z
             x = _DCT.T @ x.reshape(-1, 8, 8) @ _DCT
             plane = x.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
-            planes.append(plane.repeat(self.v // v, axis=0).repeat(self.h // h, axis=1)[: self.height, : self.width])
+            planes.append(plane.repeat(self.v // v, axis=0).repeat(self.h // h, axis=1)[: len(out), : self.width])
         y = planes[0] + np.float32(128.5)
-        out = np.empty((self.height, self.width, 3), np.uint8)
         if len(planes) < 3:
             out[:] = np.clip(y, 0, 255)[:, :, None]
-            return out
+            return
         cb, cr = planes[1], planes[2]
         out[:, :, 0] = np.clip(y + np.float32(1.402) * cr, 0, 255)
         out[:, :, 1] = np.clip(y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, 0, 255)
         out[:, :, 2] = np.clip(y + np.float32(1.772) * cb, 0, 255)
-        return out
 
     def payload(self) -> bytes:
         """The bytes that encode_payload was given."""
         size, n = struct.unpack_from(">QB", self.comment)
         used = np.frombuffer(self.comment, np.uint8, n + 1, 9)
         full = (1 << (7 if len(used) <= 128 else 8)) - 1
-        c = np.concatenate([x.reshape(-1) for x in self.coefficients.values()])[:size]
-        return used[np.where(c > 0, c, c + full)].tobytes()
+        out = []
+        for x in self.coefficients.values():
+            flat = x.reshape(-1)
+            for first in range(0, min(len(flat), size), STRIP * BLOCK):
+                c = flat[first : min(size, first + STRIP * BLOCK)]
+                out.append(used[np.where(c > 0, c, c + full)].tobytes())
+            size -= min(size, len(flat))
+        return b"".join(out)
 
 
 def padded(text: str | None) -> bytes:
@@ -484,37 +501,45 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """doc_id, height, width, rgb (binary, row-major uint8) of every row of a media table (doc_id, media)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = Decoder(m).rgb()
-                yield pa.record_batch([pa.array([i], pa.int64()), *(pa.array([n], pa.int32()) for n in x.shape[:2]), pa.array([x.tobytes()], pa.binary())], ["doc_id", "height", "width", "rgb"])
-
-    return media.where(F.col("media").isNotNull()).select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+def feature(x: np.ndarray) -> str:
+    """A tensor's size and its mean RGB."""
+    return f"{x.shape[1]}x{x.shape[0]} " + " ".join(f"{v:.2f}" for v in x.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (x.shape[0] * x.shape[1]))
 
 
 def features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload and media digests and the feature (size and mean RGB) from the stored files."""
+    """doc_id, n_bytes, payload and media digests, the feature, and the tensor itself (height, width, rgb: row-major
+    uint8) of every row of a media table (doc_id, n_bytes, media), from the stored files. Rows leave in parts of a few MB."""
+    kinds = [
+        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
+        ("media_sha256", pa.string()), ("feature", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()),
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+        rows: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
         for batch in batches:
-            rows = []
             for i, n, m in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 d = Decoder(m)
                 p, x = d.payload(), d.rgb()
-                mean = x.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (x.shape[0] * x.shape[1])
-                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{x.shape[1]}x{x.shape[0]} " + " ".join(f"{v:.2f}" for v in mean)))
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(x), *x.shape[:2], x.tobytes()))
+                size += x.nbytes
+                if size > 4 << 20:
+                    yield made()
+                    rows, size = [], 0
+        if rows:
+            yield made()
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """Stores every text of docs (doc_id, text) as media and computes features() from what is read back.
+    """Stores every text of docs (doc_id, text) as media and computes features() from what is read back; the full-resolution
+    RGB tensors are a column of the result, stored where the result is stored.
 
-    Null and empty texts are 64 zero bytes; rows of equal or null ids stay rows of their own; no shuffle."""
+    Null and empty texts are 64 zero bytes; rows of equal or null ids stay rows of their own; an empty table gives an
+    empty result; other columns of docs are ignored; no shuffle."""
     return features(store_media(docs))

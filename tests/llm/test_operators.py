@@ -354,16 +354,41 @@ def test_media(docs, rows):
         media.Decoder(b"no image")
 
 
-def test_media_tensors(spark, docs):
-    """Stored media give full-resolution tensors, whose means are the features."""
-    some = docs.where("doc_id < 20")
-    stored = media.store_media(some)
-    feature = {r.doc_id: r.feature for r in media.features(stored).collect()}
-    got = media.tensors(stored.select("doc_id", "media")).collect()
-    assert len(got) == some.count() == len(feature)
-    for r in got:
-        x = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
-        assert feature[r.doc_id] == f"{r.width}x{r.height} " + " ".join(f"{v:.2f}" for v in x.reshape(-1, 3).mean(axis=0))
+def test_media_tensors(docs):
+    """Tensors and features against a plain inverse transform, coefficient by coefficient, of the payload's own numbers."""
+    some = [r for r in media.media_features(docs).collect() if r.payload_bytes <= 700]
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(hashlib.sha256(media.padded(r.text)).hexdigest(), media.padded(r.text))
+    basis = np.array([[[[(0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4 * math.cos((2 * y + 1) * u * math.pi / 16) * math.cos((2 * x + 1) * v * math.pi / 16) for v in range(8)] for u in range(8)] for x in range(8)] for y in range(8)])
+    assert len(some) > 20
+    for r in some[:25]:
+        d = media.Decoder(media.encode_payload(texts[r.payload_sha256]))
+        planes = []
+        for c in d.coefficients.values():
+            square = np.zeros((*c.shape[:2], 64))
+            square[:, :, media.ZIGZAG] = c
+            p = np.einsum("yxuv,rcuv->rycx", basis, square.reshape(*c.shape[:2], 8, 8)).reshape(c.shape[0] * 8, c.shape[1] * 8)
+            planes.append(p if len(planes) == 0 else np.kron(p, np.ones((2, 2))))
+        y, cb, cr = planes
+        rgb = np.stack([y + 128 + 1.402 * cr, y + 128 - 0.344136 * cb - 0.714136 * cr, y + 128 + 1.772 * cb], axis=2)
+        got = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert np.abs(got - np.clip(rgb, 0, 255)).max() <= 0.51
+        size, *means = r.feature.split()
+        assert size == f"{r.width}x{r.height}" and [float(m) for m in means] == pytest.approx(got.reshape(-1, 3).mean(axis=0).tolist(), abs=0.0051)
+    assert media.media_features(docs.where("false")).count() == 0
+
+
+def test_media_in_strips(monkeypatch):
+    """Strips of any size give the same files and tensors."""
+    rng = np.random.default_rng(5)
+    for p in (bytes(rng.integers(0, 256, 60_000, np.uint8)), bytes(rng.integers(0, 90, 60_000, np.uint8)), b"x"):
+        whole = media.encode_payload(p)
+        x = media.Decoder(whole).rgb()
+        monkeypatch.setattr(media, "STRIP", 8)
+        d = media.Decoder(whole)
+        assert media.encode_payload(p) == whole and d.payload() == p and (d.rgb() == x).all()
+        monkeypatch.undo()
 
 
 def test_jpeg_scans_with_runs():
