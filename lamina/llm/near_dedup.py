@@ -6,10 +6,13 @@ signature's coordinates. A document keeps the darts below its elements' weights,
 the one of lowest rank. Two documents agree at a coordinate with the probability of their weighted Jaccard
 similarity. The expected number of darts is about n + k log k, not n * k.
 
-Equal texts form one class at once. Bands of coordinates then join the distinct texts into coarse
-groups, connected by shared bands; inside a coarse group all similarities are exact, from sparse products
-over shingles that at least two members have, in blocks of bounded size, and only a spanning forest of the
-links at or above the threshold leaves a task. Classes are the connected components of these links.
+Equal texts form one class at once. Texts that share a band of coordinates meet in a bucket. First each text
+is held against one other, the least text of all its buckets, so that a group of near copies costs one
+comparison for each member. Buckets whose members are then in one component are done. The texts of all other
+buckets form coarse groups, in which all similarities are exact, from sparse products over shingles that at
+least two members have, in blocks of bounded size, and only a spanning forest of the links at or above the
+threshold leaves a task. Classes are the connected components of all links. Every pair of texts that share a
+bucket is thus either compared or already connected.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair misses all bands with probability (1 - 0.8**ROWS)**BANDS = 2e-5.
 BANDS, ROWS = 36, 6
 #: A block holds about this many documents and shingles at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 1_500, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 1_500_000
+#: Texts that are held against one text in a task, about.
+STAR_DOCS = 250
 _TAIL = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1, 16)))))  # P(Poisson(1) <= i)
 _RANK_BITS, _MARK_BITS = 42, 22
 
@@ -151,13 +156,35 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def links_in_block(ids: list[int], texts: list[str], side: np.ndarray | None, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int]], np.ndarray]:
+def verified(texts: list[str], weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each text and their number: its shingles or, weighted, a shingle's first, second ...
+    occurrence, so that the Jaccard similarity of these sets is that of the counts."""
+    shingles, sizes = common.shingle_hashes(texts, SHINGLE)
+    elements, sizes, counts = _distinct(shingles, sizes)
+    if not weighted:
+        return elements, sizes
+    turn = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return common.mix(np.repeat(elements, counts) ^ common.mix(turn.astype(np.uint64), 11), 12), np.bincount(doc, counts, len(sizes)).astype(np.int64)
+
+
+def links_to_first(texts: list[str], threshold: float = THRESHOLD, weighted: bool = False) -> np.ndarray:
+    """Whether each text but the first has a similarity of at least threshold to the first."""
+    elements, sizes = verified(texts, weighted)
+    first, rest = np.sort(elements[: sizes[0]]), elements[sizes[0] :]
+    at = np.minimum(np.searchsorted(first, rest), max(len(first) - 1, 0))
+    shared = (first[at] == rest) if len(first) else np.zeros(len(rest), bool)
+    both = np.bincount(np.repeat(np.arange(len(texts) - 1), sizes[1:]), shared, len(texts) - 1)
+    union = sizes[0] + sizes[1:] - both
+    return (both > 0) & (both >= threshold * union - 1e-6 * union)
+
+
+def links_in_block(ids: list[int], texts: list[str], side: np.ndarray | None, threshold: float = THRESHOLD, weighted: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
     """A spanning forest of the links at or above threshold, and each document's number of links.
 
     side: False and True for the documents of two blocks, between which links are sought; None: among all."""
     n = len(ids)
-    shingles, sizes = common.shingle_hashes(texts, SHINGLE)
-    elements, sizes, _ = _distinct(shingles, sizes)
+    elements, sizes = verified(texts, weighted)
     doc = np.repeat(np.arange(n), sizes)
     _, column, df = np.unique(elements, return_inverse=True, return_counts=True)
     if side is None:
@@ -225,17 +252,17 @@ def _lone() -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id, class_id, n_links, copies of every row of docs (doc_id, text; other columns are ignored).
+    """doc_id, class_id, copies of every row of docs (doc_id, text; other columns are ignored).
 
     class_id: least doc_id of the documents connected by links, which are equal texts or pairs whose sets
     of shingles (five lower-cased words; fewer words: all of them) have a Jaccard similarity of at least
-    threshold. copies: rows with this text; n_links: other texts linked to it. Rows without words (null,
-    empty, white space) and rows of null id are classes of their own. Rows of equal id and text are
-    copies; rows of equal id with different texts have the class of their text each, and two classes may
-    have the same least doc_id."""
+    threshold; with weighted, shingles count as often as they occur, in the signatures and in the similarity.
+    copies: rows with this text. Rows without words (null, empty, white space) and rows of null id are classes
+    of their own. Rows of equal id and text are copies; rows of equal id with different texts have the class of
+    their text each, and two classes may have the same least doc_id. An empty table gives an empty result."""
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    out = text_classes(docs, threshold, bands, rows, weighted).select("doc_id", "class_id", "n_links", "copies")
-    alone = base.where(_lone() | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+    out = text_classes(docs, threshold, bands, rows, weighted).select("doc_id", "class_id", "copies")
+    alone = base.where(_lone() | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
     return out.unionByName(alone)
 
 
@@ -249,45 +276,68 @@ def first_of_classes(docs: DataFrame) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id, text_key, root (a number of the class), class_id, n_links, copies of rows with an id and a word.
+    """doc_id, text_key, root (a number of the class), class_id, copies of rows with an id and a word.
 
     Each distinct text is a node of its own, numbered by a 64-bit hash of text_key."""
     spark = docs.sparkSession
     common.prepare(spark)
     base = docs.select(F.col("doc_id").cast("long"), "text")
     table = common.stored(sketch(base.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()), bands, rows, weighted), "sketch")
-    texts = table.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("text_key"))
-    texts = common.stored(texts, "texts")
+    texts = table.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
+    texts = common.stored(texts.withColumn("node", F.xxhash64("text_key")), "texts")
     # the representative's row of keys; rows of equal id and text are one
-    reps = table.join(texts, (table["text_key"] == texts["text_key"]) & (table["doc_id"] == texts["rep"]), "left_semi").select(F.xxhash64("text_key").alias("node"), "n_shingles", "keys")
+    reps = table.join(texts, (table["text_key"] == texts["text_key"]) & (table["doc_id"] == texts["rep"]), "left_semi").select(F.xxhash64("text_key").alias("node"), "keys")
     banded = common.stored(reps.select("node", F.posexplode("keys").alias("band", "key")), "bands")
-    first = banded.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = banded.join(first, ["band", "key"]).select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
-    coarse = common.stored(connected_components(star, "coarse"), "coarse")
-    sizes = reps.select("node", "n_shingles").distinct()
-    members = coarse.join(sizes, "node").select("node", "root", "n_shingles")
-    groups = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
-    groups = groups.select("root", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(groups, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(texts.select("node", "rep", "text_key"), "node")
-    own = base.withColumn("key", text_key()).join(members, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("text_key"))).select("node", "text", "root", "blocks", "block")
+    first = banded.groupBy("band", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
+    shared = common.stored(banded.join(first, ["band", "key"]).select("band", "key", "node", "first"), "buckets")
+    common.discard(banded)
+
+    def with_text(members: DataFrame) -> DataFrame:
+        """members (node, ...) with rep and text of each node; each text travels once for each of its rows."""
+        known = members.join(texts.select("node", "rep", "text_key"), "node")
+        return base.withColumn("_key", text_key()).join(known, (F.col("doc_id") == F.col("rep")) & (F.col("_key") == F.col("text_key"))).select("text", *members.columns)
+
+    def dealt(members: DataFrame, key: str, most: int) -> DataFrame:
+        """members with blocks: in how many blocks their group is cut, by its texts and its shingles."""
+        sized = members.join(texts.select("node", "n_shingles"), "node")
+        groups = sized.groupBy(key).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+        return members.join(groups.select(key, F.ceil(F.greatest(F.col("n") / most, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks")), key)
+
+    # each text and the least text of its buckets
+    stars = shared.where("node <> first").groupBy("node").agg(F.min("first").alias("centre"))
+    stars = dealt(stars, "centre", STAR_DOCS).select("node", "centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    stars = common.stored(stars, "stars")
+    centres = stars.select(F.col("centre").alias("node"), "centre", "block").distinct()
+
+    def star(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        pdf = pd.concat([pdf[pdf["node"] == pdf["centre"]], pdf[pdf["node"] != pdf["centre"]]])
+        linked = pdf[1:][links_to_first(pdf["text"].tolist(), threshold, weighted)] if len(pdf) > 1 else pdf[:0]
+        return pd.DataFrame({"a": linked["node"], "b": linked["centre"]}).astype("int64")
+
+    links = common.stored(with_text(stars.unionByName(centres)).groupBy("centre", "block").applyInPandas(star, "a long, b long"), "links")
+    classes = connected_components(links, "classes")
+
+    # buckets whose texts are in several components, and their texts in coarse groups
+    rooted = shared.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "key")
+    edges = shared.join(mixed, ["band", "key"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    coarse = common.stored(connected_components(edges, "coarse"), "coarse")
+    members = dealt(coarse, "root", BLOCK_DOCS).select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # a row for each pair of blocks that its block is in: (block, j) and (i, block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = own.select("node", "text", "root", "block", other.alias("other"))
+    spread = with_text(members).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("node", "text", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").drop_duplicates("node")
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        side = None if i == j else (pdf["block"] == j).to_numpy()
-        ids = pdf["node"].tolist()
-        forest, degree = links_in_block(ids, pdf["text"].tolist(), side, threshold)
-        return pd.DataFrame({"a": [x for x, _ in forest] + ids, "b": [y for _, y in forest] + ids, "n": [0] * len(forest) + degree.tolist()}).astype("int64")
-
-    found = common.stored(spread.groupBy("root", "i", "j").applyInPandas(run, "a long, b long, n long"), "links")
-    degrees = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    classes = connected_components(found.where("a <> b").select("a", "b"), "classes")
-    by_text = texts.join(classes, "node", "left").join(degrees, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        forest, _ = links_in_block(pdf["node"].tolist(), pdf["text"].tolist(), None if i == j else (pdf["block"] == j).to_numpy(), threshold, weighted)
+        return pd.DataFrame({"a": [x for x, _ in forest], "b": [y for _, y in forest]}).astype("int64")
+
+    found = spread.groupBy("root", "i", "j").applyInPandas(run, "a long, b long")
+    more = classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    classes = connected_components(more.unionByName(found), "classes")
+    by_text = texts.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_text.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_text = by_text.join(least, "root").select("text_key", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
-    return table.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", "text_key", "root", "class_id", "n_links", "copies")
+    by_text = by_text.join(least, "root").select("text_key", "root", "class_id", "copies")
+    return table.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", "text_key", "root", "class_id", "copies")
