@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 INVALID_PARAMS, INTERNAL = -32602, -32603
 
 
@@ -17,6 +19,10 @@ class EngineError(Exception):
     def data(self) -> dict[str, str]:
         return {"tool": self.tool, "constraint": self.constraint, "next_action": self.next_action}
 
+    def json(self) -> str:
+        """{code, message, data} as tools report it."""
+        return json.dumps({"code": self.code, "message": str(self), "data": self.data()}, ensure_ascii=False)
+
 
 class NotFound(EngineError):
     code = INVALID_PARAMS

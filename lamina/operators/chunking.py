@@ -62,16 +62,20 @@ def fence_states(lines: Column) -> Column:
     """lines as structs (score, kind, open) with fences resolved: any fence marker closes any other, and
     lines inside a fence score 0. open tells whether the line stands inside a fence."""
     classes = F.transform(lines, classify_line)
-    empty = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<score:int,kind:int,open:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def resolved(c: Column) -> Column:
+        # lines up to and with fence k lie inside if k is odd: a run of equal states for each fence, and one for the rest
+        at = F.concat(F.filter(F.transform(c, lambda x, i: F.when(x["kind"] == FENCE_KIND, i)), lambda i: i.isNotNull()), F.array(F.size(c) - 1))
+        runs = T.let(at, lambda p: F.flatten(F.transform(p, lambda e, k: F.array_repeat(k % 2 == 1, e - F.when(k == 0, -1).otherwise(F.get(p, k - 1))))))
+        return F.zip_with(c, runs, state)
+
+    def state(x: Column, inside: Column) -> Column:
         fence = x["kind"] == FENCE_KIND
-        score = F.when(~fence & acc["open"], 0).otherwise(x["score"]).cast("int")
-        kind = F.when(fence, F.when(acc["open"], AFTER).otherwise(BEFORE)).when(acc["open"], NONE).otherwise(x["kind"]).cast("int")
-        item = F.struct(score.alias("score"), kind.alias("kind"), acc["open"].alias("open"))
-        return F.struct((fence != acc["open"]).alias("open"), F.concat(acc["out"], F.array(item)).alias("out"))
+        score = F.when(~fence & inside, 0).otherwise(x["score"]).cast("int")
+        kind = F.when(fence, F.when(inside, AFTER).otherwise(BEFORE)).when(inside, NONE).otherwise(x["kind"]).cast("int")
+        return F.struct(score.alias("score"), kind.alias("kind"), inside.alias("open"))
 
-    return F.aggregate(classes, empty, step, lambda a: a["out"])
+    return T.let(classes, resolved)
 
 
 def decay(size: Column, target: int) -> Column:

@@ -15,7 +15,7 @@ from ..operators import vector as V
 from ..operators.embed import HashingProvider, embed_chunks
 from ..sources import files as S
 from . import hybrid, store
-from .ingest import first_of_each
+from .ingest import first_of_each, ingest, report
 from .library import Library
 
 SMALL = C.ChunkConfig(40, 20)
@@ -430,6 +430,34 @@ def ingest_report(spark, d):
     return rows.groupBy("status").agg(F.count("*").alias("leaves")).withColumn("skipped", F.lit(n - rows.count()).cast("long"))
 
 
+@query(f"WITH {LEAF} SELECT content_hash, CASE WHEN doc_id % 4 = 0 THEN 'error' ELSE status END AS status, CASE WHEN doc_id % 4 = 0 THEN 'broken' END AS error, CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM leaves")
+def leaf_mark(spark, d):
+    rows = leaves(spark, d)
+    hit = rows.where("doc_id % 4 = 0").select(F.col("content_hash").alias("leaf_id"))
+    marked = store.mark(rows.withColumn("error", F.lit(None).cast("string")), "error", hit.unionByName(hit), AS_OF, "broken")
+    return marked.select("content_hash", "status", "error", "updated_at")
+
+
+@query("SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id < 200 THEN 'old' ELSE 'new' END AS content_text FROM embeddings")
+def segment_upsert(spark, d):
+    rows = vector_library(spark, d).chunks.select("id", "chunk_index")
+    old, new = rows.where("chunk_index < 300").withColumn("content_text", F.lit("old")), rows.where("chunk_index >= 200").withColumn("content_text", F.lit("new"))
+    return store.upsert(old, new, ["id"]).select("id", "content_text")
+
+
+@query(f"WITH RECURSIVE {LEAF}, {chunks_sql('doc_src', SMALL)} SELECT leaf_id, segment_index, chunk_index, chunk_label, coalesce(right(lag(content_text) OVER (PARTITION BY leaf_id ORDER BY chunk_index), 20), '') || content_text AS content_text FROM chunked")
+def chunk_overlap(spark, d):
+    return C.chunk_segments(doc_segments(spark, d), C.ChunkConfig(40, 20, 5))
+
+
+@query(f"""WITH RECURSIVE {LEAF}, cut AS (WITH RECURSIVE {PLAIN} SELECT * FROM segs), named AS (SELECT leaf_id || '|' || segment_index AS leaf_id, segment_label AS label, content_text AS text FROM cut), {chunks_sql('named', C.ChunkConfig())}
+SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM leaf) AS ingested, 0::BIGINT AS errors, (SELECT count(*) FROM cut) AS segments, (SELECT count(*) FROM chunked) AS chunks, (SELECT count(*) FROM documents) - (SELECT count(*) FROM leaf) AS skipped""")
+def ingest_counts(spark, d):
+    content = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).cast("binary")
+    rows = table(spark, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_path"), content.alias("content"), F.sha2(content, 256).alias("content_hash"), F.lit("plain_text").alias("format"))
+    return report(rows, ingest(rows, AS_OF)).select("total", "ingested", "errors", "segments", "chunks", "skipped")
+
+
 # --- extensions -----------------------------------------------------------------------------------
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"

@@ -49,7 +49,7 @@ class Library:
     def read(self, leaf_id: str, segment_index: int, chunk_index: int | None = None, to_chunk_index: int | None = None) -> DataFrame:
         """mode, content and chunks of a segment, a chunk or a range of chunks; no row if there is nothing.
 
-        Without chunk_index the whole segment is read and to_chunk_index is ignored."""
+        Without chunk_index the whole segment is read and to_chunk_index is ignored. read_or_raise() raises instead."""
         rows = self.chunks.where((F.col("leaf_id") == leaf_id) & (F.col("segment_index") == segment_index))
         mode = "segment" if chunk_index is None else "chunk" if to_chunk_index is None else "range"
         if mode != "segment":
@@ -58,12 +58,21 @@ class Library:
         found = rows.agg(F.sort_array(F.collect_list(one)).alias("chunks")).where(F.size("chunks") > 0)
         return found.select(F.lit(mode).alias("mode"), F.array_join(F.col("chunks.content"), "\n\n").alias("content"), "chunks")
 
+    def read_or_raise(self, leaf_id: str, segment_index: int, chunk_index: int | None = None, to_chunk_index: int | None = None) -> DataFrame:
+        """read(), or NotFound if it has no row."""
+        return self.require("read", self.read(leaf_id, segment_index, chunk_index, to_chunk_index), f"segment {segment_index} of {leaf_id}, or its chunks,")
+
     def outline(self, leaf_id: str) -> DataFrame:
+        """Segments of a leaf in order; NotFound if there is no such leaf."""
+        self.require("outline", self.leaves.where(F.col("content_hash") == leaf_id), f"the leaf {leaf_id}")
         return self.segments.where(F.col("leaf_id") == leaf_id).select("segment_index", "segment_label").orderBy("segment_index")
 
     def _summaries(self, leaves: DataFrame, chunks: DataFrame) -> DataFrame:
+        """leaves (at most as many as a listing has) with chunk_count and tags; only their chunks and tags are grouped."""
+        listed = F.broadcast(leaves.select(F.col("content_hash").alias("leaf_id")))
+        chunks, marks = chunks.join(listed, "leaf_id", "left_semi"), self.leaf_tags.join(listed, "leaf_id", "left_semi")
         counts = chunks.groupBy("leaf_id").agg(F.count("*").alias("chunk_count")).withColumnRenamed("leaf_id", "content_hash")
-        tags = self.leaf_tags.groupBy(F.col("leaf_id").alias("content_hash")).agg(F.sort_array(F.collect_list("tag")).alias("tags"))
+        tags = marks.groupBy(F.col("leaf_id").alias("content_hash")).agg(F.sort_array(F.collect_list("tag")).alias("tags"))
         out = leaves.join(counts, "content_hash", "left").join(tags, "content_hash", "left")
         empty = F.array().cast("array<string>")
         return out.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "tags": F.coalesce("tags", empty)})

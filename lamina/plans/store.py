@@ -1,4 +1,4 @@
-"""Mutations as plans, and snapshots: each writes a whole new folder, then swaps a pointer file."""
+"""Mutations as plans, and a store of snapshots: parts are written whole, then a pointer file that names them appears."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .library import Library
@@ -69,34 +70,70 @@ def merge(a: Library, b: Library) -> Library:
 
 
 class Store:
-    """Snapshots of a library below root; readers see the folder that the pointer names."""
+    """Snapshots of a library below root. A snapshot is a list of parts, named by the pointer file of the highest number.
+
+    A pointer is written under another name and renamed to a number that does not exist yet, so there is a whole
+    pointer at all times: a commit that dies leaves the snapshot before it. Parts that no pointer names are ignored."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        path = self._path(f"{self.root}/CURRENT")
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if self._fs.exists(path) else None
+    def _last(self) -> int:
+        if not self._fs.exists(self._path(self.root)):
+            return 0
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.root))]
+        return max((int(n[8:]) for n in names if n.startswith("CURRENT-")), default=0)
 
-    def load(self) -> Library | None:
-        now = self.current()
-        return Library(*(self.spark.read.parquet(f"{self.root}/{now}/{t}") for t in TABLES)) if now else None
+    def parts(self) -> list[str]:
+        """The parts of the present snapshot, oldest first."""
+        n = self._last()
+        return [r[0] for r in self.spark.read.text(f"{self.root}/CURRENT-{n:012d}").collect()] if n else []
 
-    def commit(self, library: Library) -> str:
-        """Writes all tables, chunks ordered for citation reads, then swaps the pointer."""
-        name = f"snap-{uuid.uuid4().hex}"
+    def load(self) -> Library | None:
+        """The present snapshot; of a leaf that several parts have, the last one's row."""
+        parts = self.parts()
+        if not parts:
+            return None
+        read = lambda t: self.spark.read.parquet(*(f"{self.root}/{part}/{t}" for part in parts))
+        leaves = read("leaves")
+        if len(parts) > 1:
+            place = F.create_map(*(x for i, part in enumerate(parts) for x in (F.lit(part), F.lit(i))))
+            part = F.regexp_extract(F.col("_metadata.file_path"), "(part-[0-9a-f]+)/leaves/", 1)
+            last = W.partitionBy("content_hash").orderBy(F.desc("_place"))
+            leaves = leaves.withColumn("_place", place[part]).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_place")
+        return Library(leaves, *(read(t) for t in TABLES[1:]))
+
+    def _write(self, library: Library) -> str:
+        """A part with all tables, segments and chunks ordered for citation reads."""
+        name = f"part-{uuid.uuid4().hex}"
         for t in TABLES:
             rows = getattr(library, t)
             if t in ("segments", "chunks"):
                 rows = rows.repartition("leaf_id").sortWithinPartitions(*[c for c in ("leaf_id", "segment_index", "chunk_index") if c in rows.columns])
             rows.write.parquet(f"{self.root}/{name}/{t}")
-        new, at = self._path(f"{self.root}/.CURRENT-{name}"), self._path(f"{self.root}/CURRENT")
+        return name
+
+    def _point(self, parts: list[str], number: int) -> None:
+        new, at = self._path(f"{self.root}/.pointer-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT-{number:012d}")
         stream = self._fs.create(new, True)
-        stream.write(name.encode())
+        stream.write("\n".join(parts).encode())
         stream.close()
-        self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
-            raise OSError("the pointer could not be swapped")
+        if self._fs.exists(at) or not self._fs.rename(new, at):
+            raise OSError("another commit came first")
+
+    def commit(self, library: Library) -> str:
+        """A snapshot of this library alone."""
+        number = self._last() + 1
+        name = self._write(library)
+        self._point([name], number)
+        return name
+
+    def append(self, library: Library) -> str:
+        """The present snapshot with this library's rows; its leaves replace leaves of equal hash, which may have no
+        segments, chunks or tags yet. Nothing that is stored is written again; commit(load()) makes one part of many."""
+        number, parts = self._last() + 1, self.parts()
+        name = self._write(library)
+        self._point([*parts, name], number)
         return name

@@ -94,8 +94,8 @@ def epub_segments(files: DataFrame) -> DataFrame:
             for leaf, content in zip(pdf["leaf_id"], pdf["content"]):
                 try:
                     rows += [(leaf, i, label, text, None) for i, label, text in segments(content)]
-                except ValueError as e:
-                    rows.append((leaf, None, None, None, str(e)))
+                except Exception as e:  # noqa: BLE001  a broken, encrypted or unsupported member is a row, not a failed job
+                    rows.append((leaf, None, None, None, str(e) or type(e).__name__))
             out = pd.DataFrame(rows, columns=["leaf_id", "segment_index", "segment_label", "content_text", "error"])
             yield out.astype({"segment_index": "Int32"})
 

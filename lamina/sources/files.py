@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ def supported(path: str) -> bool:
 
 def collect_files(folder: str) -> list[str]:
     """All supported files below folder, sorted; folders whose name starts with a dot are left out."""
-    found = []
+    found, seen = [], {os.path.realpath(folder)}
     for at, folders, names in os.walk(folder, followlinks=True):
-        folders[:] = [d for d in folders if not d.startswith(".")]
+        real = {d: os.path.realpath(os.path.join(at, d)) for d in folders if not d.startswith(".")}
+        folders[:] = [d for d in sorted(real) if real[d] not in seen]  # a folder that links lead to again is walked once
+        seen.update(real[d] for d in folders)
         found += [os.path.join(at, n) for n in names if supported(n)]
     return sorted(found)
 
@@ -59,7 +62,22 @@ def allowed(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source_path, content, content_hash (sha-256), format of given files, in one distributed scan."""
-    rows = spark.read.format("binaryFile").load(paths)
+    """source_path, content, content_hash (sha-256), format of given files, in one distributed scan.
+
+    Paths are literal: signs that a glob would read are escaped. Spark's reader leaves out names that start with a
+    dot or an underscore."""
+    return described(spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]))
+
+
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """read_files() of all supported files below a folder of any file system that Spark reads; names are chosen while
+    files are listed, so no other file is opened. Names that start with a dot or an underscore are left out."""
+    names = "*.{" + ",".join(EXTENSIONS) + "}"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
+    return described(rows).where(allowed(F.col("source_path")))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """source_path, content, content_hash, format of rows of a binary-file scan."""
     path = F.regexp_replace("path", "^file:/*", "/")
     return rows.select(path.alias("source_path"), "content", F.sha2("content", 256).alias("content_hash"), format_of(path).alias("format"))

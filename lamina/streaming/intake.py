@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.chunking import ChunkConfig
 from ..operators.embed import Provider
 from ..plans.ingest import ingest
-from ..plans.library import Library
-from ..plans.store import Store, merge, purge
+from ..plans.store import Store
 from ..sources import files as S
 
 
@@ -23,16 +22,18 @@ def files_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_available(spark: SparkSession, folder: str, store: Store, checkpoint: str, cfg: ChunkConfig = ChunkConfig(), provider: Provider | None = None) -> None:
-    """Takes in all new files, then stops; a batch that is run again finds its leaves ready and changes nothing."""
+    """Takes in all new files, then stops; a batch that is run again finds its leaves ready and changes nothing.
+
+    A batch is appended as a part of its own. Files whose leaf has the status error are tried again; the leaf keeps its
+    created_at."""
 
     def batch(rows: DataFrame, number: int) -> None:
         old = store.load()
         new = ingest(rows.persist(), datetime.now(timezone.utc), cfg=cfg, provider=provider, known=old.leaves if old else None)
         if old:
-            redone = new.leaves.select(F.col("content_hash").alias("leaf_id"))
-            kept = Library(old.leaves.join(new.leaves.select("content_hash"), "content_hash", "left_anti"), purge(old.segments, redone), purge(old.chunks, redone), old.leaf_tags)
-            new = merge(kept, new)
-        store.commit(new)
+            before = old.leaves.select("content_hash", F.col("created_at").alias("_created"))
+            new.leaves = new.leaves.join(before, "content_hash", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
+        store.append(new)
         rows.unpersist()
 
     query = files_stream(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lamina.errors import Ambiguous, EngineError, NotFound
 from lamina.operators.embed import HashingProvider, HttpProvider, embed_query, provider_of
 from lamina.plans import ingest as I
+from lamina.plans.library import Library
 from lamina.plans.store import Store, mark, merge
 from lamina.sources import files, pdf
 from lamina.streaming.intake import run_available
@@ -77,10 +78,67 @@ def test_store_and_stream(spark, folder, library, tmp_path):
     other = Store(spark, str(tmp_path / "stream"))
     for n in (6, 7):
         run_available(spark, str(folder), other, str(tmp_path / "cp"))
-        assert other.load().leaves.count() == n
+        assert other.load().leaves.count() == n and len(other.parts()) == n - 5
         (folder / "new.txt").write_text("new words")
 
 
+def test_store_survives_a_commit_that_dies(spark, library, tmp_path, monkeypatch):
+    _, lib = library
+    store = Store(spark, str(tmp_path))
+    first = store.commit(lib)
+
+    def dies(*a):
+        raise RuntimeError("dies")
+
+    monkeypatch.setattr(store, "_point", dies)
+    with pytest.raises(RuntimeError):
+        store.commit(lib)
+    monkeypatch.undo()
+    assert store.parts() == [first] and store.load().leaves.count() == 6
+    with pytest.raises(OSError):
+        store._point(["other"], 1)  # a number that is taken
+    assert store.parts() == [first]
+
+
+def test_appended_leaves_replace_failed_ones(spark, library, tmp_path):
+    _, lib = library
+    store = Store(spark, str(tmp_path))
+    store.commit(lib)
+    bad = lib.leaves.where("status = 'error'")
+    n = bad.count()
+    store.append(Library(bad.withColumn("status", F.lit("ready")), *(getattr(lib, t).where("false") for t in ("segments", "chunks", "leaf_tags"))))
+    now = store.load()
+    assert n == 2 and len(store.parts()) == 2 and now.leaves.count() == 6 == now.leaves.where("status = 'ready'").count() and now.chunks.count() == lib.chunks.count()
+    store.commit(now)
+    assert len(store.parts()) == 1 and store.load().leaves.where("status = 'ready'").count() == 6
+
+
+def test_names_with_glob_signs_and_link_loops(spark, tmp_path):
+    for name in ("a[1].txt", "b{x,y}.txt", "c*.txt", "d?.md", "e.rs"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "f.txt").write_text("f")
+    (tmp_path / "sub" / "loop").symlink_to(tmp_path)
+    paths = files.collect_files(str(tmp_path))
+    names = sorted(p.rsplit("/")[-1] for p in paths)
+    assert names == ["a[1].txt", "b{x,y}.txt", "c*.txt", "d?.md", "f.txt"]
+    got = {r.source_path.rsplit("/")[-1]: bytes(r.content).decode() for r in files.read_files(spark, paths).collect()}
+    assert sorted(got) == names and all(got[n] == n for n in names if n != "f.txt")
+    (tmp_path / "sub" / "loop").unlink()
+    assert sorted(r.source_path.rsplit("/")[-1] for r in files.read_folder(spark, str(tmp_path)).select("source_path").collect()) == names
+
+
+def test_what_is_not_there(library):
+    _, lib = library
+    leaf = lib.leaves.where("format = 'markdown'").first().content_hash
+    with pytest.raises(NotFound) as e:
+        lib.outline("none")
+    assert json.loads(e.value.json())["code"] == -32602 and json.loads(e.value.json())["data"]["tool"] == "outline"
+    with pytest.raises(NotFound):
+        lib.read_or_raise(leaf, 9)
+    assert lib.read_or_raise(leaf, 1).first().content == "dogs bark"
+
+
 def test_pdf_backend(spark):
     def backend(content):
         if content == b"bad":

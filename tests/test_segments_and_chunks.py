@@ -169,6 +169,11 @@ def test_epub(spark):
     df = spark.createDataFrame([("a", bytearray(book())), ("b", bytearray(b"no zip"))], "leaf_id string, content binary")
     rows = epub.epub_segments(df).collect()
     assert len(rows) == 3 and [r for r in rows if r.leaf_id == "b"][0].error
+    whole = book()
+    at = whole.index(b"<p>One")
+    broken = whole[:at] + b"<p>Two" + whole[at + 6 :]  # a member whose checksum is wrong
+    rows = epub.epub_segments(spark.createDataFrame([("a", bytearray(broken)), ("b", bytearray(whole))], "leaf_id string, content binary")).collect()
+    assert [r.error is not None for r in sorted(rows, key=lambda r: r.leaf_id)] == [True, False, False]
 
 
 def test_files(tmp_path):
