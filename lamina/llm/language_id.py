@@ -69,26 +69,26 @@ class Space:
 
     def profiles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Unit profile of each text (zero without letters), and whether it has letters."""
-        joined = "\n\n".join(t.lower() for t in texts)
+        joined = "\n" + "".join(t.lower() + "\n" for t in texts)  # a blank before and after each text, wherever it stands
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         out = np.zeros((len(texts), self.dimensions), np.float32)
-        if not len(codes):
-            return out, np.zeros(len(texts), bool)
         letter = self.is_letter(codes)
-        doc = np.repeat(np.arange(len(texts)), [len(t.lower()) + 2 for t in texts])[: len(codes)]
+        doc = np.append(0, np.repeat(np.arange(len(texts)), [len(t.lower()) + 1 for t in texts]))
         has = np.zeros(len(texts), bool)
         has[doc[letter]] = True
         code = np.where(letter, codes, 32).astype(np.int64)
         keep = letter.copy()
+        keep[0] = True
         keep[1:] |= letter[:-1]  # of each run of other signs the first stays, as a blank
         code, doc = code[keep], doc[keep]
         if len(code) < self.gram:
             return out, has
         n = len(code) - self.gram + 1
         gram = sum(code[k : k + n] << (21 * k) for k in range(self.gram))
-        mid = (code[1 : 1 + n] != 32) & (doc[:n] == doc[self.gram - 1 :])
+        # only a blank may come from the text before, and from none after
+        mid = (code[1 : 1 + n] != 32) & (doc[1 : 1 + n] == doc[self.gram - 1 :])
         distinct, inverse = np.unique(gram[mid], return_inverse=True)
-        doc = doc[:n][mid]
+        doc = doc[1 : 1 + n][mid]
         for at in range(0, len(distinct), self.most // 4):
             part = distinct[at : at + self.most // 4]
             rows = self.rows(part)
