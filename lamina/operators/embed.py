@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -17,7 +17,9 @@ from ..errors import EngineError
 
 
 class Provider(Protocol):
-    """What a provider offers; query_prefix goes before queries only."""
+    """What a provider offers; query_prefix goes before queries only.
+
+    A provider may have embed_image_bytes(images) as well; without it images get no vectors."""
 
     provider_name: str
     model_name: str
@@ -33,9 +35,12 @@ def embed_query(provider: Provider, query: str) -> list[float]:
 
 def checked(provider: Provider, texts: list[str]) -> list[list[float]]:
     """embed_batch(); too few or too many vectors, or a wrong length, is an error."""
-    found = provider.embed_batch(texts)
-    if len(found) != len(texts) or any(len(v) != provider.dimension for v in found):
-        raise EngineError("embed", f"{provider.provider_name} gave {len(found)} vectors for {len(texts)} texts, or wrong lengths", "check the provider")
+    return _whole(provider, provider.embed_batch(texts), len(texts))
+
+
+def _whole(provider: Provider, found: list[list[float]], n: int) -> list[list[float]]:
+    if len(found) != n or any(len(v) != provider.dimension for v in found):
+        raise EngineError("embed", f"{provider.provider_name} gave {len(found)} vectors for {n} inputs, or wrong lengths", "check the provider")
     return found
 
 
@@ -101,20 +106,56 @@ def provider_of(kind: str | None, **options) -> Provider | None:
     return kinds[kind](**options)
 
 
-def embed_chunks(chunks: DataFrame, provider: Provider | None, batch: int = 256) -> DataFrame:
-    """chunks with embedding, embed_provider, embed_model, embed_dimension; null texts get null vectors."""
+def embed_images(provider: Provider, images: list[bytes]) -> list[list[float]]:
+    """Vectors of encoded images, checked as those of texts; an error if the provider has none for images."""
+    own = getattr(provider, "embed_image_bytes", None)
+    if own is None:
+        raise EngineError("embed", f"{provider.provider_name} does not support images", "use a provider with embed_image_bytes")
+    return _whole(provider, own(images), len(images))
+
+
+def _embed(embed: Callable[[list], list[list[float]]], values: list, leaves: list, at: list[int], vectors: list, errors: list | None) -> None:
+    """Sets vectors of the values at these places. Where embed() raises and errors is a list, the leaves among them are
+    tried one by one, so that a leaf's error is its own."""
+    try:
+        for i, v in zip(at, embed([values[i] for i in at])):
+            vectors[i] = v
+    except Exception as e:  # the provider's error is the leaf's, not the job's, if errors are kept
+        own = sorted({leaves[i] or "" for i in at})
+        if errors is None:
+            raise
+        for leaf in own if len(own) > 1 else ():
+            _embed(embed, values, leaves, [i for i in at if (leaves[i] or "") == leaf], vectors, errors)
+        for i in at if len(own) == 1 else ():
+            errors[i] = f"{type(e).__name__}: {e}"[:500]
+
+
+def embed_chunks(chunks: DataFrame, provider: Provider | None, batch: int = 256, isolate: bool = False) -> DataFrame:
+    """chunks with embedding, embed_provider, embed_model, embed_dimension; null texts get null vectors.
+
+    A column image (binary, null for texts) is embedded where the provider takes images, and dropped. With isolate,
+    which needs leaf_id, an error of the provider gives null vectors and its text in the column embed_error (null
+    elsewhere); otherwise it fails the job."""
+    image = F.col("image") if "image" in chunks.columns else F.lit(None).cast("binary")
+    error = F.lit(None).cast("string")
     if provider is None:
-        return chunks.withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_provider": F.lit("none"), "embed_model": F.lit("none"), "embed_dimension": F.lit(0)})
-
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            some = s[s.notna()]
-            found: list[list[float]] = []
-            for i in range(0, len(some), batch):
-                found += checked(provider, some.iloc[i : i + batch].tolist())
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            out[some.index] = pd.Series(found, index=some.index, dtype=object)
-            yield out
-
-    return chunks.withColumns({"embedding": vectors("content_text"), "embed_provider": F.lit(provider.provider_name), "embed_model": F.lit(provider.model_name), "embed_dimension": F.lit(provider.dimension)})
+        out = chunks.withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_provider": F.lit("none"), "embed_model": F.lit("none"), "embed_dimension": F.lit(0)})
+        return (out.withColumn("embed_error", error) if isolate else out).drop("image")
+    sees = hasattr(provider, "embed_image_bytes")
+
+    @F.pandas_udf("embedding array<float>, embed_error string")
+    def vectors(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, images, leaves in parts:
+            found: list = [None] * len(texts)
+            errors: list | None = [None] * len(texts) if isolate else None
+            jobs = [(lambda x: checked(provider, x), texts)] + ([(lambda x: embed_images(provider, [bytes(b) for b in x]), images)] if sees else [])
+            for embed, column in jobs:
+                some, values = [i for i, x in enumerate(column.notna()) if x], column.tolist()
+                for i in range(0, len(some), batch):
+                    _embed(embed, values, leaves.tolist(), some[i : i + batch], found, errors)
+            yield pd.DataFrame({"embedding": pd.Series(found, dtype=object), "embed_error": pd.Series(errors or [None] * len(found), dtype=object)})
+
+    leaf = F.col("leaf_id") if isolate else F.lit("")
+    out = chunks.withColumn("_e", vectors(F.col("content_text"), image, leaf)).withColumn("embedding", F.col("_e.embedding"))
+    out = out.withColumns({"embed_provider": F.lit(provider.provider_name), "embed_model": F.lit(provider.model_name), "embed_dimension": F.lit(provider.dimension)})
+    return (out.withColumn("embed_error", F.col("_e.embed_error")) if isolate else out).drop("_e", "image")

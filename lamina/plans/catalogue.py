@@ -14,7 +14,7 @@ from ..operators import decompose as D
 from ..operators import vector as V
 from ..operators.embed import HashingProvider, embed_chunks
 from ..sources import files as S
-from . import hybrid, store
+from . import events, hybrid, store
 from .ingest import first_of_each, ingest, report
 from .library import Library
 
@@ -458,6 +458,30 @@ def ingest_counts(spark, d):
     return report(rows, ingest(rows, AS_OF)).select("total", "ingested", "errors", "segments", "chunks", "skipped")
 
 
+@query(f"WITH {LEAF} SELECT content_hash, CASE WHEN doc_id % 5 = 0 THEN 'de' ELSE collection END AS collection, CASE WHEN doc_id % 5 = 0 AND collection IS DISTINCT FROM 'de' THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM leaves")
+def collection_move(spark, d):
+    rows = leaves(spark, d)
+    hit = rows.where("doc_id % 5 = 0").select(F.col("content_hash").alias("leaf_id"))
+    return store.move_collection(rows, hit.unionByName(hit), "de", AS_OF).select("content_hash", "collection", "updated_at")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Two events for most leaves: a move, then a deletion of the new path or of the old one."""
+    rows, i = leaves(spark, d), F.col("doc_id")
+    new = F.concat(F.lit("new/"), "source_path")
+    first = rows.where("doc_id % 3 < 2").select((2 * i).alias("event_id"), F.lit("moved").alias("event_type"), "content_hash", new.alias("path"))
+    second = rows.where("doc_id % 4 < 2").select((2 * i + 1).alias("event_id"), F.lit("deleted").alias("event_type"), "content_hash", F.when(i % 4 == 0, new).otherwise(F.col("source_path")).alias("path"))
+    return first.unionByName(second)
+
+
+@query(f"""WITH {LEAF} SELECT content_hash, CASE WHEN doc_id % 3 < 2 THEN 'new/' ELSE '' END || source_path AS source_path,
+CASE WHEN doc_id % 4 = 0 AND doc_id % 3 < 2 OR doc_id % 4 = 1 AND doc_id % 3 = 2 THEN 'gone' ELSE status END AS status,
+CASE WHEN doc_id % 3 < 2 OR doc_id % 4 = 1 THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM leaves""")
+def file_events(spark, d):
+    rows = leaves(spark, d)
+    return events.apply_events(rows, events.since(_events(spark, d), -1), AS_OF).select("content_hash", "source_path", "status", "updated_at")
+
+
 # --- extensions -----------------------------------------------------------------------------------
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -489,3 +513,13 @@ def hybrid_rrf(spark, d):
     docs = table(spark, d, "documents")
     parts = [hybrid.bm25(docs, "doc_id", "text", t).withColumn("score", F.round("score", 6)) for t in TERMS]
     return hybrid.fuse("doc_id", *parts, limit=200).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"""WITH {TOK}, {_bm25_sql(TERMS[0], 'b')}, top AS (SELECT doc_id, round(score, 6) AS first_score FROM b ORDER BY first_score DESC, doc_id LIMIT 100),
+again AS (SELECT doc_id, first_score, len(list_filter({TERMS[0]}, lambda t: list_contains(w, t)))::DOUBLE / {len(TERMS[0])} AS score FROM top JOIN tok USING (doc_id))
+SELECT doc_id, first_score, score FROM again ORDER BY score DESC, first_score DESC, doc_id LIMIT 20""")
+def rerank(spark, d):
+    docs = table(spark, d, "documents")
+    found = hybrid.bm25(docs, "doc_id", "text", TERMS[0]).withColumn("score", F.round("score", 6))
+    top = found.orderBy(F.desc("score"), "doc_id").limit(100)
+    return hybrid.rerank(docs.select("doc_id", "text").join(F.broadcast(top), "doc_id"), "doc_id", "text", " ".join(TERMS[0])).select("doc_id", "first_score", "score")

@@ -1,7 +1,11 @@
-"""Extensions: BM25 and reciprocal-rank fusion."""
+"""Extensions: BM25, reciprocal-rank fusion and reranking."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,3 +40,22 @@ def fuse(key: str, *ranked: DataFrame, limit: int = 20) -> DataFrame:
         parts = own if parts is None else parts.join(own, key, "full_outer")
     total = sum((F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(len(ranked))), F.lit(0.0))
     return parts.select(key, total.alias("score")).orderBy(F.desc("score"), key).limit(limit)
+
+
+def word_overlap(query: str, texts: list[str]) -> list[float]:
+    """The share of the query's distinct words that a text has: a scorer that needs no model."""
+    cut = lambda t: {w for w in re.split(r"[\W_]+", (t or "").lower()) if w}
+    asked = cut(query)
+    return [len(asked & cut(t)) / max(len(asked), 1) for t in texts]
+
+
+def rerank(found: DataFrame, key: str, text: str, query: str, scorer: Callable[[str, list[str]], list[float]] = word_overlap, limit: int = 20, pool: int = 100) -> DataFrame:
+    """The best pool rows of found (key, text, score), scored anew by scorer(query, texts); the best limit of these by
+    that score, then the first one, then the key. The first score is kept as first_score."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(query, texts.tolist()), index=texts.index, dtype="float64")
+
+    top = found.orderBy(F.desc("score"), key).limit(pool).withColumnRenamed("score", "first_score")
+    return top.withColumn("score", scored(F.col(text))).orderBy(F.desc("score"), F.desc("first_score"), key).limit(limit)

@@ -15,6 +15,7 @@ from ..sources.epub import epub_segments
 from ..sources.pdf import Backend, pdf_segments
 from . import store
 from .library import READY, Library
+from .storage import stored
 
 TEXT_FORMATS = ("plain_text", "markdown", "html")
 
@@ -28,8 +29,10 @@ def first_of_each(files: DataFrame, order: str) -> DataFrame:
 def ingest(files: DataFrame, as_of: datetime, collection: str = "default", tags: list[str] | None = None, known: DataFrame | None = None, cfg: ChunkConfig = ChunkConfig(), provider: Provider | None = None, pdf: Backend | None = None) -> Library:
     """A library of files (source_path, content, content_hash, format); ready leaves of known are skipped.
 
-    Files that are not valid UTF-8 where they should be, broken EPUB files and PDF files without a backend
-    become leaves with status error and no segments."""
+    Files that are not valid UTF-8 where they should be, broken EPUB files, PDF files without a backend and
+    files with a chunk on which the provider fails become leaves with status error and no segments. Images and
+    rendered pages are embedded if the provider has embed_image_bytes, else they have no vectors. Without a
+    provider all tables are lazy; with one, vectors are computed once, into a table in shared storage."""
     rows = first_of_each(files, "source_path").withColumn("leaf_id", F.col("content_hash"))
     if known is not None:
         rows = rows.join(known.where(F.col("status") == READY).select("content_hash"), "content_hash", "left_anti")
@@ -37,13 +40,29 @@ def ingest(files: DataFrame, as_of: datetime, collection: str = "default", tags:
     bad = textual & ~F.is_valid_utf8(F.col("content").cast("string"))
     text = rows.where(textual & ~bad).select("leaf_id", "format", "source_path", F.decode("content", "UTF-8").alias("text"))
     images = rows.where(F.col("format") == "image").select("leaf_id", "format", "source_path", F.lit(None).cast("string").alias("text"))
+    pictures = rows.where(F.col("format") == "image").select("leaf_id", F.lit(0).alias("segment_index"), F.col("content").alias("image"))
     books = epub_segments(rows.where(F.col("format") == "epub"))
     papers = rows.where(F.col("format") == "pdf")
-    pages = pdf_segments(papers, pdf).drop("image") if pdf else papers.select("leaf_id", F.lit(None).cast("int").alias("segment_index"), F.lit(None).cast("string").alias("segment_label"), F.lit(None).cast("string").alias("content_text"), F.lit("no PDF backend").alias("error"))
+    scans = pdf_segments(papers, pdf) if pdf else None
+    pages = scans.drop("image") if pdf else papers.select("leaf_id", F.lit(None).cast("int").alias("segment_index"), F.lit(None).cast("string").alias("segment_label"), F.lit(None).cast("string").alias("content_text"), F.lit("no PDF backend").alias("error"))
     other = books.unionByName(pages)
     segments = D.segments_of(text.unionByName(images)).unionByName(other.where("error is null").drop("error"))
     segments = segments.select(store.chunk_id("leaf_id", "segment_index").alias("id"), "*")
     errors = other.where("error is not null").select("leaf_id", F.col("error").alias("_error")).unionByName(rows.where(bad).select("leaf_id", F.lit("not valid UTF-8").alias("_error")))
+    chunked = chunk_segments(segments, cfg).unionByName(segments.where("content_text is null").select("leaf_id", "segment_index", F.lit(0).alias("chunk_index"), F.col("segment_label").alias("chunk_label"), "content_text"))
+    chunked = chunked.select(store.chunk_id("leaf_id", "segment_index", "chunk_index").alias("id"), store.chunk_id("leaf_id", "segment_index").alias("segment_id"), "*")
+    if provider is not None:
+        if pdf:
+            pictures = pictures.unionByName(scans.where("image is not null").select("leaf_id", "segment_index", "image"))
+        if hasattr(provider, "embed_image_bytes"):
+            shown = chunked.where("content_text is null").join(pictures, ["leaf_id", "segment_index"], "left")
+            chunked = chunked.where("content_text is not null").unionByName(shown, True)
+        chunked = stored(embed_chunks(chunked, provider, isolate=True), "vectors")
+        failed = chunked.where("embed_error is not null").groupBy("leaf_id").agg(F.min("embed_error").alias("_error"))
+        errors = errors.unionByName(failed)
+        segments, chunked = (store.purge(x, failed) for x in (segments, chunked.drop("embed_error")))
+    else:
+        chunked = embed_chunks(chunked, None)
     counts = segments.groupBy("leaf_id").agg(F.count("*").cast("int").alias("segment_count"))
     now = F.lit(as_of).cast("timestamp")
     leaves = rows.select("leaf_id", "content_hash", "source_path", "format").join(counts, "leaf_id", "left").join(errors, "leaf_id", "left")
@@ -51,10 +70,8 @@ def ingest(files: DataFrame, as_of: datetime, collection: str = "default", tags:
         "content_hash", "source_path", "format", F.lit(None).cast("string").alias("title"), F.lit(collection).alias("collection"), F.coalesce("segment_count", F.lit(0)).alias("segment_count"),
         F.when(F.col("_error").isNull(), READY).otherwise("error").alias("status"), F.col("_error").alias("error"), now.alias("created_at"), now.alias("updated_at"),
     )
-    chunked = chunk_segments(segments, cfg).unionByName(segments.where("content_text is null").select("leaf_id", "segment_index", F.lit(0).alias("chunk_index"), F.col("segment_label").alias("chunk_label"), "content_text"))
-    chunked = chunked.select(store.chunk_id("leaf_id", "segment_index", "chunk_index").alias("id"), store.chunk_id("leaf_id", "segment_index").alias("segment_id"), "*")
     marks = leaves.select(F.col("content_hash").alias("leaf_id"), F.explode(F.array_distinct(F.array(*map(F.lit, tags)))).alias("tag")) if tags else leaves.select(F.col("content_hash").alias("leaf_id"), F.lit("").alias("tag")).where(F.lit(False))
-    return Library(leaves, segments, embed_chunks(chunked, provider), marks)
+    return Library(leaves, segments, chunked, marks)
 
 
 def report(files: DataFrame, library: Library) -> DataFrame:

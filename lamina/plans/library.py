@@ -82,6 +82,10 @@ class Library:
         own = Library(self.leaves, self.segments, self.chunks, self.leaf_tags.where(F.col("leaf_id") == leaf_id))
         return own._summaries(self.leaves.where(F.col("content_hash") == leaf_id), self.chunks.where(F.col("leaf_id") == leaf_id))
 
+    def leaf_or_raise(self, leaf_id: str) -> DataFrame:
+        """leaf(), or NotFound if there is no such leaf."""
+        return self.require("leaf", self.leaf(leaf_id), f"the leaf {leaf_id}")
+
     def list_leaves(self, format: str | None = None, status: str | None = None, collections: list[str] | None = None, tags: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Leaves by the last update first; the limit is taken before counts and tags are joined."""
         leaves = self.leaves

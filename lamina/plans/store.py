@@ -61,6 +61,14 @@ def replace_tags(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(some.select("leaf_id"), "leaf_id", "left_anti").unionByName(some.select("leaf_id", F.explode(F.array_distinct("tags")).alias("tag")))
 
 
+def move_collection(leaves: DataFrame, ids: DataFrame, collection: str, as_of: datetime) -> DataFrame:
+    """Leaves in ids (leaf_id) belong to collection; vectors and chunks stay. Leaves that are there already keep updated_at."""
+    hit = ids.select(F.col("leaf_id").alias("content_hash"), F.lit(True).alias("_hit")).distinct()
+    on = F.coalesce("_hit", F.lit(False)) & ~F.col("collection").eqNullSafe(collection)
+    out = leaves.join(hit, "content_hash", "left")
+    return out.withColumns({"collection": F.when(on, collection).otherwise(F.col("collection")), "updated_at": F.when(on, F.lit(as_of).cast("timestamp")).otherwise(F.col("updated_at"))}).select(*leaves.columns)
+
+
 def merge(a: Library, b: Library) -> Library:
     """The union of two libraries by content hash; a's leaves win with all they have."""
     known = a.leaves.select(F.col("content_hash").alias("leaf_id"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import ChunkConfig
 from ..operators.embed import Provider
+from ..plans.events import apply_events, since
 from ..plans.ingest import ingest
+from ..plans.library import Library
 from ..plans.store import Store
 from ..sources import files as S
 
@@ -38,3 +40,23 @@ def run_available(spark: SparkSession, folder: str, store: Store, checkpoint: st
 
     query = files_stream(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_events(spark: SparkSession, folder: str, store: Store, checkpoint: str, roots: list[str] | None = None) -> None:
+    """Applies all new file events (JSON lines below folder) to the store's leaves, then stops; the checkpoint is the cursor.
+
+    Leaves that change are appended; a batch that is run again changes nothing. Files that were created or
+    updated come in by run_available()."""
+    schema = "event_id long, event_type string, content_hash string, path string"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        old = store.load()
+        if old is None:
+            return
+        now = datetime.now(timezone.utc)
+        leaves = apply_events(old.leaves, since(rows, -1, roots), now).where(F.col("updated_at") == F.lit(now))
+        if not leaves.isEmpty():
+            store.append(Library(leaves, *(getattr(old, t).where(F.lit(False)) for t in ("segments", "chunks", "leaf_tags"))))
+
+    query = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.errors import Ambiguous, EngineError, NotFound
-from lamina.operators.embed import HashingProvider, HttpProvider, embed_query, provider_of
+from lamina.operators.embed import HashingProvider, HttpProvider, embed_images, embed_query, provider_of
+from lamina.plans import events as E
 from lamina.plans import ingest as I
 from lamina.plans.library import Library
 from lamina.plans.store import Store, mark, merge
 from lamina.sources import files, pdf
-from lamina.streaming.intake import run_available
+from lamina.streaming.intake import run_available, run_events
 
 AS_OF = datetime(2025, 1, 1)
 
@@ -48,6 +49,73 @@ def test_ingest(library):
     assert image.content_text is None and image.embedding is None
 
 
+class Touchy(HashingProvider):
+    """Fails on a word, and sees images."""
+
+    provider_name = "touchy"
+
+    def embed_batch(self, texts):
+        if any("bark" in t for t in texts):
+            raise OSError("no barking")
+        return super().embed_batch(texts)
+
+    def embed_image_bytes(self, images):
+        return [[float(len(b))] * self.dimension for b in images]
+
+
+def test_provider_errors_stay_with_their_leaf(spark, folder):
+    rows = files.read_files(spark, files.collect_files(str(folder)))
+    lib = I.ingest(rows, AS_OF, provider=Touchy(4))
+    got = {r.source_path.rsplit("/")[-1]: r for r in lib.leaves.collect()}
+    assert {n for n, r in got.items() if r.status == "error"} == {"a.md", "bad.txt", "broken.epub"}
+    assert got["a.md"].error == "OSError: no barking" and got["a.md"].segment_count == 0
+    assert lib.segments.where(F.col("leaf_id") == got["a.md"].content_hash).count() == 0 == lib.chunks.where(F.col("leaf_id") == got["a.md"].content_hash).count()
+    image = lib.chunks.where("chunk_label = 'p.png'").first()
+    assert image.embedding == [8.0] * 4 and image.content_text is None and "image" not in lib.chunks.columns
+    with pytest.raises(EngineError):
+        embed_images(HashingProvider(4), [b"x"])
+
+
+def test_rendered_pages_are_embedded(spark):
+    def backend(content):
+        yield from [(0, "text", None), (1, None, b"png")]
+
+    rows = spark.createDataFrame([("a.pdf", bytearray(b"x"), "h", "pdf")], "source_path string, content binary, content_hash string, format string")
+    lib = I.ingest(rows, AS_OF, provider=Touchy(2), pdf=backend)
+    assert {r.segment_index: r.embedding for r in lib.chunks.collect()}[1] == [3.0, 3.0] and lib.leaves.first().segment_count == 2
+
+
+def test_events(spark):
+    leaves = spark.createDataFrame([(h, f"/r/{h}.txt", "ready", AS_OF) for h in "abcde"] + [("g", "/r/g.txt", "gone", AS_OF)], "content_hash string, source_path string, status string, updated_at timestamp")
+    rows = [
+        (1, "moved", "a", "/r/x/a.txt"), (2, "deleted", "a", "/r/a.txt"), (3, "deleted", "b", "/r/b.txt"), (4, "deleted", "c", "/r/c.txt"), (5, "created", "c", "/r/c2.txt"),
+        (6, "created", "new", "/r/n.txt"), (7, "updated", "newer", "/r/n.txt"), (8, "moved", "d", "/other/d.txt"), (9, "moved", "e", "/r/e.exe"), (10, "created", "g", "/r/g.txt"), (11, "moved", None, None), (7, "updated", "newer", "/r/n.txt"),
+    ]
+    events = E.since(spark.createDataFrame(rows, "event_id long, event_type string, content_hash string, path string"), 0, ["/r"])
+    later = datetime(2025, 2, 2)
+    got = {r.content_hash: (r.source_path, r.status, r.updated_at == later) for r in E.apply_events(leaves, events, later).collect()}
+    assert got == {"a": ("/r/x/a.txt", "ready", True), "b": ("/r/b.txt", "gone", True), "c": ("/r/c2.txt", "ready", True), "d": ("/r/d.txt", "ready", False), "e": ("/r/e.txt", "ready", False), "g": ("/r/g.txt", "ready", True)}
+    again = E.apply_events(E.apply_events(leaves, events, later), events, datetime(2025, 3, 3))
+    assert again.where("updated_at > '2025-03-01'").count() == 0
+    assert [tuple(r) for r in E.wanted(events, leaves).collect()] == [("/r/n.txt", "newer")]
+    assert E.apply_events(leaves, events.where("false"), later).exceptAll(leaves).count() == 0 == E.wanted(events.where("false"), leaves).count()
+
+
+def test_event_stream(spark, library, tmp_path):
+    _, lib = library
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit(lib)
+    leaf = lib.leaves.where("format = 'markdown'").first()
+    for n, (kind, path) in enumerate((("moved", "/new/a.md"), ("deleted", "/new/a.md"), ("deleted", "/elsewhere.md"))):
+        (tmp_path / "log").mkdir(exist_ok=True)
+        (tmp_path / "log" / f"{n}.json").write_text(json.dumps({"event_id": n, "event_type": kind, "content_hash": leaf.content_hash, "path": path}))
+        run_events(spark, str(tmp_path / "log"), store, str(tmp_path / "cp"))
+        now = store.load()
+        own = now.leaves.where(F.col("content_hash") == leaf.content_hash).first()
+        assert (own.source_path, own.status) == ("/new/a.md", "ready" if n == 0 else "gone") and now.leaves.count() == 6
+        assert now.segments.count() == lib.segments.count() and len(store.parts()) == min(n + 2, 3)
+
+
 def test_search_and_reads(library):
     _, lib = library
     q = F.array(*(F.lit(x) for x in embed_query(HashingProvider(32), "cats purr")))
@@ -136,6 +204,9 @@ def test_what_is_not_there(library):
     assert json.loads(e.value.json())["code"] == -32602 and json.loads(e.value.json())["data"]["tool"] == "outline"
     with pytest.raises(NotFound):
         lib.read_or_raise(leaf, 9)
+    with pytest.raises(NotFound):
+        lib.leaf_or_raise("none")
+    assert lib.leaf_or_raise(leaf).first().chunk_count == 2
     assert lib.read_or_raise(leaf, 1).first().content == "dogs bark"
 
 
