@@ -10,7 +10,8 @@ All pairs of training documents enter, and all words have their counts: a segmen
 the number of shards follows the input. Segments are blocked: a pair's probes lie in one block of 512 bits. They are
 kept in the stored table of answers, in rows without a slice.
 
-Score of word w after v, with c exact for words, ~c the filter's reading, at most c(v) and c(w):
+A level stands for the mean count of all training pairs of that level, so readings neither add nor lose counts over all
+pairs; level 1 is exact. Score of word w after v, with c exact for words, ~c the reading, at most c(v) and c(w):
   log10 (~c(v, w) + MU * p(w)) / (c(v) + MU),  p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 """
 
@@ -123,9 +124,18 @@ def read_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return level_of
 
 
-def level_counts(level: np.ndarray) -> np.ndarray:
-    """Quantised counts of levels: the middle of [2**(q-1), 2**q)."""
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level.astype(np.float64) - 1)))
+def level_sums(c: np.ndarray) -> np.ndarray:
+    """Number of pairs of each level, then their counts' sum at each level, from the pairs' counts."""
+    q = np.frexp(c.astype(np.float64))[1]
+    return np.concatenate([np.bincount(q, minlength=_LEVELS), np.bincount(q, c, _LEVELS)]).astype(np.int64)
+
+
+def level_counts(sums: np.ndarray) -> np.ndarray:
+    """The count that each level stands for: the mean of its pairs; where no pair has it, the middle of [2**(q-1), 2**q)."""
+    n, total = sums[:_LEVELS], sums[_LEVELS:]
+    means = np.where(n > 0, total / np.maximum(n, 1), 1.5 * 2.0 ** (np.arange(_LEVELS) - 1.0))
+    means[:2] = 0.0, 1.0
+    return means
 
 
 def slices(base: DataFrame) -> DataFrame:
@@ -147,9 +157,9 @@ def slices(base: DataFrame) -> DataFrame:
 
 
 def answers(cut: DataFrame, word_shards: int, pair_shards: int) -> DataFrame:
-    """Stored (kind, shard, slice, answer, total, known): for each slice and shard, the training counts of the slice's
+    """Stored (kind, shard, slice, answer, total, known, sums): for each slice and shard, the training counts of the slice's
     distinct words (int64) or the filter's levels of its distinct pairs (uint8), in order of their hashes. The row of a
-    shard without a slice has its numbers of training tokens and of distinct ones, and for pairs the filter's segment."""
+    shard without a slice has its numbers of training tokens and of distinct ones, and for pairs the filter's segment and level_sums()."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +191,15 @@ def answers(cut: DataFrame, word_shards: int, pair_shards: int) -> DataFrame:
             for x in parts:
                 at = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
                 found.append(_planes(np.where(h[at] == x, c[at], 0) if len(h) else np.zeros(len(x), np.int64)))
-        k = len(parts)
+        k, sums = len(parts), level_sums(c).tolist() if kind == _PAIRS else None
         return pa.table({
             "kind": pa.array([kind] * (k + 1), pa.int32()), "shard": pa.array([shard] * (k + 1), pa.int64()), "slice": pa.array([*group["slice"].to_pylist(), None], pa.int64()),
             "answer": pa.array([*found, bits.tobytes()], pa.binary()), "total": pa.array([None] * k + [int(c.sum())], pa.int64()), "known": pa.array([None] * k + [len(h)], pa.int64()),
+            "sums": pa.array([None] * k + [sums], pa.list_(pa.int64())),
         })
 
     dealt = cut.select("slice", "flags", "n", "words", "code").mapInArrow(deal, "kind int, shard long, slice long, h binary, c binary")
-    merged = dealt.groupBy("kind", "shard").applyInArrow(merge, "kind int, shard long, slice long, answer binary, total long, known long")
+    merged = dealt.groupBy("kind", "shard").applyInArrow(merge, "kind int, shard long, slice long, answer binary, total long, known long, sums array<long>")
     return common.stored(merged, "answers")
 
 
@@ -207,6 +218,10 @@ def lm_scores(docs: DataFrame, mu: float = MU, filter_bytes: int = FILTER_BYTES,
     r = found.where(F.col("slice").isNull() & (F.col("kind") == _WORDS)).agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
     n_train, v_train = r["n"] or 0, r["v"] or 0
     whole = n_train + 0.1 * (v_train + 1)
+    sums = np.zeros(2 * _LEVELS, np.int64)
+    for at, total in found.where("sums is not null").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect():
+        sums[at] = total
+    means = level_counts(sums)
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
         r = own.to_pylist()[0]
@@ -219,7 +234,7 @@ def lm_scores(docs: DataFrame, mu: float = MU, filter_bytes: int = FILTER_BYTES,
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[start] = count[np.searchsorted(words, END)]
-        seen = level_counts(level[np.unique(pair_hashes(t, n), return_inverse=True)[1]])
+        seen = means[level[np.unique(pair_hashes(t, n), return_inverse=True)[1]]]
         seen = np.minimum(seen, np.minimum(c, before))  # a pair is no more frequent than its words
         p = (c + 0.1) / whole
         ids, flags = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["flags"], np.uint8)

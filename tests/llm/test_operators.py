@@ -371,10 +371,13 @@ def lm_brute_force(rows):
     learned = [split(t) for i, t, _ in rows if i is None or zlib.crc32(str(i).encode()) % 10]
     c, pairs = Counter(w for t in learned for w in t), Counter(x for t in learned for x in zip([None, *t], t))
     n, v = sum(c.values()), len(c)
+    levels = defaultdict(list)
+    for x in pairs.values():
+        levels[math.frexp(x)[1]].append(x)
 
     def score(before, w):
         level = math.frexp(pairs[before, w])[1]
-        seen = min(0 if not level else 1 if level == 1 else 1.5 * 2 ** (level - 1), c[before], c[w])
+        seen = min(sum(levels[level]) / len(levels[level]) if level else 0, c[before], c[w])
         return math.log10((seen + lm_scoring.MU * (c[w] + 0.1) / (n + 0.1 * (v + 1))) / (c[before] + lm_scoring.MU))
 
     return sorted(((i, len(split(t)), sum(score(*x) for x in zip([None, *split(t)], split(t)))) for i, t, _ in rows), key=repr)
@@ -388,6 +391,15 @@ def lm_compare(docs, exp, **options):
     assert min(more) > -1e-6 and sum(more) < 5e-3 * sum(r[1] for r in exp), (min(more), sum(more))
 
 
+def test_lm_levels_keep_counts():
+    """Readings of all pairs add up to their counts, so words' probabilities sum to 1 on average over contexts."""
+    rng = np.random.default_rng(1)
+    c = rng.zipf(1.6, 20000).clip(1, 10**9)
+    means = lm_scoring.level_counts(lm_scoring.level_sums(c[:9000]) + lm_scoring.level_sums(c[9000:]))
+    assert means[0] == 0 and means[1] == 1 and means[np.frexp(c.astype(float))[1]].sum() == pytest.approx(c.sum())
+    assert lm_scoring.level_counts(lm_scoring.level_sums(c[:0]))[3] == 6
+
+
 def test_lm_score_has_all_pairs(docs, rows):
     """Pairs seen once count, and however small the filter's segments are, none is left out."""
     for filter_bytes in (lm_scoring.FILTER_BYTES, 512):
