@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS, GRAM = 1024, 3
-#: Labelled documents that the prototypes are bundled from: about this many, evenly by a hash of the id.
+#: Labelled documents that the prototypes are bundled from: an even part of about this many for each language, chosen
+#: by a hash of id and text; a language of fewer documents gives them all.
 MAX_TRAIN = 20_000
 #: Languages are a dimension; prototypes of more than this many are refused.
 MAX_LANGUAGES = 5_000
@@ -68,21 +69,20 @@ class Space:
         return out
 
     def profiles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit profile of each text (zero without letters), and whether it has letters."""
+        """Unit profile of each text (zero without letters), and its number of distinct n-grams (0 without letters)."""
         joined = "\n" + "".join(t.lower() + "\n" for t in texts)  # a blank before and after each text, wherever it stands
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         out = np.zeros((len(texts), self.dimensions), np.float32)
         letter = self.is_letter(codes)
         doc = np.append(0, np.repeat(np.arange(len(texts)), [len(t.lower()) + 1 for t in texts]))
-        has = np.zeros(len(texts), bool)
-        has[doc[letter]] = True
+        kinds = np.zeros(len(texts), np.int64)
         code = np.where(letter, codes, 32).astype(np.int64)
         keep = letter.copy()
         keep[0] = True
         keep[1:] |= letter[:-1]  # of each run of other signs the first stays, as a blank
         code, doc = code[keep], doc[keep]
         if len(code) < self.gram:
-            return out, has
+            return out, kinds
         n = len(code) - self.gram + 1
         gram = sum(code[k : k + n] << (21 * k) for k in range(self.gram))
         # only a blank may come from the text before, and from none after
@@ -96,11 +96,12 @@ class Space:
                 own = (inverse >= at) & (inverse < at + len(part)) & (doc >= first) & (doc < first + 128)
                 m = min(128, len(texts) - first)
                 counts = np.bincount((doc[own] - first) * len(part) + inverse[own] - at, minlength=m * len(part)).reshape(m, len(part)).astype(np.float32)
+                kinds[first : first + m] += (counts > 0).sum(axis=1)
                 used = np.flatnonzero(counts.any(axis=0))
                 for some in np.array_split(used, len(used) // 4096 + 1):
                     out[first : first + m] += counts[:, some] @ self.table[rows[some]].astype(np.float32)
         norm = np.linalg.norm(out, axis=1)
-        return out / np.maximum(norm, 1e-9)[:, None], has
+        return out / np.maximum(norm, 1e-9)[:, None], kinds
 
 
 _SPACES: dict[tuple[int, int], Space] = {}
@@ -115,13 +116,19 @@ def space(dimensions: int, gram: int) -> Space:
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes) from docs (doc_id, text, lang), rows of null lang or text left out.
 
-    About max_train documents are bundled: those whose hash of id is in the first max_train / n of the range."""
-    common.prepare(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    if n > max_train:
-        share = int(max_train / n * (1 << 32))
-        rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < share)
+    About max_train / number of languages documents of each are bundled, so that every language is learned."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return [], np.zeros((0, dimensions), np.float32)
+    quota = max_train / len(counts)
+    shares = spark.createDataFrame([(r["lang"], int(min(1.0, quota / r["count"]) * (1 << 32))) for r in counts], "lang string, share long")
+    # at most MAX_LANGUAGES rows are broadcast
+    rows = rows.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 32) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -133,11 +140,9 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, dimensions: int = DIMENSI
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    parts = rows.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, v array<double>")
+    parts = rows.select("lang", "text").mapInArrow(run, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-    found = sorted(((r["lang"], [y["x"] for y in r["v"]]) for r in summed.limit(MAX_LANGUAGES + 1).collect()))
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = sorted(((r["lang"], [y["x"] for y in r["v"]]) for r in summed.collect()))
     if not found:
         return [], np.zeros((0, dimensions), np.float32)
     m = np.array([v for _, v in found], np.float64)
@@ -145,24 +150,24 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, dimensions: int = DIMENSI
 
 
 def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, gram: int = GRAM) -> DataFrame:
-    """docs (text and any other columns) with lang_pred and score (cosine, 0 to 1) of every row.
+    """docs (text and any other columns) with lang_pred, score (cosine, 0 to 1) and grams (distinct n-grams) of every row.
 
     Null texts and texts without letters, and all texts where no language was learned, are `und` with
-    score 0. Equal cosines go to the first language by name. Only the text is read. Columns of docs may
-    not be named lang_pred or score."""
+    score and grams 0. Equal cosines go to the first language by name. Only the text is read. Columns of docs
+    may not have the names of the added ones."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, prototypes))  # at most MAX_LANGUAGES prototypes
 
-    def score(texts: list[str]) -> tuple[list, list]:
+    def score(texts: list[str]) -> tuple[list, list, list]:
         names, table = shared.value
         if not names:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        profiles, has = space(table.shape[1], gram).profiles(texts)
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts)
+        profiles, kinds = space(table.shape[1], gram).profiles(texts)
         cosines = profiles @ table.T
         best = cosines.argmax(axis=1)
-        pred = [names[b] if h else UNDETERMINED for b, h in zip(best, has)]
-        return pred, np.where(has, np.clip(cosines[np.arange(len(texts)), best].astype(float), 0, 1), 0.0)
+        pred = [names[b] if h else UNDETERMINED for b, h in zip(best, kinds)]
+        return pred, np.where(kinds > 0, np.clip(cosines[np.arange(len(texts)), best].astype(float), 0, 1), 0.0), kinds
 
-    return common.carried(docs, score, "lang_pred string, score double")
+    return common.carried(docs, score, "lang_pred string, score double, grams long")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

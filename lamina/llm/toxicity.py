@@ -19,6 +19,8 @@ from .vocabulary import Memo
 
 #: Labelled documents that are fitted: about this many, evenly by a hash of the id.
 MAX_TRAIN = 6_000
+#: Characters of these documents that the driver takes at most; of longer ones, fewer are fitted.
+MAX_TRAIN_CHARS = 60_000_000
 THRESHOLD = 0.3
 #: Features seen in fewer training documents are left out; at most MAX_FEATURES are kept.
 #: Of these, those stay whose share of toxic documents is SIGMA standard deviations or more from the mean share.
@@ -107,17 +109,19 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, decay: float = 2
     return Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fits a model to about max_train labelled documents (chosen by a hash of doc_id); null texts,
-    ids and labels are left out. A document with several labels takes the largest."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Model:
+    """Fits a model to about max_train labelled documents of at most max_chars characters together (chosen by a hash of
+    doc_id); null texts, ids and labels are left out. A document with several labels takes the largest."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > max_train:
-        known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int(max_train / n * (1 << 32)))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    if n > max_train:
-        texts = texts.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int(max_train / n * (1 << 32)))
-    rows = texts.join(known, "doc_id").select("text", "toxic").toPandas()
+    share = min(1.0, max_train / max(1, known.count()))
+
+    def some(rows: DataFrame) -> DataFrame:
+        return rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int(share * (1 << 32)))
+
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    while (chars := some(texts).agg(F.sum(F.length("text"))).first()[0] or 0) > max_chars:
+        share *= 0.9 * max_chars / chars
+    rows = some(texts).join(some(known), "doc_id").select("text", "toxic").toPandas()
     order = sorted(range(len(rows)), key=lambda i: (rows["text"][i], rows["toxic"][i]))
     return fit([rows["text"][i] for i in order], [int(rows["toxic"][i] > 0) for i in order])
 

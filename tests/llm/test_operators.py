@@ -542,3 +542,23 @@ def test_inverse_transform_and_upsampling():
     d.coefficients[3][0, 0, 0] = 8 * 10
     x = d.rgb()
     assert x.shape == (16, 16, 3) and (x == np.array([192, 171, 178], np.uint8)).all()
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "abc abd acd " * 3, "x") for i in range(2000)] + [(5000 + i, "fgh fgi fhi " * 3, "y") for i in range(2)] + [(None, "abc", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, prototypes = language_id.train(docs, max_train=20)
+    assert names == ["x", "y"] and prototypes.shape == (2, language_id.DIMENSIONS)
+    assert language_id.train(docs.where("false"))[0] == []
+
+
+def test_toxicity_training_is_bounded(spark, monkeypatch):
+    """No more characters reach the driver than stated, whatever the texts' lengths."""
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: taken.append(sum(map(len, texts))))
+    docs = spark.createDataFrame([(i, "word " * (i % 7 + 1) * (4000 if i == 3 else 1)) for i in range(300)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    for most in (100, 1000, 10**9):
+        toxicity.train(docs, labels, max_chars=most)
+        assert taken[-1] <= most
+    assert taken[1] > 0 and taken[2] == sum(5 * (i % 7 + 1) * (4000 if i == 3 else 1) for i in range(300))
