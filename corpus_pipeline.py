@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each a Parquet table that the next one reads.
 
 run(spark, sf_dir) applies STAGES to documents. SQL expresses none of the learned stages, so ORACLE_SQL
-is None. Tests check columns, ids and copies; only the language and near-duplicates stages have expected rows.
+is None. Tests hold the toxicity, near-duplicates and mixing stages against brute force on small tables, the language
+stage against texts of learned and unlearned languages, the last against the tokenizers library.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from lamina.llm import bpe_codec, common, language_id, mixing, near_dedup, toxic
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes that has no letter, or has MIN_LETTERS or more and is less like every learned language than
 #: MIN_COSINE, which is over three standard deviations of the cosine of unrelated profiles of 1024 dimensions.
-#: Shorter texts say too little about their language to go by the cosine.
-MIN_COSINE, MIN_LETTERS = 0.1, 40
+#: Shorter texts say too little about their language to go by the cosine. Languages that share letters are alike by
+#: chance up to about 0.2, so a text of MIN_GRAMS or more distinct trigrams goes below MIN_COSINE_LONG; a text of fewer,
+#: such as a word repeated, can lie as low in its own language.
+MIN_COSINE, MIN_LETTERS, MIN_COSINE_LONG, MIN_GRAMS = 0.1, 40, 0.25, 150
 #: A document goes whose toxicity score reaches this.
 MAX_TOXICITY = 0.3
 
@@ -32,7 +35,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     names, prototypes = language_id.train(docs.where(~common.held_out("doc_id", 4, 2)))
     found = language_id.identify(docs, names, prototypes)
     letters = F.regexp_count("text", F.lit(r"\p{L}"))
-    near = (F.col("score") >= MIN_COSINE) | (letters < MIN_LETTERS)
+    least = F.when(F.col("grams") >= MIN_GRAMS, MIN_COSINE_LONG).otherwise(MIN_COSINE)
+    near = (F.col("score") >= least) | (letters < MIN_LETTERS)
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & near).select(*COLUMNS)
 
 
