@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,6 +54,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_order(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """rows, stored in the order of keys over range partitions, with `at`: a number that is unique and ascends in that
+    order. Equal keys may stand in any order, but stay in it once stored. An aggregate of the table gives no task more
+    than its share, however often a key occurs, if the keys tell rows apart."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), "ordered")
+
+
+def ranked(rows: DataFrame, group: str) -> DataFrame:
+    """rows of in_order(), whose first key is group (not null), with `rank`: the place among the rows of its group, from 0.
+
+    Counts of a group in each range partition are summed over the partitions; no task gets a whole group."""
+    part = F.shiftright("at", 33)
+    parts = rows.groupBy(F.col(group).alias("_group"), part.alias("_part")).agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy("_group").orderBy("_part")) - F.col("_n")  # a row for each partition the group is in
+    parts = parts.select("_group", "_part", (before - F.col("_first")).alias("_shift"))
+    return rows.join(parts, (F.col(group) == F.col("_group")) & (part == F.col("_part"))).withColumn("rank", F.col("at") + F.col("_shift")).drop("_group", "_part", "_shift")
+
+
 def carried(docs: DataFrame, function: Callable, added: str) -> DataFrame:
     """docs with the columns of `added` (DDL) that function(texts) gives for each text as a list of lists.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary_output, bpe_codec, language_id, lm_scoring, media, mixing, near_dedup, token_counts, toxicity
+from . import ann, binary_output, bpe_codec, language_id, lm_scoring, media, merkle, mixing, near_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_id_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -89,5 +93,42 @@ FROM placed LEFT JOIN taken USING (id)
 """
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a string in SQL: each byte is added, then shifted out bit by bit."""
+    steps = f"list_concat([4294967295::BIGINT], flatten(list_transform(range(octet_length(encode({text}))), lambda j: [('0x' || substr(hex(encode({text})), 2 * j + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(4294967295, list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"
+
+
+def _merkle_levels(name: str, nodes: str, levels: int) -> str:
+    """CTEs from nodes (g, i, h) to {name}root (g, h) and {name}path (g, at, path) of each node's place."""
+    sql = [f"{name}n0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {nodes})", f"{name}p0 AS (SELECT g, i AS place, i, []::VARCHAR[] AS path FROM {nodes})"]
+    for j in range(levels):
+        sql += [
+            f"{name}r{j} AS (SELECT g, i // 8 AS i, string_agg(h, '' ORDER BY i) AS run, any_value(n) AS n FROM {name}n{j} GROUP BY g, i // 8)",
+            f"{name}n{j + 1} AS (SELECT g, i, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS h, count(*) OVER (PARTITION BY g) AS n FROM {name}r{j})",
+            f"{name}p{j + 1} AS (SELECT p.g, place, r.i, CASE WHEN n > 1 THEN list_append(path, substr(run, 1, 64 * (p.i % 8)) || '|' || substr(run, 64 * (p.i % 8) + 65)) ELSE path END AS path FROM {name}p{j} p JOIN {name}r{j} r ON r.g = p.g AND r.i = p.i // 8)",
+        ]
+    return ",\n".join([*sql, f"{name}root AS (SELECT g, h FROM {name}n{levels})", f"{name}path AS (SELECT g, place, path FROM {name}p{levels})"])
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+#: Levels enough for 8**9 rows of a language and 8**4 languages.
+MERKLE_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format('text')} AS h,
+    CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 3 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaves),
+{_merkle_levels('a', 'numbered', 9)},
+groups AS (SELECT '' AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i FROM aroot),
+{_merkle_levels('b', 'groups', 4)},
+whole AS (
+  SELECT l.doc_id, l.h AS leaf, g.h AS subroot, broot.h AS root, list_concat(apath.path, bpath.path) AS path, coalesce(l.changed, l.h) AS start
+  FROM numbered l JOIN apath ON apath.g = l.g AND apath.place = l.i JOIN groups g ON g.name = l.g JOIN bpath ON bpath.place = g.i, broot),
+ended AS (SELECT *, list_reduce(list_prepend(start, path), lambda digest, x: sha256(replace(x, '|', digest))) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM ended
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING_SQL}
+    return {"op7_mixing": MIXING_SQL, "op11_merkle_manifest": MERKLE_SQL}
