@@ -135,7 +135,7 @@ class _Encoder:
     Where the file's own splitter is the byte-level one without a normaliser, texts are cut at places that this
     splitter never crosses: before a space that a non-space follows, around a single line feed between signs, and
     between letters, digits and other signs (but not after an apostrophe). Cuts and 64-bit hashes of pieces are found
-    by numpy over a slice of texts; pieces of equal hash in one slice are taken as equal. Pieces not known yet are
+    by numpy over a slice of texts; pieces of equal hash in one slice are compared by their bytes. Pieces not known yet are
     encoded many at a time, in a row or joined by line feeds, and told apart by their bytes. Files of another kind,
     and texts that hold one of the file's added tokens, are encoded as a whole."""
 
@@ -208,8 +208,7 @@ class _Encoder:
         cut[starts] = True
         edges = np.flatnonzero(cut)
         first, last = edges[:-1], edges[1:]
-        _, at, inverse = np.unique(common.span_hashes(b, first, last), return_index=True, return_inverse=True)
-        found = [data[i:j] for i, j in zip(first[at].tolist(), last[at].tolist())]
+        found, inverse = common.distinct_spans(data, first, last)
         self._learn([p for p in dict.fromkeys(found) if p not in self.places])
         place = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
         return place[inverse], np.diff(np.searchsorted(first, starts))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,8 +18,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def prepare(spark: SparkSession) -> None:
@@ -132,34 +131,60 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def _lanes(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of b on as an integer; zeros follow the end."""
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    return np.ndarray(len(b) + 1, np.dtype("<u8"), padded, strides=(1,))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _BASE_INV)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS
+#: Masks of the first n bytes of a lane.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes from which a span is hashed by itself.
+_LONG = 256
 
 
 def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes: a polynomial modulo 2**64 from prefix sums, mixed with the length."""
-    up, down = _powers(len(b) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-        h = (sums[end] - sums[start]) * down[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of spans of bytes: lanes of eight bytes enter a keyed mix one after another; long spans by BLAKE2."""
+    lanes, n = _lanes(b), end - start
+    h = mix(n.astype(np.uint64), 17)
+    some = np.arange(len(n))
+    for j in range(0, _LONG, 8):
+        some = some[n[some] > j] if j else some
+        if not len(some):
+            break
+        x = lanes[start[some] + j] & _FIRST[np.minimum(n[some] - j, 8)]
+        h[some] = mix(h[some] ^ mix(x, 19), 23 + j)
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def distinct_spans(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans of data, and for each span its number among them.
+
+    Spans meet by hash, then each is compared with the first of its hash byte by byte, so that the result is exact."""
+    b = np.frombuffer(data, np.uint8)
+    _, at, inverse = np.unique(span_hashes(b, start, end), return_index=True, return_inverse=True)
+    n, first = end - start, start[at][inverse]
+    same = n == (end - start)[at][inverse]
+    lanes, some = _lanes(b), np.flatnonzero(same)
+    for j in range(0, int(n.max(initial=0)), 8):
+        some = some[n[some] > j] if j else some
+        if j >= _LONG and len(some):  # few spans are that long
+            same[some] &= [data[i : i + k] == data[f : f + k] for i, f, k in zip(start[some].tolist(), first[some].tolist(), n[some].tolist())]
+            break
+        same[some] &= (lanes[start[some] + j] ^ lanes[first[some] + j]) & _FIRST[np.minimum(n[some] - j, 8)] == 0
+    if same.all():
+        return [data[i:j] for i, j in zip(start[at].tolist(), end[at].tolist())], inverse
+    numbers: dict[bytes, int] = {}
+    inverse = np.array([numbers.setdefault(data[i:j], len(numbers)) for i, j in zip(start.tolist(), end.tolist())], np.int64)
+    return list(numbers), inverse
 
 
 def word_hashes(texts: list[str], lower: str = "unicode") -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and the number of words in each text.
 
-    lower: 'unicode' lower-cases all letters, 'ascii' A-Z only. A word's hash is a polynomial of its
-    bytes modulo 2**64, taken from prefix sums, then mixed with its length; equal words, equal hashes.
+    lower: 'unicode' lower-cases all letters, 'ascii' A-Z only. Equal words, equal hashes.
     Texts of over a million characters together are hashed in parts, which bounds the arrays."""
     if len(texts) > 1 and sum(map(len, texts)) > 1 << 20:
         half = len(texts) // 2

@@ -16,7 +16,7 @@ _CUT = re.compile(r" (?=\S)")
 _LATIN = re.compile("[!-~\u00a1-\u012f\u0132-\u017f]+")
 #: The letter that stands for each byte in byte-level files: printable Latin-1 for itself, others from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _LOADED: dict[int, "Vocabulary"] = {}
 
 
@@ -64,7 +64,7 @@ class Vocabulary:
         take a shorter way to the same pieces."""
         if self.plain is not None and _LATIN.fullmatch(run):
             found = self.plain.findall(run.lower())
-            return found if run.isascii() else [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in found]
+            return found if run.isascii() else [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in found]
         norm, pre = self.library.normalizer, self.library.pre_tokenizer
         text = norm.normalize_str(run) if norm is not None else run
         return [p for p, _ in pre.pre_tokenize_str(text)]
