@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary_output, bpe_codec, language_id, lm_scoring, media, merkle, mixing, near_dedup, packing, token_counts, toxicity
+from . import ann, binary_output, bpe_codec, conversations, language_id, lm_scoring, media, merkle, mixing, near_dedup, packing, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -134,5 +138,46 @@ SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|
 """
 
 
+def _repair_sql() -> str:
+    """One walk over each conversation's turns: the cheapest (cost, audit, turns) in each state, nothing yet, s, u or a."""
+    way = lambda q, cost, audit, turns: f"CASE WHEN s{q} IS NOT NULL THEN {{'c': s{q}.c + {cost}, 'a': s{q}.a || {audit}, 't': list_concat(s{q}.t, {turns}::VARCHAR[])}} END"
+    least = lambda *ways: f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+    deleted = [way(q, 2, "'D'", "[]") for q in range(4)]
+    lines = {"": "[]", "u": "['user:']", "a": "['assistant:']", "ua": "['user:', 'assistant:']"}
+
+    def retained(role: str, name: str, inserted: tuple[str, ...]) -> str:
+        own = f"(first = '{role}')"
+        edit, line = f"CASE WHEN {own} THEN 'K' ELSE 'R' END", f"CASE WHEN {own} THEN role ELSE '{name}' END || ':' || text"
+        return least(deleted[" sua".index(role)], *(f"CASE WHEN NOT gone THEN {way(q, f'{5 * len(x)} + cut + CASE WHEN {own} THEN 0 ELSE 1 END', f'{chr(39)}{chr(73) * len(x)}{chr(39)} || {edit}', f'list_append({lines[x]}, {line})')} END" for q, x in enumerate(inserted)))
+
+    kept_s = f"CASE WHEN NOT gone AND first = 's' THEN {way(0, 'cut', chr(39) + 'K' + chr(39), "[role || ':' || text]")} END"
+    ends = least(*(way(q, 5 * len(x), f"'{'I' * len(x)}'", lines[x]) for q, x in enumerate(("", "ua", "a", ""))))
+    kind = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    return rf"""
+WITH RECURSIVE hit AS (SELECT *, {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM hit WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stem, left(role, 1) AS first FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM placed),
+told AS (SELECT *, CASE WHEN stem = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(stem, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []}}::{kind} AS s0, NULL::{kind} AS s1, NULL::{kind} AS s2, NULL::{kind} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {deleted[0]}, {least(deleted[1], kept_s)}, {retained('u', 'user', ('', '', 'a', ''))}, {retained('a', 'assistant', ('u', 'u', '', 'u'))}
+  FROM (SELECT w.* EXCLUDE (i), t.i, t.role, t.text, t.first, t.fault IN ('blank', 'duplicate') AS gone, CASE WHEN t.fault = 'truncated' THEN 5 ELSE 0 END AS cut FROM walk w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1)),
+ended AS (SELECT conv_id, {ends} AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+pairs AS (SELECT *, lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first AS pair FROM told),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'blank')::BIGINT AS blank, count_if(fault = 'duplicate')::BIGINT AS duplicate,
+    count_if(fault = 'truncated')::BIGINT AS truncated, count_if(pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM pairs GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING_SQL, "op11_merkle_manifest": MERKLE_SQL}
+    return {"op7_mixing": MIXING_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_conversation_repair": _repair_sql()}
