@@ -70,6 +70,24 @@ def queued(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "order", "number", "source_size", "target", (F.col("inside") + F.col("before")).alias("end"))
 
 
+_ORDER = ["time", "number", "at"]
+
+
+def _packets(queue: DataFrame, latest: float | None, most: int, quantum: int) -> DataFrame:
+    """Stored packets (number, end, turn, words, time, at, part) of all passes up to a virtual time, sorted by it over range
+    partitions."""
+    passes = F.least(F.lit(most), F.floor(F.col("target") * latest / F.col("source_size")).cast("int") + 1) if latest else F.lit(most)
+    packets = queue.withColumn("turn", F.explode(F.sequence(F.lit(0), passes - 1)))
+    packets = packets.withColumn("packet", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / F.lit(float(quantum))).cast("int") - 1)))
+    done = F.least((F.col("packet") + 1) * F.lit(quantum), F.col("size"))
+    at = F.col("turn") * F.col("source_size") + F.col("end") - F.col("size") + done
+    packets = packets.select("number", "end", "turn", (done - F.col("packet") * F.lit(quantum)).alias("words"), (at.cast("double") / F.col("target")).alias("time"), at.alias("at"))
+    if latest:
+        packets = packets.where(F.col("time") <= latest)
+    ranged = packets.repartitionByRange(int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_ORDER)
+    return common.stored(ranged.withColumn("part", F.spark_partition_id()), "packets")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, quantum: int = QUANTUM) -> DataFrame:
     """doc_id, order, size, source_size, target, copies, finish, taken of every row of docs (doc_id, text, source).
 
@@ -81,25 +99,25 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     rows = common.stored(measured(docs), "sizes")
     sources = common.stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "sources")
     queue = common.stored(queued(rows, sources), "queue")
-    n, budget = sources.agg(F.count("*"), F.sum("source_size")).first()
+    free = F.sum(F.when(F.col("target") < most * F.col("source_size"), F.col("target")))
+    n, budget, open_ = sources.agg(F.count("*"), F.sum("source_size"), free).first()
     some = queue.where("size > 0")
-    # all packets up to a time T hold at least T * budget - n * quantum words, so none after this time is served
-    latest = 1 + (n * quantum + 1) / (budget or 1)
-    passes = F.least(F.lit(most), F.floor(F.col("target") * latest / F.col("source_size")).cast("int") + 1)
-    packets = some.withColumn("turn", F.explode(F.sequence(F.lit(0), passes - 1)))
-    packets = packets.withColumn("packet", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / F.lit(float(quantum))).cast("int") - 1)))
-    done = F.least((F.col("packet") + 1) * F.lit(quantum), F.col("size"))
-    at = F.col("turn") * F.col("source_size") + F.col("end") - F.col("size") + done
-    packets = packets.select("number", "end", "turn", (done - F.col("packet") * F.lit(quantum)).alias("words"), (at.cast("double") / F.col("target")).alias("time"), at.alias("at")).where(F.col("time") <= latest)
-    order = ["time", "number", "at"]
-    ranged = packets.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-    served = common.stored(ranged.withColumn("part", F.spark_partition_id()), "packets")
+    # Sources at their cap have no packets after time 1, so all that packets of n sources lack there, n * quantum words at
+    # most, comes from the others, which together are served `open_` words in a unit of time.
+    bounds = [1 + (n * quantum + 1) / open_, None] if open_ else [None]
+    for latest in bounds:  # the second one only if a source that is not capped ends before the first
+        served = _packets(some, latest, most, quantum)
+        found = sorted((r["part"], r["n"]) for r in served.groupBy("part").agg(F.sum("words").alias("n")).collect())  # one row for each partition
+        if latest is None or sum(words for _, words in found) >= budget:
+            break
+        common.discard(served)
     border, left = -1, budget or 0  # the partition where the budget ends, and what is left of it there
-    for part, words in sorted((r["part"], r["n"]) for r in served.groupBy("part").agg(F.sum("words").alias("n")).collect()):  # one row for each partition
+    for part, words in found:
         border = part
         if left <= words:
             break
         left -= words
+    order = _ORDER
     spent = F.sum("words").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     cut = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(left) + F.col("words") - spent))
     last = served.where(F.col("part") == border).withColumn("words", cut)

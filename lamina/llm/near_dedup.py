@@ -278,15 +278,15 @@ def first_of_classes(docs: DataFrame) -> DataFrame:
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, text_key, root (a number of the class), class_id, copies of rows with an id and a word.
 
-    Each distinct text is a node of its own, numbered by a 64-bit hash of text_key."""
+    Each distinct text (by its 128-bit text_key) is a node of its own, numbered when the table of texts is stored."""
     spark = docs.sparkSession
     common.prepare(spark)
     base = docs.select(F.col("doc_id").cast("long"), "text")
     table = common.stored(sketch(base.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()), bands, rows, weighted), "sketch")
     texts = table.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
-    texts = common.stored(texts.withColumn("node", F.xxhash64("text_key")), "texts")
-    # the representative's row of keys; rows of equal id and text are one
-    reps = table.join(texts, (table["text_key"] == texts["text_key"]) & (table["doc_id"] == texts["rep"]), "left_semi").select(F.xxhash64("text_key").alias("node"), "keys")
+    texts = common.stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    # the representative's keys; rows of equal id and text have the same
+    reps = table.join(texts.select("node", "rep", texts["text_key"].alias("_key")), (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("rep"))).select("node", "keys")
     banded = common.stored(reps.select("node", F.posexplode("keys").alias("band", "key")), "bands")
     first = banded.groupBy("band", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
     shared = common.stored(banded.join(first, ["band", "key"]).select("band", "key", "node", "first"), "buckets")

@@ -449,6 +449,43 @@ def test_mixing(docs, rows):
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"a": 24_000, "b": 9_600, "c": 90_000}, {f"s{i:03d}": 40 + 13 * i for i in range(101)}, {"a": 6_000, "b": 70_000, "c": 300}])
+def test_mixing_with_capped_sources(spark, sizes):
+    """Sources at their cap have no packets past their target; what they lack comes from the others, whole."""
+    for seed in range(4 if len(sizes) < 9 else 1):
+        rng, rows = random.Random(seed), []
+        for s, n in sizes.items():
+            while n:
+                k = min(n, rng.randint(1, 400))
+                rows.append((len(rows) + 100_000 * seed, "w " * k, s))
+                n -= k
+        got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert sum(r.taken for r in got) == sum(sizes.values()) and len(got) == len(rows)
+        by = defaultdict(list)
+        for r in got:
+            by[r.source_size].append(r)
+        for own in by.values():
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * mixing.QUANTUM and all(r.taken <= 3 * r.size for r in own)
+
+
+def thue_morse(letters, n):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_that_collide_in_polynomials(spark, n):
+    """Thue-Morse words, which collide in every polynomial modulo 2**64, are words of their own in each operator."""
+    rows = [(i, thue_morse(x, n)) for i, x in zip((1, 2, 3), ("ab", "ba", "ab"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+    library = Tokenizer.from_file(BYTE)
+    exp = {i: zlib.crc32(np.array([*library.encode(x).ids, 0], "<u4").tobytes()) for i, x in rows}
+    assert {r.doc_id: r.ids_crc32 for r in binary_output.token_id_files(docs, BYTE).collect()} == exp
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    new = spark.createDataFrame([(held, rows[0][1]), (next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10), rows[1][1])], "doc_id long, text string")
+    assert {r.doc_id: r.n_known for r in lm_scoring.lm_scores(new).collect()}[held] == 1  # the end token
+
+
 def test_mixing_sql(spark, docs, tmp_path):
     """The query and its SQL agree on odd rows, on a source that fills its cap, and on no rows."""
     import duckdb
