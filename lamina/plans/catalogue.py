@@ -17,6 +17,9 @@ from ..sources import files as S
 from . import events, hybrid, store
 from .ingest import first_of_each, ingest, report
 from .library import Library
+from .storage import shared_folder
+from .text_index import TextIndex
+from .vector_index import VectorIndex
 
 SMALL = C.ChunkConfig(40, 20)
 AS_OF = datetime(2025, 1, 1)
@@ -292,6 +295,29 @@ def search_empty_filter(spark, d):
     return _search(spark, d, collections=[])
 
 
+def _index(spark: SparkSession, d: str) -> VectorIndex:
+    chunks = vector_library(spark, d).chunks
+    return VectorIndex.build(chunks, shared_folder(spark, "vector-index"), cells=16)
+
+
+def _search_indexed(spark: SparkSession, d: str, **options) -> DataFrame:
+    """All cells probed and a pool of all vectors: the exact result, by way of the index."""
+    rows = table(spark, d, "embeddings")
+    q = [float(x) for x in rows.where("vec_id = 0").first()["embedding"]]
+    found = _index(spark, d).search(vector_library(spark, d), q, probes=None, pool=rows.count(), **options)
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "content", "citation.leaf_id", "citation.source_path")
+
+
+@query(f"WITH {VECTORS} {TOP.format('true', 20)}")
+def search_indexed(spark, d):
+    return _search_indexed(spark, d, limit=20)
+
+
+@query(f"WITH {VECTORS} {TOP.format('label IN (1, 2, 9) AND (label < 3 OR label % 2 = 1)', 10)}")
+def search_indexed_filtered(spark, d):
+    return _search_indexed(spark, d, collections=["c1", "c2", "c9"], tags=["small", "odd"], limit=10)
+
+
 @query(f"SELECT vec_id, list_sum(list_transform(embedding, lambda x: {F16('x')} * 16777216))::BIGINT AS total FROM embeddings")
 def f16_quantize(spark, d):
     scaled = F.transform("embedding", lambda x: V.f16(x) * 16777216)
@@ -505,6 +531,23 @@ def bm25(spark, d):
     return hybrid.bm25(table(spark, d, "documents"), "doc_id", "text", TERMS[0]).withColumn("score", F.round("score", 6))
 
 
+def _text_index(spark: SparkSession, d: str) -> TextIndex:
+    """An index of two parts, so that statistics are summed over parts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = TextIndex(spark, shared_folder(spark, "text-index"), "doc_id", "bigint")
+    return index.append(docs.where("doc_id % 3 = 0"), "text").append(docs.where("doc_id % 3 <> 0 or doc_id is null"), "text")
+
+
+@query(f"WITH {TOK}, {_bm25_sql(TERMS[0], 'b')} SELECT doc_id, round(score, 6) AS score FROM b")
+def bm25_indexed(spark, d):
+    return _text_index(spark, d).scores(TERMS[0]).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {TOK}, {_bm25_sql(TERMS[1], 'b')} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 50")
+def bm25_indexed_best(spark, d):
+    return _text_index(spark, d).search(TERMS[1], 50).withColumn("score", F.round("score", 6))
+
+
 RANKED = lambda t: f"SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY round(score, 6) DESC, doc_id)) AS r FROM {t} ORDER BY round(score, 6) DESC, doc_id LIMIT 100"
 
 

@@ -30,12 +30,12 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return joined.groupBy(key).agg(F.sum(idf * weight).alias("score"))
 
 
-def fuse(key: str, *ranked: DataFrame, limit: int = 20) -> DataFrame:
-    """Reciprocal-rank fusion of tables (key, score), each cut to its best 100 first."""
+def fuse(key: str, *ranked: DataFrame, limit: int = 20, pool: int = 100) -> DataFrame:
+    """Reciprocal-rank fusion of tables (key, score), each cut to its best pool rows first."""
     parts = None
     for i, r in enumerate(ranked):
-        top = r.orderBy(F.desc("score"), key).limit(100)
-        rank = F.row_number().over(W.orderBy(F.desc("score"), key))  # at most 100 rows
+        top = r.orderBy(F.desc("score"), key).limit(pool)
+        rank = F.row_number().over(W.orderBy(F.desc("score"), key))  # at most pool rows
         own = top.select(key, (1 / (RRF_K + rank)).alias(f"_{i}"))
         parts = own if parts is None else parts.join(own, key, "full_outer")
     total = sum((F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(len(ranked))), F.lit(0.0))

@@ -28,7 +28,7 @@ class Library:
     chunks: DataFrame
     leaf_tags: DataFrame
 
-    def _filtered(self, leaves: DataFrame, collections: list[str] | None, tags: list[str] | None) -> DataFrame:
+    def filtered(self, leaves: DataFrame, collections: list[str] | None, tags: list[str] | None) -> DataFrame:
         """None: no filter; an empty list matches nothing; any listed tag matches."""
         if collections is not None:
             leaves = leaves.where(F.col("collection").isin(collections) if collections else F.lit(False))
@@ -39,12 +39,22 @@ class Library:
 
     def search(self, query: Column, collections: list[str] | None = None, tags: list[str] | None = None, limit: int | None = None, half: bool = True) -> DataFrame:
         """Chunks of ready leaves nearest to the query vector, with citations. half: rounds both vectors to half precision."""
-        leaves = self._filtered(self.leaves.where(F.col("status") == READY), collections, tags).select("content_hash", "source_path")
+        leaves = self.filtered(self.leaves.where(F.col("status") == READY), collections, tags).select(F.col("content_hash").alias("leaf_id"), "source_path")
         q, e = (V.f16_vector(query), V.f16_vector(F.col("embedding"))) if half else (query, F.col("embedding"))
-        rows = self.chunks.where(F.col("embedding").isNotNull()).join(leaves, F.col("leaf_id") == F.col("content_hash"))
-        top = V.nearest(rows.withColumn("_v", e), "_v", q, clamp(limit, SEARCH_LIMITS), ["leaf_id", "segment_index", "chunk_index"])
+        rows = self.chunks.where(F.col("embedding").isNotNull()).select("id", "leaf_id", "segment_index", "chunk_index", V.cosine_distance(e, q).alias("_d"))
+        top = rows.join(leaves, "leaf_id").orderBy(F.col("_d").asc_nulls_last(), "leaf_id", "segment_index", "chunk_index").limit(clamp(limit, SEARCH_LIMITS))
+        return self.cited(top.withColumn("score", 1 - F.col("_d")))
+
+    def cited(self, top: DataFrame) -> DataFrame:
+        """chunk_id, score, content, citation of a search's rows (the keys of chunks, source_path, score), best first.
+
+        Neither vectors nor texts pass through the search itself: texts are joined to its rows, at most as many as a
+        search may return."""
+        texts = self.chunks.select(F.col("id").alias("_id"), F.col("leaf_id").alias("_leaf"), "chunk_label", "content_text")
+        found = texts.join(F.broadcast(top), (F.col("_id") == F.col("id")) & (F.col("_leaf") == F.col("leaf_id")))
         citation = F.struct("leaf_id", "source_path", "segment_index", "chunk_index", "chunk_label")
-        return top.select(F.col("id").alias("chunk_id"), "score", F.col("content_text").alias("content"), citation.alias("citation"))
+        order = [F.col("score").desc_nulls_last(), "citation.leaf_id", "citation.segment_index", "citation.chunk_index"]
+        return found.select(F.col("id").alias("chunk_id"), "score", F.col("content_text").alias("content"), citation.alias("citation")).orderBy(*order)
 
     def read(self, leaf_id: str, segment_index: int, chunk_index: int | None = None, to_chunk_index: int | None = None) -> DataFrame:
         """mode, content and chunks of a segment, a chunk or a range of chunks; no row if there is nothing.
@@ -93,7 +103,7 @@ class Library:
             if value is not None:
                 leaves = leaves.where(F.col(name) == value)
         order = [F.col("updated_at").desc(), "content_hash"]
-        top = self._filtered(leaves, collections, tags).orderBy(*order).limit(clamp(limit, LIST_LIMITS))
+        top = self.filtered(leaves, collections, tags).orderBy(*order).limit(clamp(limit, LIST_LIMITS))
         return self._summaries(top, self.chunks).orderBy(*order)
 
     def collections(self) -> DataFrame:

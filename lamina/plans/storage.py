@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import EngineError
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written below spark.checkpoint.dir and read again. They stay until that folder is cleaned."""
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; it stays until that folder is cleaned."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         raise EngineError("storage", "no shared folder is set", "set spark.checkpoint.dir")
-    path = f"{root.rstrip('/')}/lamina-{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lamina-{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to a shared folder and read again."""
+    path = shared_folder(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
