@@ -1,7 +1,7 @@
 """A persisted inverted index for BM25: postings by term in folders, statistics that add up over parts, block bounds.
 
 A part is written once for a set of documents. It has `postings` (blocks of BLOCK documents of a term, with the block's
-greatest frequency and least length), `terms` (document frequencies) and `sizes` (documents and words). Terms are dealt
+greatest frequency, least length and least length by frequency), `terms` (document frequencies) and `sizes` (documents and words). Terms are dealt
 to folders by a hash, so that a search opens those of its terms. Parts are appended; frequencies and sizes are summed
 when a search asks for them, so weights are those of all documents together.
 """
@@ -17,7 +17,7 @@ from . import hybrid
 
 #: Folders of terms, documents of a block, blocks of each term that give a search its first threshold.
 FOLDERS, BLOCK, FIRST = 64, 128, 16
-_POSTINGS = "term string, block long, most int, least int, keys array<{}>, tfs array<int>, sizes array<int>, folder int"
+_POSTINGS = "term string, block long, most int, least int, ratio double, keys array<{}>, tfs array<int>, sizes array<int>, folder int"
 
 
 def folder(term: Column) -> Column:
@@ -53,8 +53,8 @@ class TextIndex:
         # a term's postings lie one after another in a task, so places divided by BLOCK cut them into blocks
         block = F.floor(F.monotonically_increasing_id() / BLOCK).cast("long")
         own = F.sort_array(F.collect_list(F.struct("key", "tf", "n")))
-        blocks = placed.withColumn("block", block).groupBy("folder", "term", "block").agg(F.max("tf").alias("most"), F.min("n").alias("least"), own.alias("p"), F.sum(F.lit(1)).alias("df"))
-        blocks = blocks.select("term", "block", "most", "least", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("sizes"), "folder")
+        blocks = placed.withColumn("block", block).groupBy("folder", "term", "block").agg(F.max("tf").alias("most"), F.min("n").alias("least"), F.min(F.col("n") / F.col("tf")).alias("ratio"), own.alias("p"), F.sum(F.lit(1)).alias("df"))
+        blocks = blocks.select("term", "block", "most", "least", "ratio", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("sizes"), "folder")
         part = uuid.uuid4().hex
         blocks.repartitionByRange(n, "folder", "term", "block").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{self.root}/postings/part={part}")
         stored = self.spark.read.schema(_POSTINGS.format(self.kind)).parquet(f"{self.root}/postings/part={part}")
@@ -96,7 +96,9 @@ class TextIndex:
         idf, mean = self.weights(terms)
         value = F.element_at(F.create_map(*(F.lit(x) for t, w in sorted(idf.items()) for x in (t, w))), F.col("term")) if idf else F.lit(None).cast("double")
         blocks = self.postings(sorted(idf)).withColumn("idf", value)
-        return blocks.withColumn("bound", F.col("idf") * self._weight(F.col("most"), F.col("least"), mean)), mean
+        # a weight rises with the frequency and falls with the length, and with length by frequency at that frequency
+        bound = F.least(self._weight(F.col("most"), F.col("least"), mean), self._weight(F.col("most"), F.col("most") * F.col("ratio"), mean))
+        return blocks.withColumn("bound", F.col("idf") * bound), mean
 
     def scores(self, terms: list[str]) -> DataFrame:
         """key, score of every document with at least one of the terms, as hybrid.bm25()."""

@@ -112,12 +112,17 @@ def test_scores_and_best(texts, terms_index, asked):
         assert got == sorted(exp.items(), key=lambda x: (-x[1], x[0]))[:limit]
 
 
-def test_blocks_are_skipped_and_folders_pruned(terms_index):
-    asked = ["cat", "42"]
-    kept, _ = terms_index.surviving(asked, 5)
-    every = terms_index.postings(asked)
-    assert kept.count() < every.count() and every.agg(F.max(F.size("keys"))).first()[0] <= 128
-    assert "PartitionFilters: [folder" in every._jdf.queryExecution().toString().replace("isnotnull(folder", "folder")
+def test_blocks_are_skipped_and_folders_pruned(spark, tmp_path):
+    rows = [(i, "cat dog cat cat" if 5000 <= i < 5030 else "cat " + "the " * (40 + i % 9) + ("dog" if i % 50 == 0 else "")) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = TextIndex(spark, str(tmp_path), "doc_id", "bigint").append(docs, "text")
+    asked = ["cat", "dog"]
+    kept, _ = index.surviving(asked, 5)
+    every = index.postings(asked)
+    assert kept.count() <= 4 < 40 < every.count() and every.agg(F.max(F.size("keys"))).first()[0] <= 128
+    exp = sorted(rounded(hybrid.bm25(docs, "doc_id", "text", asked)).items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert [(r.doc_id, round(r.score, 9)) for r in index.search(asked, 5).collect()] == exp
+    assert "PartitionFilters" in every._jdf.queryExecution().toString()
     opened = {r[0].split("folder=")[1].split("/")[0] for r in every.select(F.input_file_name()).distinct().collect()}
     assert len(opened) <= 2
 
