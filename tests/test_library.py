@@ -13,7 +13,7 @@ from lamina.operators.embed import HashingProvider, HttpProvider, embed_images,
 from lamina.plans import events as E
 from lamina.plans import ingest as I
 from lamina.plans.library import Library
-from lamina.plans.store import Store, mark, merge
+from lamina.plans.store import Part, Store, mark, merge
 from lamina.sources import files, pdf
 from lamina.streaming.intake import run_available, run_events
 
@@ -164,7 +164,7 @@ def test_store_survives_a_commit_that_dies(spark, library, tmp_path, monkeypatch
     monkeypatch.undo()
     assert store.parts() == [first] and store.load().leaves.count() == 6
     with pytest.raises(OSError):
-        store._point(["other"], 1)  # a number that is taken
+        store._point([Part("other")], 1)  # a number that is taken
     assert store.parts() == [first]
 
 
