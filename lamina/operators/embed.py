@@ -130,12 +130,12 @@ def _embed(embed: Callable[[list], list[list[float]]], values: list, leaves: lis
             errors[i] = f"{type(e).__name__}: {e}"[:500]
 
 
-def embed_chunks(chunks: DataFrame, provider: Provider | None, batch: int = 256, isolate: bool = False) -> DataFrame:
+def embed_chunks(chunks: DataFrame, provider: Provider | None, batch: int = 256, isolate: list[str] | None = None) -> DataFrame:
     """chunks with embedding, embed_provider, embed_model, embed_dimension; null texts get null vectors.
 
     A column image (binary, null for texts) is embedded where the provider takes images, and dropped. With isolate,
-    which needs leaf_id, an error of the provider gives null vectors and its text in the column embed_error (null
-    elsewhere); otherwise it fails the job."""
+    columns that tell apart what an error may spoil (a leaf, or a segment), an error of the provider gives null vectors
+    and its text in the column embed_error (null elsewhere); otherwise it fails the job."""
     image = F.col("image") if "image" in chunks.columns else F.lit(None).cast("binary")
     error = F.lit(None).cast("string")
     if provider is None:
@@ -155,7 +155,7 @@ def embed_chunks(chunks: DataFrame, provider: Provider | None, batch: int = 256,
                     _embed(embed, values, leaves.tolist(), some[i : i + batch], found, errors)
             yield pd.DataFrame({"embedding": pd.Series(found, dtype=object), "embed_error": pd.Series(errors or [None] * len(found), dtype=object)})
 
-    leaf = F.col("leaf_id") if isolate else F.lit("")
+    leaf = F.concat_ws("|", *isolate) if isolate else F.lit("")
     out = chunks.withColumn("_e", vectors(F.col("content_text"), image, leaf)).withColumn("embedding", F.col("_e.embedding"))
     out = out.withColumns({"embed_provider": F.lit(provider.provider_name), "embed_model": F.lit(provider.model_name), "embed_dimension": F.lit(provider.dimension)})
     return (out.withColumn("embed_error", F.col("_e.embed_error")) if isolate else out).drop("_e", "image")

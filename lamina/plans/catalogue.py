@@ -508,6 +508,79 @@ def file_events(spark, d):
     return events.apply_events(rows, events.since(_events(spark, d), -1), AS_OF).select("content_hash", "source_path", "status", "updated_at")
 
 
+# --- the store ------------------------------------------------------------------------------------
+
+
+def _store_library(spark: SparkSession, d: str, where: str) -> Library:
+    """Leaves of documents with a segment and a chunk for each, and their tags."""
+    rows = leaf_rows(spark, d).where(where)
+    own = leaves(spark, d).where(where).select("content_hash", "source_path", "format", F.lit(None).cast("string").alias("title"), "collection", F.lit(1).alias("segment_count"), F.lit(0).alias("skipped_segments"), "status", F.lit(None).cast("string").alias("error"), F.col("updated_at").alias("created_at"), "updated_at")
+    segments = rows.select(store.chunk_id("leaf_id", F.lit("0")).alias("id"), "leaf_id", F.lit(0).alias("segment_index"), F.lit("section").alias("segment_label"), F.col("text").alias("content_text"))
+    chunks = segments.select("id", F.col("id").alias("segment_id"), "leaf_id", "segment_index", F.lit(0).alias("chunk_index"), F.lit("section").alias("chunk_label"), "content_text")
+    return Library(own, segments, chunks, leaf_tags(spark, d).join(own.select(F.col("content_hash").alias("leaf_id")), "leaf_id", "left_semi"))
+
+
+def _appended(spark: SparkSession, d: str) -> store.Store:
+    """A store of nine appends, eight of which are merged; the last one sets a fifth of the leaves anew."""
+    out = store.Store(spark, shared_folder(spark, "store"))
+    for i in range(8):
+        out.append(_store_library(spark, d, f"doc_id % 8 = {i}"))
+    last = _store_library(spark, d, "doc_id % 5 = 0")
+    last.leaves = last.leaves.withColumns({"status": F.lit("error"), "updated_at": F.lit(AS_OF).cast("timestamp")})
+    out.append(Library(last.leaves, *(getattr(last, t).where(F.lit(False)) for t in store.TABLES[1:])))
+    return out
+
+
+APPENDED = f"{LEAF}, now AS (SELECT content_hash, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'error' ELSE status END AS status, CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM leaves)"
+
+
+@query(f"WITH {APPENDED} SELECT content_hash, status, updated_at, 1::BIGINT AS chunks, (SELECT count(*) FROM tagged WHERE leaf_id = content_hash) AS tags, 2 AS parts FROM now")
+def store_appends(spark, d):
+    kept = _appended(spark, d)
+    lib = kept.load()
+    count = lambda t, n: getattr(lib, t).groupBy(F.col("leaf_id").alias("content_hash")).agg(F.count("*").alias(n))
+    rows = lib.leaves.join(count("chunks", "chunks"), "content_hash", "left").join(count("leaf_tags", "tags"), "content_hash", "left")
+    return rows.select("content_hash", "status", "updated_at", "chunks", F.coalesce("tags", F.lit(0)).alias("tags"), F.lit(len(kept.parts())).alias("parts"))
+
+
+@query(f"WITH {APPENDED} SELECT content_hash, status, updated_at, 1::BIGINT AS chunk_count FROM now ORDER BY updated_at DESC, content_hash LIMIT 50")
+def leaves_recent(spark, d):
+    return _appended(spark, d).recent().select("content_hash", "status", "updated_at", "chunk_count")
+
+
+@query(f"WITH {LEAF} SELECT content_hash, CASE WHEN doc_id % 4 = 0 THEN 'processing' ELSE status END AS status, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE 1 END::BIGINT AS segments FROM leaves WHERE doc_id % 4 <> 1")
+def intake_states(spark, d):
+    """A run that is at work, one that died and was repaired, and one that finished."""
+    out = store.Store(spark, shared_folder(spark, "store"))
+    out.begin(_store_library(spark, d, "doc_id % 4 = 1").leaves, "dead", now=0.0)
+    out.begin(_store_library(spark, d, "doc_id % 4 = 0").leaves, "at work")
+    done = _store_library(spark, d, "doc_id % 4 > 1")
+    out.finish(out.begin(done.leaves, "done"), done)
+    out.repair()
+    lib = out.load()
+    counts = lib.segments.groupBy(F.col("leaf_id").alias("content_hash")).agg(F.count("*").alias("segments"))
+    return lib.leaves.join(counts, "content_hash", "left").select("content_hash", "status", F.coalesce("segments", F.lit(0)).alias("segments"))
+
+
+class _Failing(HashingProvider):
+    """Fails on texts that hold zz or xx."""
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        if any("zz" in t or "xx" in t for t in texts):
+            raise ValueError("refused")
+        return super().embed_batch(texts)
+
+
+@query(f"""WITH RECURSIVE {LEAF}, cut AS (WITH RECURSIVE {PLAIN} SELECT * FROM segs), told AS (SELECT leaf_id, (contains(content_text, 'zz') OR contains(content_text, 'xx')) AS bad FROM cut),
+per AS (SELECT leaf_id, count_if(NOT bad) AS kept, count_if(bad) AS lost FROM told GROUP BY leaf_id)
+SELECT leaf_id AS doc_hash, CASE WHEN coalesce(kept, 0) = 0 AND coalesce(lost, 0) > 0 THEN 'error' ELSE 'ready' END AS status, coalesce(kept, 0)::INT AS segment_count, coalesce(lost, 0)::INT AS skipped_segments FROM leaf LEFT JOIN per USING (leaf_id)""")
+def skipped_segments(spark, d):
+    content = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).cast("binary")
+    rows = leaf_rows(spark, d).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_path"), content.alias("content"), F.col("leaf_id").alias("content_hash"), F.lit("plain_text").alias("format"))
+    found = ingest(rows, AS_OF, cfg=C.ChunkConfig(4096, 0), provider=_Failing(8), skip_segments=True).leaves
+    return found.select(F.col("content_hash").alias("doc_hash"), "status", "segment_count", "skipped_segments")
+
+
 # --- extensions -----------------------------------------------------------------------------------
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"

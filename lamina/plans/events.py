@@ -15,10 +15,10 @@ GONE = "gone"
 
 
 def since(events: DataFrame, cursor: int, roots: list[str] | None = None) -> DataFrame:
-    """Events after the cursor whose path lies below one of the roots and has a supported extension.
-
-    A root is a folder, matched by whole names. The new cursor is the greatest event_id that was read."""
-    rows = events.where(F.col("event_id") > cursor).where(allowed(F.col("path")))
+    """Events after the cursor whose path lies below one of the roots. Files that were created or updated need a supported
+    extension; a file of the library that moves to a path without one is still followed there. A root is a folder, matched by whole names. The new cursor is the greatest event_id that was read."""
+    fresh = F.col("event_type").isin("created", "updated")
+    rows = events.where(F.col("event_id") > cursor).where(allowed(F.col("path")) | ~fresh)
     if roots is None:
         return rows
     below = F.lit(False)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..errors import Ambiguous, NotFound
 from ..operators import vector as V
 
@@ -126,9 +128,17 @@ class Library:
         return rows
 
     def health(self) -> dict[str, str]:
-        """ok, or degraded if the leaves cannot be read; never an error."""
+        """ok and connected, or degraded if the leaves cannot be read, with the version; never an error."""
         try:
             self.leaves.limit(1).collect()
-            return {"status": "ok"}
+            return {"status": "ok", "version": __version__, "store": "connected"}
         except Exception as e:  # noqa: BLE001
-            return {"status": "degraded", "error": str(e)[:200]}
+            return {"status": "degraded", "version": __version__, "store": "unreachable", "error": str(e)[:200]}
+
+
+def results_json(rows: DataFrame, name: str = "results", **fields) -> str:
+    """The rows of a tool's result as JSON: {name: [row, ...], the given fields, count}. Null values stay as nulls.
+
+    Tools return at most as many rows as their limits allow; only such results are meant for it."""
+    found = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).collect()]
+    return json.dumps({name: found, **fields, "count": len(found)}, ensure_ascii=False)

@@ -333,6 +333,16 @@ class Store:
             self.compact()
         return part.name
 
+    def files(self) -> DataFrame:
+        """source_path, modified, length of the files that were taken in, as note_files() was told."""
+        kind, at = "source_path string, modified timestamp, length long, content_hash string", f"{self.root}/files"
+        return self.spark.read.schema(kind).parquet(at) if self._fs.exists(self._path(at)) else self.spark.createDataFrame([], kind)
+
+    def note_files(self, rows: DataFrame) -> None:
+        """Remembers files (source_path, modified, length, content_hash) after their leaves were committed. A run that dies
+        before it does so reads them again, and finds their leaves."""
+        rows.select("source_path", "modified", "length", "content_hash").write.mode("append").parquet(f"{self.root}/files")
+
     def repair(self, now: float | None = None, grace: float = LEASE) -> list[str]:
         """Drops parts whose lease has ended, so that their leaves are taken in again, and removes the folders of parts that
         are in no snapshot from the last one on and were written more than grace seconds ago; their names."""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.chunking import ChunkConfig
 from ..operators.embed import Provider
 from ..plans.events import apply_events, since
-from ..plans.ingest import ingest
-from ..plans.library import Library
+from ..plans.ingest import ingest, processing
+from ..plans.library import READY, Library
 from ..plans.store import Store
 from ..sources import files as S
 
@@ -23,25 +23,55 @@ def files_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(S.allowed(path)).select(path.alias("source_path"), "content", F.sha2("content", 256).alias("content_hash"), S.format_of(path).alias("format"))
 
 
+def take_in(rows: DataFrame, store: Store, owner: str, cfg: ChunkConfig = ChunkConfig(), provider: Provider | None = None, **options) -> None:
+    """Files into a store, in two commits: first their leaves with the status processing and a lease, then all they have.
+
+    A run of the same owner that died is taken over; leaves that others are at are left to them until their lease ends.
+    Leaves that are ready are not touched; those with the status error are tried again and keep their created_at."""
+    old, now = store.load(), datetime.now(timezone.utc)
+    leaves = processing(rows.select("content_hash", "source_path", "format"), now)
+    known = None
+    if old:
+        own = [p.name for p in store.snapshot() if p.owner == owner]
+        mine = store.spark.read.parquet(*(f"{store.root}/{n}/leaves" for n in own)).select("content_hash") if own else old.leaves.where(F.lit(False)).select("content_hash")
+        known = old.leaves.join(mine, "content_hash", "left_anti")
+        leaves = leaves.join(known.where(F.col("status").isin(READY, "processing")), "content_hash", "left_anti")
+    before = old.leaves.select("content_hash", F.col("created_at").alias("_created")) if old else None
+    begun = store.begin(leaves, owner)
+    new = ingest(rows, now, cfg=cfg, provider=provider, known=known, **options)
+    if before is not None:
+        new.leaves = new.leaves.join(before, "content_hash", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
+    store.finish(begun, new)
+
+
 def run_available(spark: SparkSession, folder: str, store: Store, checkpoint: str, cfg: ChunkConfig = ChunkConfig(), provider: Provider | None = None) -> None:
     """Takes in all new files, then stops; a batch that is run again finds its leaves ready and changes nothing.
 
-    A batch is appended as a part of its own. Files whose leaf has the status error are tried again; the leaf keeps its
-    created_at."""
+    A batch is a part of its own, begun before its files are decomposed."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        old = store.load()
-        new = ingest(rows.persist(), datetime.now(timezone.utc), cfg=cfg, provider=provider, known=old.leaves if old else None)
-        if old:
-            before = old.leaves.select("content_hash", F.col("created_at").alias("_created"))
-            new.leaves = new.leaves.join(before, "content_hash", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
-        store.append(new)
-        rows.unpersist()
+        take_in(rows, store, f"{checkpoint}#{number}", cfg, provider)
 
     query = files_stream(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def run_folder(spark: SparkSession, folder: str, store: Store, cfg: ChunkConfig = ChunkConfig(), provider: Provider | None = None, most: int = 10_000, **options) -> int:
+    """Takes in the files below a folder whose path, length or time the store does not know; how many it read.
+
+    The listing alone decides what is read. Contents are read by path, most files at a time, each a commit of its own."""
+    seen = S.listing(spark, folder)
+    fresh = seen.join(store.files(), ["source_path", "modified", "length"], "left_anti")
+    paths = sorted(r["source_path"] for r in fresh.select("source_path").collect())  # Spark's own listing holds all paths, too
+    for first in range(0, len(paths), most):
+        part = paths[first : first + most]
+        rows = S.read_files(spark, part)
+        take_in(rows, store, f"{folder}#{first}", cfg, provider, **options)
+        hashes = rows.select("source_path", "content_hash")
+        store.note_files(seen.join(hashes, "source_path"))
+    return len(paths)
+
+
 def run_events(spark: SparkSession, folder: str, store: Store, checkpoint: str, roots: list[str] | None = None) -> None:
     """Applies all new file events (JSON lines below folder) to the store's leaves, then stops; the checkpoint is the cursor.
 
@@ -54,7 +84,8 @@ def run_events(spark: SparkSession, folder: str, store: Store, checkpoint: str,
         if old is None:
             return
         now = datetime.now(timezone.utc)
-        leaves = apply_events(old.leaves, since(rows, -1, roots), now).where(F.col("updated_at") == F.lit(now))
+        touched = old.leaves.join(rows.select("content_hash").distinct(), "content_hash", "left_semi")
+        leaves = apply_events(touched.select(old.leaves.columns), since(rows, -1, roots), now).where(F.col("updated_at") == F.lit(now))
         if not leaves.isEmpty():
             store.append(Library(leaves, *(getattr(old, t).where(F.lit(False)) for t in ("segments", "chunks", "leaf_tags"))))
 

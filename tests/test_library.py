@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 from datetime import datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -12,10 +13,10 @@ from lamina.errors import Ambiguous, EngineError, NotFound
 from lamina.operators.embed import HashingProvider, HttpProvider, embed_images, embed_query, provider_of
 from lamina.plans import events as E
 from lamina.plans import ingest as I
-from lamina.plans.library import Library
+from lamina.plans.library import Library, results_json
 from lamina.plans.store import Part, Store, mark, merge
 from lamina.sources import files, pdf
-from lamina.streaming.intake import run_available, run_events
+from lamina.streaming.intake import run_available, run_events, run_folder, take_in
 
 AS_OF = datetime(2025, 1, 1)
 
@@ -76,6 +77,57 @@ def test_provider_errors_stay_with_their_leaf(spark, folder):
         embed_images(HashingProvider(4), [b"x"])
 
 
+def test_segments_are_skipped(spark, folder):
+    """One failing segment leaves the rest of its leaf; what is left without segments is an error."""
+    rows = files.read_files(spark, [str(folder / "a.md"), str(folder / "c.txt"), str(folder / "bad.txt")]).unionByName(
+        spark.createDataFrame([("z/only.md", bytearray(b"# Dogs\ndogs bark"), "h", "markdown")], "source_path string, content binary, content_hash string, format string"))
+    lib = I.ingest(rows, AS_OF, provider=Touchy(4), skip_segments=True)
+    got = {r.source_path.rsplit("/")[-1]: (r.status, r.segment_count, r.skipped_segments) for r in lib.leaves.collect()}
+    assert got == {"a.md": ("ready", 1, 1), "c.txt": ("ready", 1, 0), "bad.txt": ("error", 0, 0), "only.md": ("error", 0, 1)}
+    r = I.report(rows, lib).first()
+    assert (r.ingested, r.errors, r.segments, r.skipped_segments, r.chunks) == (2, 2, 2, 2, 2)
+    q = F.array(*(F.lit(x) for x in embed_query(HashingProvider(4), "cats purr")))
+    assert {r.content for r in lib.search(q, limit=9).collect()} == {"cats purr", "plain words about birds"}
+
+
+def test_folder_is_listed_before_it_is_read(spark, tmp_path, monkeypatch):
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.txt").write_text(f"text {i}")
+    read, read_files = [], files.read_files
+    monkeypatch.setattr(files, "read_files", lambda s, paths: read.append(len(paths)) or read_files(s, paths))
+    assert "content" not in files.listing(spark, str(folder))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    assert run_folder(spark, str(folder), store) == 3 and run_folder(spark, str(folder), store) == 0 and read == [3]
+    (folder / "1.txt").write_text("text changed")
+    (folder / "new.md").write_text("# T\nnew")
+    assert run_folder(spark, str(folder), store, most=1) == 2 and read == [3, 1, 1]
+    assert store.load().leaves.where("status = 'ready'").count() == 5 == store.load().chunks.count()
+    assert all(p.state == "ready" for p in store.snapshot())
+
+
+def test_intake_that_dies(spark, tmp_path, monkeypatch):
+    """Leaves of a run that dies are processing; the same run takes them over, another one after repair()."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("words")
+    store = Store(spark, str(tmp_path / "store"))
+    rows = files.read_files(spark, [str(tmp_path / "in" / "a.txt")])
+
+    def dies(*a, **k):
+        raise RuntimeError("dies")
+
+    with monkeypatch.context() as m:
+        m.setattr("lamina.streaming.intake.ingest", dies)
+        with pytest.raises(RuntimeError):
+            take_in(rows, store, "one")
+    assert [r.status for r in store.load().leaves.collect()] == ["processing"]
+    take_in(rows, store, "two")
+    assert [r.status for r in store.load().leaves.collect()] == ["processing"] and store.load().chunks.count() == 0
+    store.repair(now=time.time() + 7200)
+    take_in(rows, store, "two")
+    assert [r.status for r in store.load().leaves.collect()] == ["ready"] and store.load().chunks.count() == 1
+
+
 def test_rendered_pages_are_embedded(spark):
     def backend(content):
         yield from [(0, "text", None), (1, None, b"png")]
@@ -94,7 +146,7 @@ def test_events(spark):
     events = E.since(spark.createDataFrame(rows, "event_id long, event_type string, content_hash string, path string"), 0, ["/r"])
     later = datetime(2025, 2, 2)
     got = {r.content_hash: (r.source_path, r.status, r.updated_at == later) for r in E.apply_events(leaves, events, later).collect()}
-    assert got == {"a": ("/r/x/a.txt", "ready", True), "b": ("/r/b.txt", "gone", True), "c": ("/r/c2.txt", "ready", True), "d": ("/r/d.txt", "ready", False), "e": ("/r/e.txt", "ready", False), "g": ("/r/g.txt", "ready", True)}
+    assert got == {"a": ("/r/x/a.txt", "ready", True), "b": ("/r/b.txt", "gone", True), "c": ("/r/c2.txt", "ready", True), "d": ("/r/d.txt", "ready", False), "e": ("/r/e.exe", "ready", True), "g": ("/r/g.txt", "ready", True)}
     again = E.apply_events(E.apply_events(leaves, events, later), events, datetime(2025, 3, 3))
     assert again.where("updated_at > '2025-03-01'").count() == 0
     assert [tuple(r) for r in E.wanted(events, leaves).collect()] == [("/r/n.txt", "newer")]
@@ -127,7 +179,7 @@ def test_search_and_reads(library):
     assert lib.read(leaf, 1).first().content == "dogs bark" and lib.read(leaf, 1, 5, 2).count() == 0 and lib.read(leaf, 0, 0).first().mode == "chunk"
     one = lib.leaf(leaf).first()
     assert (one.tags, one.chunk_count) == (["t", "u"], 2)
-    assert lib.list_leaves(status="error").count() == 2 and lib.collections().first()[0] == "pets" and lib.health() == {"status": "ok"}
+    assert lib.list_leaves(status="error").count() == 2 and lib.collections().first()[0] == "pets" and lib.health()["status"] == "ok" and lib.health()["version"]
     assert lib.resolve_prefix(leaf[:60]) == leaf and lib.resolve_prefix("%") is None
     with pytest.raises(Ambiguous):
         lib.resolve_prefix("")
@@ -221,6 +273,49 @@ def test_pdf_backend(spark):
     assert rows == [("a", 0, "p. 1", "text", None), ("a", 2, "p. 3", None, None), ("b", None, None, None, "ValueError: broken")]
 
 
+class Ranges:
+    """A backend that is asked for ranges of pages; page 40 of a file `torn` cannot be read."""
+
+    def pages(self, content):
+        if content == b"bad":
+            raise ValueError("broken")
+        return 0 if content == b"none" else 100
+
+    def pages_of(self, content, first, last):
+        for page in range(first, last):
+            if content == b"torn" and page == 40:
+                raise OSError("torn page")
+            yield page, f"page {page}", None
+
+    def __call__(self, content):
+        return self.pages_of(content, 0, self.pages(content))
+
+
+def test_pdf_page_ranges(spark):
+    df = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"bad")), ("c", bytearray(b"torn")), ("d", bytearray(b"none"))], "leaf_id string, content binary")
+    ranges = pdf.page_ranges(df.where("leaf_id = 'a'"), Ranges(), 4)
+    assert ranges.count() == 25 and ranges.select(F.spark_partition_id()).distinct().count() > 1
+    rows = pdf.pdf_segments(df, Ranges()).collect()
+    assert sorted(r.segment_index for r in rows if r.leaf_id == "a") == list(range(100))
+    assert [(r.leaf_id, r.segment_index, r.error) for r in rows if r.error and r.leaf_id == "b"] == [("b", None, "ValueError: broken")]
+    torn = [r for r in rows if r.leaf_id == "c"]
+    assert [(r.segment_index, r.error) for r in torn if r.error] == [(32, "OSError: torn page")] and len(torn) == 93
+    files_ = df.where("leaf_id in ('a', 'c')").select(F.col("leaf_id").alias("source_path"), "content", F.col("leaf_id").alias("content_hash"), F.lit("pdf").alias("format"))
+    got = {r.source_path: (r.status, r.segment_count, r.skipped_segments) for r in I.ingest(files_, AS_OF, pdf=Ranges(), skip_segments=True).leaves.collect()}
+    assert got == {"a": ("ready", 100, 0), "c": ("ready", 92, 1)}
+    got = {r.source_path: r.status for r in I.ingest(files_, AS_OF, pdf=Ranges()).leaves.collect()}
+    assert got == {"a": "ready", "c": "error"}
+
+
+def test_results_as_json(library):
+    _, lib = library
+    q = F.array(*(F.lit(x) for x in embed_query(HashingProvider(32), "cats purr")))
+    got = json.loads(results_json(lib.search(q, limit=2), query="cats purr"))
+    assert got["count"] == 2 and got["query"] == "cats purr" and got["results"][0]["content"] == "cats purr" and got["results"][0]["citation"]["segment_index"] == 0
+    leaf = lib.leaves.where("format = 'image'").first().content_hash
+    assert json.loads(results_json(lib.read(leaf, 0), "reads"))["reads"][0]["chunks"][0]["content"] is None
+
+
 def test_http_provider():
     class Handler(BaseHTTPRequestHandler):
         short = False
