@@ -125,7 +125,8 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, by the same codec as encode().
 
-    Null texts are empty texts; the ids' text and the decoded text never leave the worker."""
+    Null texts are empty texts; rows of equal or null ids stay rows of their own; an empty table gives an empty result. The
+    ids' text and the decoded text never leave the worker."""
     spark = docs.sparkSession
     common.prepare(spark)
     content = spark.sparkContext.broadcast(read_content(tokenizer_path))

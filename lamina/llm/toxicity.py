@@ -3,10 +3,14 @@
 A document is a bag of sentences. Sentence scores are logistic in the sentence's words and word starts;
 the document's score is their noisy-or, 1 - prod(1 - p). The weights are trained from document labels
 alone, through the noisy-or, and the sentence scores then locate the offending sentences.
+
+In a document of more than TYPICAL sentences the bias of each falls by the logarithm of their number over TYPICAL, in
+training and in scoring: else many sentences that are each nearly sure to be clean would add up to a toxic document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -22,6 +26,8 @@ MAX_TRAIN = 6_000
 #: Characters of these documents that the driver takes at most; of longer ones, fewer are fitted.
 MAX_TRAIN_CHARS = 60_000_000
 THRESHOLD = 0.3
+#: Sentences from which on the bias falls.
+TYPICAL = 40
 #: Features seen in fewer training documents are left out; at most MAX_FEATURES are kept.
 #: Of these, those stay whose share of toxic documents is SIGMA standard deviations or more from the mean share.
 MIN_DOCS, MAX_FEATURES, SIGMA = 3, 60_000, 2.5
@@ -48,7 +54,7 @@ class Model:
 
     def score(self, text: str) -> tuple[float, int, int, float]:
         """(document score, start and end of the most toxic sentence, its score)."""
-        stay, top, words, get = 0.0, (-1e9, 0, 0), self.words, self.words.get
+        top, words, get, every = (-1e9, 0, 0), self.words, self.words.get, []
         for m in _SENTENCE.finditer(text):
             found = _WORD.findall(m[0].lower())
             if not found:
@@ -57,14 +63,13 @@ class Model:
             for w in set(found):
                 x = get(w)
                 z += self.word(w) if x is None else x
+            every.append(z)
             if z > top[0]:
                 top = (z, *m.span())
-            if z > -12:
-                stay -= np.logaddexp(0.0, z)  # log(1 - sigmoid(z))
-            else:
-                stay -= np.exp(z)
-        if top[0] == -1e9:
+        if not every:
             return 0.0, 0, 0, 0.0
+        fall = math.log(max(1.0, len(every) / TYPICAL))
+        stay = -np.logaddexp(0.0, np.array(every) - fall).sum()  # log of the product of 1 - sigmoid(z)
         return float(-np.expm1(stay)), top[1], top[2], float(1 / (1 + np.exp(-top[0])))
 
 
@@ -93,11 +98,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, decay: float = 2
     cols, rows, doc, y = np.array(cols, np.int64), np.array(rows, np.int64), np.array(doc, np.int64), np.array(labels, float)
     if not len(doc) or not y.any():
         return Model({}, -8.0)
+    fall = np.log(np.maximum(1.0, np.bincount(doc, minlength=len(y)) / TYPICAL))[doc]
     w = np.zeros(len(names) + 1)
     w[-1] = -4.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        z = np.bincount(rows, w[cols], len(doc)) + w[-1]
+        z = np.bincount(rows, w[cols], len(doc)) + w[-1] - fall
         p = 1 / (1 + np.exp(-z))
         stay = np.exp(np.bincount(doc, -np.logaddexp(0.0, z), len(y)))  # prod(1 - p)
         # d loss / d z of a sentence: p if the label is 0, else -p * stay / (1 - stay)
@@ -145,6 +151,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """score() of all docs with held_out; learned from labels whose crc32(doc_id) mod 4 is not 2."""
+    """score() of all docs with held_out; learned from labels whose crc32(doc_id) mod 4 is not 2.
+
+    Rows of equal or null ids stay rows of their own and are scored by their own text; a label counts for all texts of its
+    id. An empty table of documents, or one without labels, gives scores of 0 for the rows there are."""
     model = train(docs, labels.where(~common.held_out("doc_id", 4, 2)))
     return score(docs.select(F.col("doc_id").cast("long"), "text"), model).select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "top_start", "top_end", "top_score")

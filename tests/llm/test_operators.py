@@ -277,6 +277,36 @@ def test_toxicity_by_brute_force():
         assert not scores or any((start, end) == span and p == pytest.approx(top) for p, span in scores)
 
 
+def test_toxicity_of_long_texts():
+    """Many clean documents in one stay clean, whatever their number, and a toxic sentence in them is found and located."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9)))
+    plain, harm = [word() for _ in range(400)], [word() for _ in range(12)]
+    sentence = lambda bad: " ".join([*(rng.choice(plain) for _ in range(7)), *rng.sample(harm, 3 * bad)])
+    def text(n, bad):
+        return ". ".join(sentence(bad and i == n // 2) for i in range(n)) + "."
+    train = [(text(rng.randint(3, 30), k % 5 == 0), int(k % 5 == 0)) for k in range(1200)]
+    model = toxicity.fit([t for t, _ in train], [y for _, y in train])
+    for n in (5, 40, 400, 2500):
+        clean = [text(n, False) for _ in range(20)]
+        assert sum(model.score(t)[0] >= toxicity.THRESHOLD for t in clean) == 0
+        for t in clean[:10]:
+            parts = t.split(". ")
+            parts[n // 3] = sentence(True)
+            found = model.score(". ".join(parts))
+            assert found[0] >= toxicity.THRESHOLD and ". ".join(parts)[found[1] : found[2]].strip() == parts[n // 3].strip()
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "bad harm word" if i % 2 else "good plain word") for i in range(40)] * 2 + [(None, "bad harm word"), (3, "good plain word")], "doc_id long, text string")
+    got = Counter(r.doc_id for r in toxicity.toxicity(docs, labels).collect())
+    assert got == Counter([*range(40), *range(40), None, 3])
+    assert toxicity.toxicity(docs.where("false"), labels).count() == 0 and toxicity.toxicity(docs, labels.where("false")).where("predicted = 1").count() == 0
+    assert bpe_codec.encode(docs.where("false"), WORD).count() == 0 == bpe_codec.digests(docs.where("false"), WORD).count()
+    assert Counter(r.doc_id for r in bpe_codec.digests(docs, WORD).collect()) == got
+
+
 def test_language_by_brute_force(spark):
     """Predictions and cosines against profiles made letter by letter, whatever texts stand beside a text."""
     rng = random.Random(14)
