@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import decompose as D
 from ..operators.chunking import ChunkConfig, chunk_segments
 from ..operators.embed import Provider, embed_chunks
+from ..sources.decomposers import custom_segments, registered
 from ..sources.epub import epub_segments
 from ..sources.pdf import Backend, pdf_segments
 from . import store
@@ -49,6 +50,8 @@ def ingest(files: DataFrame, as_of: datetime, collection: str = "default", tags:
     scans = pdf_segments(papers, pdf) if pdf else None
     pages = scans.drop("image") if pdf else papers.select("leaf_id", F.lit(None).cast("int").alias("segment_index"), F.lit(None).cast("string").alias("segment_label"), F.lit(None).cast("string").alias("content_text"), F.lit("no PDF backend").alias("error"))
     other = books.unionByName(pages)
+    if registered():
+        other = other.unionByName(custom_segments(rows.where(F.col("format").isin(*registered()))))
     found = D.segments_of(text.unionByName(images)).withColumn("error", F.lit(None).cast("string")).unionByName(other)
     found = stored(found.unionByName(rows.where(bad).select("leaf_id", F.lit("not valid UTF-8").alias("error")), True), "segments")
     segments = found.where("error is null").drop("error")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import text as T
+from . import decomposers
 
 #: Extensions that a directory walk takes (fixed values, case-sensitive).
 EXTENSIONS = ("pdf", "epub", "png", "jpg", "jpeg", "md", "markdown", "html", "htm", "txt")
@@ -21,7 +22,12 @@ def _suffix(name: str) -> str:
 
 
 def supported(path: str) -> bool:
-    return _suffix(os.path.basename(path)) in EXTENSIONS
+    return _suffix(os.path.basename(path)) in known_extensions()
+
+
+def known_extensions() -> tuple[str, ...]:
+    """The built-in extensions and those of registered decomposers."""
+    return (*EXTENSIONS, *decomposers.extensions())
 
 
 def collect_files(folder: str) -> list[str]:
@@ -52,13 +58,13 @@ def format_of(path: Column) -> Column:
     """Format by exact extension; everything else, upper-case ones too, is plain_text."""
     e = T.extension(path)
     out = F.lit("plain_text")
-    for name, kind in FORMATS.items():
+    for name, kind in (FORMATS | decomposers.extensions()).items():
         out = F.when(e == name, kind).otherwise(out)
     return out
 
 
 def allowed(path: Column) -> Column:
-    return F.coalesce(T.extension(path).isin(*EXTENSIONS), F.lit(False))
+    return F.coalesce(T.extension(path).isin(*known_extensions()), F.lit(False))
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -72,14 +78,14 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """read_files() of all supported files below a folder of any file system that Spark reads; names are chosen while
     files are listed, so no other file is opened. Names that start with a dot or an underscore are left out."""
-    names = "*.{" + ",".join(EXTENSIONS) + "}"
+    names = "*.{" + ",".join(known_extensions()) + "}"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
     return described(rows).where(allowed(F.col("source_path")))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """source_path, modified, length of all supported files below a folder; no file is opened."""
-    names = "*.{" + ",".join(EXTENSIONS) + "}"
+    names = "*.{" + ",".join(known_extensions()) + "}"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
     path = F.regexp_replace("path", "^file:/*", "/")
     return rows.select(path.alias("source_path"), F.col("modificationTime").alias("modified"), "length").where(allowed(F.col("source_path")))

@@ -15,7 +15,7 @@ from lamina.plans import events as E
 from lamina.plans import ingest as I
 from lamina.plans.library import Library, results_json
 from lamina.plans.store import Part, Store, mark, merge
-from lamina.sources import files, pdf
+from lamina.sources import decomposers, files, pdf
 from lamina.streaming.intake import run_available, run_events, run_folder, take_in
 
 AS_OF = datetime(2025, 1, 1)
@@ -307,6 +307,38 @@ def test_pdf_page_ranges(spark):
     assert got == {"a": "ready", "c": "error"}
 
 
+class Tables:
+    """A third format: a section for each column of a file of comma-separated values."""
+
+    extensions = ("csv",)
+
+    def format_name(self):
+        return "table"
+
+    def decompose(self, content, path):
+        head, *rows = [line.split(",") for line in content.decode().splitlines()]
+        for i, name in enumerate(head):
+            yield name, "\n".join(r[i] for r in rows)
+
+
+def test_registered_format(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("city,river\nBern,Aare\nBasel,Rhein")
+    (tmp_path / "torn.csv").write_bytes(b"a,b\n1")
+    (tmp_path / "b.txt").write_text("plain")
+    assert len(files.collect_files(str(tmp_path))) == 1
+    decomposers.register(Tables())
+    try:
+        rows = files.read_folder(spark, str(tmp_path))
+        lib = I.ingest(rows, AS_OF)
+        assert {r.source_path.rsplit("/")[-1]: (r.format, r.status, r.segment_count) for r in lib.leaves.collect()} == {"a.csv": ("table", "ready", 2), "torn.csv": ("table", "error", 0), "b.txt": ("plain_text", "ready", 1)}
+        assert {(r.segment_index, r.segment_label, r.content_text) for r in lib.segments.where("segment_label <> 'plain'").collect()} == {(0, "city", "Bern\nBasel"), (1, "river", "Aare\nRhein")}
+        with pytest.raises(EngineError):
+            decomposers.register(type("Other", (Tables,), {"format_name": lambda self: "other"})())
+    finally:
+        decomposers.unregister("table")
+    assert len(files.collect_files(str(tmp_path))) == 1
+
+
 def test_results_as_json(library):
     _, lib = library
     q = F.array(*(F.lit(x) for x in embed_query(HashingProvider(32), "cats purr")))
