@@ -4,8 +4,8 @@ A document is a bag of sentences. Sentence scores are logistic in the sentence's
 the document's score is their noisy-or, 1 - prod(1 - p). The weights are trained from document labels
 alone, through the noisy-or, and the sentence scores then locate the offending sentences.
 
-In a document of more than TYPICAL sentences the bias of each falls by the logarithm of their number over TYPICAL, in
-training and in scoring: else many sentences that are each nearly sure to be clean would add up to a toxic document.
+In a document of more than TYPICAL sentences the bias of each falls by FALL times the logarithm of their number over TYPICAL,
+in training and in scoring: else many sentences that are each nearly sure to be clean would add up to a toxic document.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ MAX_TRAIN = 6_000
 #: Characters of these documents that the driver takes at most; of longer ones, fewer are fitted.
 MAX_TRAIN_CHARS = 60_000_000
 THRESHOLD = 0.3
-#: Sentences from which on the bias falls.
-TYPICAL = 40
+#: Sentences from which on the bias falls, and the share of the logarithm by which it does: with all of it, one toxic
+#: sentence among many thousands would be lost.
+TYPICAL, FALL = 40, 0.75
 #: Features seen in fewer training documents are left out; at most MAX_FEATURES are kept.
 #: Of these, those stay whose share of toxic documents is SIGMA standard deviations or more from the mean share.
 MIN_DOCS, MAX_FEATURES, SIGMA = 3, 60_000, 2.5
@@ -68,7 +69,7 @@ class Model:
                 top = (z, *m.span())
         if not every:
             return 0.0, 0, 0, 0.0
-        fall = math.log(max(1.0, len(every) / TYPICAL))
+        fall = FALL * math.log(max(1.0, len(every) / TYPICAL))
         stay = -np.logaddexp(0.0, np.array(every) - fall).sum()  # log of the product of 1 - sigmoid(z)
         return float(-np.expm1(stay)), top[1], top[2], float(1 / (1 + np.exp(-top[0])))
 
@@ -98,7 +99,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, decay: float = 2
     cols, rows, doc, y = np.array(cols, np.int64), np.array(rows, np.int64), np.array(doc, np.int64), np.array(labels, float)
     if not len(doc) or not y.any():
         return Model({}, -8.0)
-    fall = np.log(np.maximum(1.0, np.bincount(doc, minlength=len(y)) / TYPICAL))[doc]
+    fall = FALL * np.log(np.maximum(1.0, np.bincount(doc, minlength=len(y)) / TYPICAL))[doc]
     w = np.zeros(len(names) + 1)
     w[-1] = -4.0
     m, v = np.zeros_like(w), np.zeros_like(w)

@@ -64,12 +64,10 @@ def test_toxicity_stage_by_brute_force(spark, tmp_path):
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int").where(~P.common.held_out("doc_id", 4, 2)))
 
     def score(text):
-        stay = 1.0
-        for sentence in re.split(r"[.!?\n。！？]", text or ""):
-            found = set(re.findall(r"[^\W\d_]+", sentence.lower()))
-            if found:
-                z = model.bias + sum(model.weights.get(f, 0.0) for w in found for f in ([w] if len(w) < 5 else [w, w[:4] + "*", w[:5] + "*"]))
-                stay *= 1 - 1 / (1 + math.exp(-z))
+        stay, sentences = 1.0, [x for s in re.split(r"[.!?\n。！？]", text or "") if (x := set(re.findall(r"[^\W\d_]+", s.lower())))]
+        for found in sentences:
+            z = model.bias - toxicity.FALL * math.log(max(1, len(sentences) / toxicity.TYPICAL)) + sum(model.weights.get(f, 0.0) for w in found for f in ([w] if len(w) < 5 else [w, w[:4] + "*", w[:5] + "*"]))
+            stay *= 1 - 1 / (1 + math.exp(-z))
         return 1 - stay
 
     assert kept == Counter(r[0] for r in rows if score(r[1]) < P.MAX_TOXICITY)
