@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import ChunkConfig
 from ..operators.embed import Provider
-from ..plans.events import apply_events, since
+from ..plans.events import since
 from ..plans.ingest import ingest, processing
 from ..plans.library import READY, Library
 from ..plans.store import Store
 from ..sources import files as S
+from .event_state import PROVIDER, VERDICT, apply_verdicts, verdicts
 
 
 def files_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,22 +73,35 @@ def run_folder(spark: SparkSession, folder: str, store: Store, cfg: ChunkConfig
     return len(paths)
 
 
-def run_events(spark: SparkSession, folder: str, store: Store, checkpoint: str, roots: list[str] | None = None) -> None:
-    """Applies all new file events (JSON lines below folder) to the store's leaves, then stops; the checkpoint is the cursor.
+def run_events(spark: SparkSession, folder: str, store: Store, checkpoint: str, roots: list[str] | None = None, most: int | None = None, grace: float = 0, as_of: datetime | None = None) -> None:
+    """Applies all new file events (JSON lines below folder, at most `most` files a batch) to the store's leaves, then stops.
 
-    Leaves that change are appended; a batch that is run again changes nothing. Files that were created or
-    updated come in by run_available()."""
+    The checkpoint is the cursor and has the state of each content hash, so events may come in any order and in any split.
+    A file whose path is deleted is gone at once, or after grace seconds without a new path; that is seen by a batch that
+    runs later, and all new files are then one batch. Leaves that change are appended; a batch that is run again changes nothing. Files that were created or
+    updated come in by run_available(); events of a hash before its leaf is there show with its next event."""
     schema = "event_id long, event_type string, content_hash string, path string"
+    own = spark.newSession()  # its state store is the stream's own setting
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
 
-    def batch(rows: DataFrame, number: int) -> None:
+    def batch(found: DataFrame, number: int) -> None:
         old = store.load()
         if old is None:
             return
-        now = datetime.now(timezone.utc)
-        touched = old.leaves.join(rows.select("content_hash").distinct(), "content_hash", "left_semi")
-        leaves = apply_events(touched.select(old.leaves.columns), since(rows, -1, roots), now).where(F.col("updated_at") == F.lit(now))
+        now = as_of or datetime.now(timezone.utc)
+        at = f"{checkpoint.rstrip('/')}-verdicts/{number}"
+        found.write.mode("overwrite").parquet(at)
+        told = spark.read.schema(VERDICT).parquet(at)
+        touched = old.leaves.join(told.select("content_hash").distinct(), "content_hash", "left_semi").select(old.leaves.columns)
+        after = apply_verdicts(touched, told, now)
+        leaves = after.join(touched, [after[c].eqNullSafe(touched[c]) for c in ("content_hash", "source_path", "status")], "left_anti")
         if not leaves.isEmpty():
             store.append(Library(leaves, *(getattr(old, t).where(F.lit(False)) for t in ("segments", "chunks", "leaf_tags"))))
 
-    query = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = own.readStream.schema(schema)
+    rows = (rows.option("maxFilesPerTrigger", most) if most else rows).json(folder)
+    out = verdicts(since(rows, -1, roots), grace).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
+    query = (out.trigger(once=True) if grace else out.trigger(availableNow=True)).start()  # with timers, availableNow does not end
     query.awaitTermination()
