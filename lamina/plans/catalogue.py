@@ -14,6 +14,7 @@ from ..operators import decompose as D
 from ..operators import vector as V
 from ..operators.embed import HashingProvider, embed_chunks
 from ..sources import files as S
+from ..streaming.intake import run_events
 from . import events, hybrid, store
 from .ingest import first_of_each, ingest, report
 from .library import Library
@@ -581,6 +582,19 @@ def skipped_segments(spark, d):
     return found.select(F.col("content_hash").alias("doc_hash"), "status", "segment_count", "skipped_segments")
 
 
+@query(f"""WITH {LEAF} SELECT content_hash, CASE WHEN doc_id % 3 < 2 THEN 'new/' ELSE '' END || source_path AS source_path,
+CASE WHEN doc_id % 4 = 0 AND doc_id % 3 < 2 OR doc_id % 4 = 1 AND doc_id % 3 = 2 THEN 'gone' ELSE status END AS status,
+CASE WHEN doc_id % 3 < 2 OR doc_id % 4 = 1 THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM leaves""")
+def event_stream(spark, d):
+    """file_events by the stream: the moves in one run, the deletions in a later one."""
+    kept, base = store.Store(spark, shared_folder(spark, "store")), shared_folder(spark, "events")
+    kept.commit(_store_library(spark, d, "true"))
+    for kind in ("moved", "deleted"):
+        _events(spark, d).where(F.col("event_type") == kind).write.mode("append").json(f"{base}/log")
+        run_events(spark, f"{base}/log", kept, f"{base}/checkpoint", as_of=AS_OF)
+    return kept.load().leaves.select("content_hash", "source_path", "status", "updated_at")
+
+
 # --- extensions -----------------------------------------------------------------------------------
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
