@@ -88,47 +88,38 @@ def decay(size: Column, target: int) -> Column:
 def _cuts(lines: Column, cfg: ChunkConfig) -> Column:
     """Line ranges array<struct<s,e>> (e excluded) before trimming."""
     items = F.transform(lines, lambda x, i: F.struct(i.alias("i"), (F.length(x) + 1).alias("n"), classify_line(x).alias("c")))
-    start = F.struct(F.lit(0).alias("st"), F.lit(0).alias("sz"), F.lit(False).alias("open"), F.array().cast("array<struct<s:int,e:int>>").alias("cuts"))
+    start = {"st": F.lit(0), "sz": F.lit(0), "open": F.lit(False)}
+    kind_of_cuts = "array<struct<s:int,e:int>>"
 
     def good(score: Column, size: Column) -> Column:
         return (score * decay(size, cfg.target) >= 10) | (size >= cfg.target)
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> dict[str, Column]:
         fence = x["c"]["kind"] == FENCE_KIND
         score = F.when(~fence & acc["open"], 0).otherwise(x["c"]["score"])
         kind = F.when(fence, F.when(acc["open"], AFTER).otherwise(BEFORE)).when(acc["open"], NONE).otherwise(x["c"]["kind"])
         size = acc["sz"] + x["n"]
         before = (kind == BEFORE) & (x["i"] > acc["st"]) & (acc["sz"] >= cfg.least) & good(score, acc["sz"])
-        first = F.struct(score.alias("score"), kind.alias("kind"), size.alias("size"), before.alias("before"))
-
-        def second(v: Column) -> Column:
-            st = F.when(v["before"], x["i"]).otherwise(acc["st"])
-            sz = F.when(v["before"], x["n"]).otherwise(v["size"])
-            after = (v["size"] >= cfg.least) & (((v["kind"] == AFTER) & good(v["score"], v["size"])) | ((sz >= cfg.least) & (sz >= cfg.ceiling)))
-            cuts = F.concat(
-                acc["cuts"],
-                F.when(v["before"], F.array(F.struct(acc["st"].alias("s"), x["i"].alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>")),
-                F.when(after, F.array(F.struct(st.alias("s"), (x["i"] + 1).alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>")),
-            )
-            return F.struct(
-                F.when(after, x["i"] + 1).otherwise(st).cast("int").alias("st"), F.when(after, 0).otherwise(sz).cast("int").alias("sz"),
-                (fence != acc["open"]).alias("open"), F.when(v["before"] | after, cuts).otherwise(acc["cuts"]).alias("cuts"),
-            )
-
-        return T.let(first, second)
-
-    def finish(acc: Column) -> Column:
+        st = F.when(before, x["i"]).otherwise(acc["st"])
+        sz = F.when(before, x["n"]).otherwise(size)
+        after = (size >= cfg.least) & (((kind == AFTER) & good(score, size)) | ((sz >= cfg.least) & (sz >= cfg.ceiling)))
+        cut = lambda on, s, e: F.when(on, F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))).otherwise(F.array().cast(kind_of_cuts))
+        return {
+            "st": F.when(after, x["i"] + 1).otherwise(st).cast("int"), "sz": F.when(after, 0).otherwise(sz).cast("int"), "open": fence != acc["open"],
+            "found": F.concat(cut(before, acc["st"], x["i"]), cut(after, st, x["i"] + 1)),
+        }
+
+    def finish(acc: Column, cuts: Column) -> Column:
         rest = F.array(F.struct(acc["st"].alias("s"), F.size(lines).alias("e")))
-        return F.concat(acc["cuts"], F.when(acc["st"] < F.size(lines), rest).otherwise(F.array().cast("array<struct<s:int,e:int>>")))
+        return F.concat(cuts, F.when(acc["st"] < F.size(lines), rest).otherwise(F.array().cast(kind_of_cuts)))
 
-    return F.aggregate(items, start, step, finish)
+    return T.let(items, lambda bound: T.fold(bound, start, step, kind_of_cuts, finish))
 
 
 def chunks(content: Column, label: Column, cfg: ChunkConfig = ChunkConfig()) -> Column:
     """array<struct<chunk_index, chunk_label, content_text>> of a text; null text has none."""
     whole = F.array(content)
-    lines = F.split(content, "\n", -1)
-    many = F.transform(_cuts(lines, cfg), lambda c: T.rtrim(F.array_join(F.slice(lines, c["s"] + 1, c["e"] - c["s"]), "\n")))
+    many = T.let(F.split(content, "\n", -1), lambda lines: F.transform(_cuts(lines, cfg), lambda c: T.rtrim(F.array_join(F.slice(lines, c["s"] + 1, c["e"] - c["s"]), "\n"))))
     parts = F.when(F.length(content) <= cfg.ceiling, whole).otherwise(F.filter(many, lambda x: x != ""))
     if cfg.overlap_tokens:
         n = cfg.overlap_tokens * CHARS_PER_TOKEN

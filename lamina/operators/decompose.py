@@ -29,35 +29,43 @@ def plain_text(text: Column) -> Column:
 
     Short paragraphs at the end of a full segment move on to the next one, and runs of short ones are not parted."""
     paragraphs = F.filter(F.transform(F.split(text, "\n\n", -1), T.trim), lambda x: x != "")
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("len"))
 
-    def total(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda a, p: (a + F.octet_length(p)).cast("int"))
+    def pack(ps: Column) -> Column:
+        # the open segment is a range of paragraphs from `s` on: n of them, len bytes, of which tail bytes stand after the
+        # k-th, its last long paragraph (or its first one, if all are short)
+        zero = {x: F.lit(0) for x in ("i", "s", "n", "len", "k", "tail", "last")}
 
-    def step(acc: Column, p: Column) -> Column:
-        size = F.octet_length(p)
-        last = F.get(acc["parts"], F.size(acc["parts"]) - 1)
-        stays = (F.size(acc["parts"]) == 0) | (acc["len"] + size <= TARGET)
-        stays = stays | ((size <= STICKY) & (F.octet_length(last) <= STICKY))
-        grown = F.struct(acc["done"].alias("done"), F.concat(acc["parts"], F.array(p)).alias("parts"), (acc["len"] + size).cast("int").alias("len"))
+        def step(acc: Column, p: Column) -> dict[str, Column]:
+            size = F.octet_length(p)
+            short = size <= STICKY
+            stays = (acc["n"] == 0) | (acc["len"] + size <= TARGET) | (short & (acc["last"] <= STICKY))
+            s = F.when(stays, acc["s"]).otherwise(acc["s"] + acc["k"])
+            n = F.when(stays, acc["n"]).otherwise(acc["n"] - acc["k"]) + 1
+            after = acc["tail"] + size
+            size_of_first = F.when(n == 1, size).otherwise(F.octet_length(F.get(ps, s)))
+            new = {
+                "i": acc["i"] + 1, "s": s, "n": n, "len": F.when(stays, acc["len"] + size).otherwise(after), "k": F.when(~short | (n == 1), n).when(stays, acc["k"]).otherwise(1),
+                "tail": F.when(~short | (n == 1), 0).when(stays, after).otherwise(after - size_of_first), "last": size,
+            }
+            new = {x: v.cast("int") for x, v in new.items()}
+            return new | {"found": F.when(stays, F.array().cast("array<int>")).otherwise(F.array(s.cast("int")))}
 
-        def emit(k: Column) -> Column:
-            carry = F.concat(F.slice(acc["parts"], k + 1, F.size(acc["parts"])), F.array(p))
-            return F.struct(F.concat(acc["done"], F.array(F.slice(acc["parts"], 1, k))).alias("done"), carry.alias("parts"), total(carry).alias("len"))
+        def ranges(acc: Column, starts: Column) -> Column:
+            at = F.when(acc["n"] > 0, F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
+            return T.let(at, lambda a: F.transform(a, lambda x, i: F.slice(ps, x + 1, F.coalesce(F.get(a, i + 1), F.size(ps)) - x)))
 
-        long_at = F.array_max(F.transform(acc["parts"], lambda x, i: F.when(F.octet_length(x) > STICKY, i + 1).otherwise(1)))
-        return F.when(stays, grown).otherwise(T.let(F.coalesce(long_at, F.lit(1)), emit))
+        return T.fold(ps, zero, step, "array<int>", ranges)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["done"], F.when(F.size(acc["parts"]) > 0, F.array(acc["parts"])).otherwise(F.array().cast("array<array<string>>")))
-
-    groups = F.aggregate(paragraphs, state, lambda a, p: step(a, p), finish)
-    return _indexed(F.transform(groups, lambda g: F.struct(plain_label(F.get(g, F.lit(0))).alias("label"), F.array_join(g, "\n\n").alias("text"))))
+    named = lambda g: F.struct(plain_label(F.get(g, F.lit(0))).alias("label"), F.array_join(g, "\n\n").alias("text"))
+    return _indexed(F.transform(T.let(paragraphs, pack), named))
 
 
 def markdown(text: Column) -> Column:
     """Sections by headings (#, 1 to 6, any indentation); the heading is the label; flat; empty sections go."""
-    lines = F.split(text, "\r?\n", -1)
+    return T.let(F.split(text, "\r?\n", -1), _markdown)
+
+
+def _markdown(lines: Column) -> Column:
     marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda m: m["x"].rlike(HEADING_LINE))
     heads = F.transform(marks, lambda m: F.struct(m["i"].alias("i"), T.trim(F.regexp_replace(T.ltrim(m["x"]), "^#{1,6}", "")).alias("label")))
     all_heads = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(PREAMBLE).alias("label"))), heads)
@@ -75,9 +83,12 @@ def markdown(text: Column) -> Column:
 def html(text: Column) -> Column:
     """Sections by h1 to h6; tags stripped, entities decoded; the heading's text is the label; empty sections go."""
     bodies = F.split(text, HEADING_TAG, -1)
-    titles = F.regexp_extract_all(text, F.lit(HEADING_TAG), F.lit(2))
-    label = lambda i: F.when(i == 0, F.lit(PREAMBLE)).otherwise(T.trim(T.strip_tags(F.get(titles, i - 1))))
-    parts = F.transform(bodies, lambda b, i: F.struct(label(i).alias("label"), T.trim(T.strip_tags(b)).alias("text")))
+
+    def named(titles: Column) -> Column:
+        label = lambda i: F.when(i == 0, F.lit(PREAMBLE)).otherwise(T.trim(T.strip_tags(F.get(titles, i - 1))))
+        return F.transform(bodies, lambda b, i: F.struct(label(i).alias("label"), T.trim(T.strip_tags(b)).alias("text")))
+
+    parts = T.let(F.regexp_extract_all(text, F.lit(HEADING_TAG), F.lit(2)), named)
     return _indexed(F.filter(parts, lambda s: s["text"] != ""))
 
 

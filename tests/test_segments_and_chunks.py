@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import text as T
 from lamina.operators import chunking as C
 from lamina.operators import decompose as D
 from lamina.sources import epub, files
@@ -184,3 +185,36 @@ def test_files(tmp_path):
     assert [p[len(str(tmp_path)) + 1 :] for p in files.collect_files(str(tmp_path))] == ["a.md", "b.txt", "sub/c.pdf"]
     with pytest.raises(Exception, match="directory"):
         files.expand([str(tmp_path)], False)
+
+
+def packed(paragraphs):
+    """plain_text by brute force, for paragraphs of one byte a character."""
+    done, parts = [], []
+    for p in paragraphs:
+        if not parts or sum(map(len, parts)) + len(p) <= D.TARGET or (len(p) <= D.STICKY and len(parts[-1]) <= D.STICKY):
+            parts.append(p)
+            continue
+        k = max([i + 1 for i, x in enumerate(parts) if len(x) > D.STICKY] or [1])
+        done.append(parts[:k])
+        parts = [*parts[k:], p]
+    return ["\n\n".join(g) for g in [*done, parts] if g]
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_folds_in_blocks(spark, monkeypatch, block):
+    """Segments and chunks do not depend on the blocks in which a text is folded, at either side of their ends."""
+    monkeypatch.setattr(T, "FOLD_BLOCK", block)
+    r = random.Random(7)
+    sizes = lambda n: [r.choice([r.randint(1, 80), 80, 81, r.randint(81, 700), r.randint(1400, 1600)]) for _ in range(n)]
+    for n in (1, 2, 3, 4, 6, 7, 200, 9000 if block > 3 else 500):
+        paragraphs = [r.choice("abc") * k for k in sizes(n)]
+        assert [x[2] for x in segments_of(spark, "\n\n".join(paragraphs), D.plain_text)] == packed(paragraphs)
+    short = ["x" * 10] * 9000
+    assert [x[2] for x in segments_of(spark, "\n\n".join(short), D.plain_text)] == packed(short)
+    lines = [r.choice(["# Head", "word " * 12, "An end.", "", "```", "plain", "## Sub"]) for _ in range(9000 if block > 3 else 700)]
+    cfg = C.ChunkConfig(40, 20)
+    text = "\n".join(lines)
+    chunk = lambda: [tuple(c) for c in spark.createDataFrame([(text,)], "t string").select(C.chunks(F.col("t"), F.lit("x"), cfg).alias("c")).first().c]
+    got = chunk()
+    monkeypatch.setattr(T, "FOLD_BLOCK", 1 << 20)
+    assert got == chunk() and len(got) > 20
