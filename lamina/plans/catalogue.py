@@ -51,14 +51,22 @@ def leaf_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaves(spark: SparkSession, d: str) -> DataFrame:
+    return _leaves_of(leaf_rows(spark, d))
+
+
+def _leaves_of(rows: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     status = F.when(i % 17 == 0, "error").when(i % 13 == 0, "processing").otherwise("ready")
     form = F.when(i % 3 == 0, "markdown").when(i % 3 == 1, "html").otherwise("plain_text")
-    return leaf_rows(spark, d).select("content_hash", "doc_id", F.concat("source", F.lit("/"), i.cast("string"), F.lit(".txt")).alias("source_path"), form.alias("format"), F.col("lang").alias("collection"), status.alias("status"), F.timestamp_add("MINUTE", i, F.lit(datetime(2024, 1, 1))).alias("updated_at"))
+    return rows.select("content_hash", "doc_id", F.concat("source", F.lit("/"), i.cast("string"), F.lit(".txt")).alias("source_path"), form.alias("format"), F.col("lang").alias("collection"), status.alias("status"), F.timestamp_add("MINUTE", i, F.lit(datetime(2024, 1, 1))).alias("updated_at"))
 
 
 def leaf_tags(spark: SparkSession, d: str) -> DataFrame:
-    rows = leaf_rows(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
+    return _tags_of(leaf_rows(spark, d), table(spark, d, "labels"))
+
+
+def _tags_of(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = rows.join(labels, "doc_id", "left")
     tags = F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 1, "quality"), F.col("source"))
     return rows.select("leaf_id", F.explode(F.array_compact(tags)).alias("tag"))
 
@@ -492,9 +500,9 @@ def collection_move(spark, d):
     return store.move_collection(rows, hit.unionByName(hit), "de", AS_OF).select("content_hash", "collection", "updated_at")
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def _events(rows: DataFrame) -> DataFrame:
     """Two events for most leaves: a move, then a deletion of the new path or of the old one."""
-    rows, i = leaves(spark, d), F.col("doc_id")
+    i = F.col("doc_id")
     new = F.concat(F.lit("new/"), "source_path")
     first = rows.where("doc_id % 3 < 2").select((2 * i).alias("event_id"), F.lit("moved").alias("event_type"), "content_hash", new.alias("path"))
     second = rows.where("doc_id % 4 < 2").select((2 * i + 1).alias("event_id"), F.lit("deleted").alias("event_type"), "content_hash", F.when(i % 4 == 0, new).otherwise(F.col("source_path")).alias("path"))
@@ -506,27 +514,38 @@ CASE WHEN doc_id % 4 = 0 AND doc_id % 3 < 2 OR doc_id % 4 = 1 AND doc_id % 3 = 2
 CASE WHEN doc_id % 3 < 2 OR doc_id % 4 = 1 THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM leaves""")
 def file_events(spark, d):
     rows = leaves(spark, d)
-    return events.apply_events(rows, events.since(_events(spark, d), -1), AS_OF).select("content_hash", "source_path", "status", "updated_at")
+    return events.apply_events(rows, events.since(_events(rows), -1), AS_OF).select("content_hash", "source_path", "status", "updated_at")
 
 
 # --- the store ------------------------------------------------------------------------------------
 
 
-def _store_library(spark: SparkSession, d: str, where: str) -> Library:
-    """Leaves of documents with a segment and a chunk for each, and their tags."""
-    rows = leaf_rows(spark, d).where(where)
-    own = leaves(spark, d).where(where).select("content_hash", "source_path", "format", F.lit(None).cast("string").alias("title"), "collection", F.lit(1).alias("segment_count"), F.lit(0).alias("skipped_segments"), "status", F.lit(None).cast("string").alias("error"), F.col("updated_at").alias("created_at"), "updated_at")
+#: Folders of the rows of which stores are made: each append reads its own one.
+SHARES = 8
+
+
+def _stored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """leaf_rows, written once, in a folder for each share of the ids: texts are hashed and shuffled once, not by every table of every append."""
+    path, rows = shared_folder(spark, "leaf-rows"), leaf_rows(spark, d)
+    rows = rows.withColumn("share", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SHARES)).cast("int"))
+    rows.write.partitionBy("share").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _store_library(rows: DataFrame, labels: DataFrame) -> Library:
+    """Leaves of rows with a segment and a chunk for each, and their tags."""
+    own = _leaves_of(rows).select("content_hash", "source_path", "format", F.lit(None).cast("string").alias("title"), "collection", F.lit(1).alias("segment_count"), F.lit(0).alias("skipped_segments"), "status", F.lit(None).cast("string").alias("error"), F.col("updated_at").alias("created_at"), "updated_at")
     segments = rows.select(store.chunk_id("leaf_id", F.lit("0")).alias("id"), "leaf_id", F.lit(0).alias("segment_index"), F.lit("section").alias("segment_label"), F.col("text").alias("content_text"))
     chunks = segments.select("id", F.col("id").alias("segment_id"), "leaf_id", "segment_index", F.lit(0).alias("chunk_index"), F.lit("section").alias("chunk_label"), "content_text")
-    return Library(own, segments, chunks, leaf_tags(spark, d).join(own.select(F.col("content_hash").alias("leaf_id")), "leaf_id", "left_semi"))
+    return Library(own, segments, chunks, _tags_of(rows, labels))
 
 
 def _appended(spark: SparkSession, d: str) -> store.Store:
     """A store of nine appends, eight of which are merged; the last one sets a fifth of the leaves anew."""
-    out = store.Store(spark, shared_folder(spark, "store"))
-    for i in range(8):
-        out.append(_store_library(spark, d, f"doc_id % 8 = {i}"))
-    last = _store_library(spark, d, "doc_id % 5 = 0")
+    out, rows, labels = store.Store(spark, shared_folder(spark, "store")), _stored_rows(spark, d), table(spark, d, "labels")
+    for i in range(SHARES):
+        out.append(_store_library(rows.where(F.col("share") == i), labels))
+    last = _store_library(rows.where("doc_id % 5 = 0"), labels)
     last.leaves = last.leaves.withColumns({"status": F.lit("error"), "updated_at": F.lit(AS_OF).cast("timestamp")})
     out.append(Library(last.leaves, *(getattr(last, t).where(F.lit(False)) for t in store.TABLES[1:])))
     return out
@@ -552,10 +571,10 @@ def leaves_recent(spark, d):
 @query(f"WITH {LEAF} SELECT content_hash, CASE WHEN doc_id % 4 = 0 THEN 'processing' ELSE status END AS status, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE 1 END::BIGINT AS segments FROM leaves WHERE doc_id % 4 <> 1")
 def intake_states(spark, d):
     """A run that is at work, one that died and was repaired, and one that finished."""
-    out = store.Store(spark, shared_folder(spark, "store"))
-    out.begin(_store_library(spark, d, "doc_id % 4 = 1").leaves, "dead", now=0.0)
-    out.begin(_store_library(spark, d, "doc_id % 4 = 0").leaves, "at work")
-    done = _store_library(spark, d, "doc_id % 4 > 1")
+    out, rows, labels = store.Store(spark, shared_folder(spark, "store")), _stored_rows(spark, d), table(spark, d, "labels")
+    out.begin(_store_library(rows.where("doc_id % 4 = 1"), labels).leaves, "dead", now=0.0)
+    out.begin(_store_library(rows.where("doc_id % 4 = 0"), labels).leaves, "at work")
+    done = _store_library(rows.where("doc_id % 4 > 1"), labels)
     out.finish(out.begin(done.leaves, "done"), done)
     out.repair()
     lib = out.load()
@@ -588,9 +607,10 @@ CASE WHEN doc_id % 3 < 2 OR doc_id % 4 = 1 THEN TIMESTAMP '2025-01-01' ELSE upda
 def event_stream(spark, d):
     """file_events by the stream: the moves in one run, the deletions in a later one."""
     kept, base = store.Store(spark, shared_folder(spark, "store")), shared_folder(spark, "events")
-    kept.commit(_store_library(spark, d, "true"))
+    rows = _stored_rows(spark, d)
+    kept.commit(_store_library(rows, table(spark, d, "labels")))
     for kind in ("moved", "deleted"):
-        _events(spark, d).where(F.col("event_type") == kind).write.mode("append").json(f"{base}/log")
+        _events(_leaves_of(rows)).where(F.col("event_type") == kind).write.mode("append").json(f"{base}/log")
         run_events(spark, f"{base}/log", kept, f"{base}/checkpoint", as_of=AS_OF)
     return kept.load().leaves.select("content_hash", "source_path", "status", "updated_at")
 

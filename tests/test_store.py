@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.plans import catalogue
 from lamina.plans import store as S
 from lamina.plans.library import Library
 from lamina.plans.store import Part, Store
@@ -100,3 +101,18 @@ def test_begun_parts(spark, tmp_path):
     gone = store.repair(now=time.time() + 120, grace=0)
     assert dead in gone and left in gone and store.load().leaves.count() == 3
     assert not (tmp_path / left).exists() and store.read(name(1), 0).first().content == "text 1"
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """Nine appends and a merge shuffle each text once; leaves of null and negative ids are appended too."""
+    text = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f" {k}")), 512) for k in range(120)))  # not compressible below half
+    ids = F.when(F.col("id") == 7, None).when(F.col("id") == 9, -9).otherwise(F.col("id"))
+    spark.range(200).select(ids.alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    time.sleep(1)
+    before = written()
+    rows = catalogue.store_appends(spark, str(tmp_path)).collect()
+    time.sleep(1)
+    assert len(rows) == 200 and {(r.chunks, r.parts) for r in rows} == {(1, 2)} and sum(r.status == "error" for r in rows) >= 39
+    assert 200 * 120 * 64 < written() - before < 3 * 200 * 120 * 128
