@@ -103,7 +103,8 @@ def test_begun_parts(spark, tmp_path):
     assert not (tmp_path / left).exists() and store.read(name(1), 0).first().content == "text 1"
 
 
-def test_texts_are_shuffled_once(spark, tmp_path):
+@pytest.mark.parametrize("query", ["store_appends", "leaves_recent"])
+def test_texts_are_shuffled_once(spark, tmp_path, query):
     """Nine appends and a merge shuffle each text once; leaves of null and negative ids are appended too."""
     text = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f" {k}")), 512) for k in range(120)))  # not compressible below half
     ids = F.when(F.col("id") == 7, None).when(F.col("id") == 9, -9).otherwise(F.col("id"))
@@ -112,7 +113,10 @@ def test_texts_are_shuffled_once(spark, tmp_path):
     written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
     time.sleep(1)
     before = written()
-    rows = catalogue.store_appends(spark, str(tmp_path)).collect()
+    rows = catalogue.Q[query](spark, str(tmp_path)).collect()
     time.sleep(1)
-    assert len(rows) == 200 and {(r.chunks, r.parts) for r in rows} == {(1, 2)} and sum(r.status == "error" for r in rows) >= 39
+    if query == "store_appends":
+        assert len(rows) == 200 and {(r.chunks, r.parts) for r in rows} == {(1, 2)} and sum(r.status == "error" for r in rows) >= 39
+    else:
+        assert len(rows) == 50 and {(r.chunk_count, r.status) for r in rows[:39]} == {(1, "error")}
     assert 200 * 120 * 64 < written() - before < 3 * 200 * 120 * 128
