@@ -6,11 +6,13 @@ import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lamina.plans import events as E
 from lamina.plans.library import Library
 from lamina.plans.store import EMPTY, TABLES, Store
+from lamina.streaming.event_state import FileState
 from lamina.streaming.intake import run_events
 
 AS_OF, LATER = datetime(2024, 1, 1), datetime(2025, 1, 1)
@@ -72,3 +74,38 @@ def test_empty_log(spark, tmp_path):
     write(tmp_path / "log", 0, [(1, "moved", None, "/x"), (2, "moved", "a", None)])
     run_events(spark, str(tmp_path / "log"), store, str(tmp_path / "cp"))
     assert store.load().leaves.select("source_path", F.col("status")).first() == ("/a", "ready") and len(store.parts()) == 1
+
+
+class _Counted:
+    """A state of one key that counts calls, each of which is a round trip to the JVM in a stream."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.map = calls, None, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "update":
+                self.value = args[0]
+            elif name == "updateValue":
+                self.map[args[0]] = args[1]
+            elif name == "removeKey":
+                del self.map[args[0]]
+            return {"get": self.value, "getValue": self.map.get(args[0]) if args else None, "exists": bool(self.map) or self.value is not None, "containsKey": bool(args) and args[0] in self.map, "iterator": iter(list(self.map.items()))}.get(name)
+
+        return call
+
+
+def test_few_round_trips_for_each_hash():
+    calls, state = [], FileState()
+    state.last, state.lost = _Counted(calls), _Counted(calls)
+    event = Row("path", "event_id", "deleted")
+
+    def told(*rows):
+        calls.clear()
+        return [tuple(r) for r in state.handleInputRows(("h",), iter([event(*r) for r in rows]), None)]
+
+    assert told(("/a", 1, False), ("/b", 2, False), ("/c", 3, True), ("/c", 4, False)) == [("h", "/c", True, False)] and len(calls) == 3
+    assert told(("/c", 6, True), ("/c", 5, True)) == [("h", "/c", True, True)] and len(calls) == 4
+    assert told(("/c", 6, True)) == [("h", "/c", True, True)] and "update" not in calls and "updateValue" not in calls
+    assert told(("/d", 7, False)) == [("h", "/d", True, False)] and not state.lost.map
