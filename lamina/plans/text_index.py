@@ -9,7 +9,12 @@ when a search asks for them, so weights are those of all documents together.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,26 @@ def folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to BLOCK rows of a term from rows (folder, term, key, tf, n) in that order; an Arrow batch ends a block."""
+    task, done = TaskContext.get().partitionId() << 33, 0
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        term, tf, n = rows.column("term"), rows.column("tf").to_numpy(), rows.column("n").to_numpy()
+        place, new = np.arange(len(tf)), np.ones(len(tf), bool)
+        new[1:] = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        at = np.flatnonzero((place - first) % BLOCK == 0)
+        ends = pa.array(np.append(at, len(tf)), pa.int32())
+        arrays = {name: pa.ListArray.from_arrays(ends, rows.column(own)) for name, own in (("keys", "key"), ("tfs", "tf"), ("sizes", "n"))}
+        most, least, ratio = np.maximum.reduceat(tf, at), np.minimum.reduceat(n, at), np.minimum.reduceat(n / tf, at)
+        words = np.add.reduceat(tf.astype(np.int64), at)
+        block = pa.array(task + done + np.arange(len(at)), pa.int64())
+        done += len(at)
+        yield pa.RecordBatch.from_pydict({"term": term.take(pa.array(at)), "block": block, "most": most, "least": least, "ratio": ratio, **arrays, "folder": rows.column("folder").take(pa.array(at)), "words": words})
+
+
 class TextIndex:
     """The index below root; key is the name of the documents' key in results, kind its type."""
 
@@ -44,22 +69,19 @@ class TextIndex:
         it, are written last and renamed. Null texts count as documents, but not
         towards the mean length; rows of equal key count as rows of their own
         in `sizes`, and their words are added up."""
-        words = docs.select(F.col(self.key).cast(self.kind).alias("key"), hybrid.words(F.col(text)).alias("w"))
-        # words of a document are counted where they are found, before anything is shuffled
+        # texts are dealt by key, so that the words of a document are counted where they are found
+        docs = docs.select(F.col(self.key).cast(self.kind).alias("key"), F.col(text).alias("text"))
+        words = docs.where("text is not null").repartition("key").select("key", hybrid.words(F.col("text")).alias("w"))
         rows = words.select("key", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("key", "n", "term").agg(F.count("*").cast("int").alias("tf"))
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        order = ["folder", "term", "key"]  # a term of many documents spreads over several tasks and files
-        placed = rows.withColumn("folder", folder(F.col("term"))).repartitionByRange(n, *order).sortWithinPartitions(*order)
-        # a term's postings lie one after another in a task, so places divided by BLOCK cut them into blocks
-        block = F.floor(F.monotonically_increasing_id() / BLOCK).cast("long")
-        own = F.sort_array(F.collect_list(F.struct("key", "tf", "n")))
-        blocks = placed.withColumn("block", block).groupBy("folder", "term", "block").agg(F.max("tf").alias("most"), F.min("n").alias("least"), F.min(F.col("n") / F.col("tf")).alias("ratio"), own.alias("p"), F.sum(F.lit(1)).alias("df"))
-        blocks = blocks.select("term", "block", "most", "least", "ratio", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("sizes"), "folder")
+        # the one shuffle of postings: a folder of many of them spreads over several tasks and files, each with blocks of its own
+        placed = rows.select(folder(F.col("term")).alias("folder"), "term", "key", "tf", "n").hint("rebalance", F.col("folder")).sortWithinPartitions("folder", "term", "key")
         part = uuid.uuid4().hex
-        blocks.repartitionByRange(n, "folder", "term", "block").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{self.root}/postings/part={part}")
-        stored = self.spark.read.schema(_POSTINGS.format(self.kind)).parquet(f"{self.root}/postings/part={part}")
-        stored.groupBy("term", "folder").agg(F.sum(F.size("keys")).alias("df")).repartitionByRange(n, "folder", "term").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.root}/terms/part={part}")
-        words.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("words"), F.count("w").alias("texts")).coalesce(1).write.parquet(f"{self.root}/_sizes-{part}")
+        blocks = placed.mapInArrow(cut, f"{_POSTINGS.format(self.kind)}, words long").sortWithinPartitions("folder", "term", "block")
+        blocks.write.partitionBy("folder").parquet(f"{self.root}/postings/part={part}")
+        stored = self.spark.read.schema(f"{_POSTINGS.format(self.kind)}, words long").parquet(f"{self.root}/postings/part={part}")
+        stored.groupBy("term", "folder").agg(F.sum(F.size("tfs")).alias("df")).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.root}/terms/part={part}")
+        sizes = docs.agg(F.count("*").alias("docs"), F.count("text").alias("texts")).crossJoin(stored.agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("words")))  # one row each
+        sizes.select("docs", "words", "texts").coalesce(1).write.parquet(f"{self.root}/_sizes-{part}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         system = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
         system.mkdirs(path(f"{self.root}/sizes"))

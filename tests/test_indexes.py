@@ -1,5 +1,7 @@
 """Stored indexes of vectors and of terms against exact search."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,19 @@ def test_a_part_that_dies_is_not_seen(spark, texts, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="dies"):
         index.append(texts.where("doc_id >= 100"), "text")
     assert rounded(index.scores(["cat"])) == before
+
+
+def test_postings_are_shuffled_once(spark, tmp_path):
+    """Texts are dealt by key and postings once; terms of many documents and rows of equal key keep their counts."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k) if k else None, " ".join(f"w{i}" for i in rng.integers(0, 20_000, 250))) for k in rng.integers(0, 1 << 40, 2400)] + [(5, "w1 w2"), (5, "w1 w3"), (None, "w1"), (-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs.write.parquet(str(tmp_path / "docs"))
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    time.sleep(1)
+    before = written()
+    index = TextIndex(spark, str(tmp_path / "index"), "doc_id", "bigint").append(spark.read.parquet(str(tmp_path / "docs")), "text")
+    time.sleep(1)
+    assert 0 < written() - before < 40 * 2400 * 248
+    exp = rounded(hybrid.bm25(docs, "doc_id", "text", ["w1", "w2", "w77"]))
+    assert rounded(index.scores(["w1", "w2", "w77"])) == exp and {5, None} <= set(exp)
