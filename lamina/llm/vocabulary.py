@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -17,6 +18,8 @@ _LATIN = re.compile("[!-~\u00a1-\u012f\u0132-\u017f]+")
 #: The letter that stands for each byte in byte-level files: printable Latin-1 for itself, others from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: The same for all bytes as UTF-32; zeros, ends of lines and of strings stand for themselves.
+LINE_LETTERS = np.array([b if b in (0, 10) else ord(BYTE_LETTERS.get(b, chr(b))) for b in range(256)], "<u4")
 _LOADED: dict[int, "Vocabulary"] = {}
 
 
@@ -37,6 +40,7 @@ class Vocabulary:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"] if not t["normalized"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.plain = self._plain_pattern(spec)
+        self.lines = regex.compile(f"(?:{self.plain.pattern})|\n") if self.plain is not None else None
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def symbols(self, piece: str) -> list[str]:
@@ -69,6 +73,22 @@ class Vocabulary:
         text = norm.normalize_str(run) if norm is not None else run
         return [p for p, _ in pre.pre_tokenize_str(text)]
 
+    def pieces_of(self, runs: list[str]) -> list[list[str]]:
+        """pieces() of every run. Runs of Latin letters and signs are cut together, a line for each."""
+        plain = [i for i, r in enumerate(runs) if _LATIN.fullmatch(r)] if self.lines is not None else []
+        lines = "".join([runs[i] + "\n" for i in plain]).lower()
+        found = [p for p in self.lines.findall(lines) if p] if plain else []
+        if not lines.isascii():
+            found = LINE_LETTERS[np.frombuffer("\0".join(found).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\0")
+        ends = [i for i, p in enumerate(found) if p == "\n"]
+        if len(ends) != len(plain):  # the file's pattern takes ends of lines into pieces
+            plain, ends = [], []
+        out: list[list[str] | None] = [None] * len(runs)
+        first = 0
+        for i, end in zip(plain, ends):
+            out[i], first = found[first:end], end + 1
+        return [[p for p in self.pieces(r) if p] if own is None else own for r, own in zip(runs, out)]
+
     def parts(self, text: str) -> list[str]:
         """Ordinary parts of a text at even places, special strings between them at odd ones."""
         if not any(t in text for t in self.special):

@@ -84,6 +84,26 @@ def test_bpe_codec(docs, rows):
         assert c.merge(list(s)) == c._merge_long(list(s))
 
 
+def test_bpe_codec_merges_pieces_together(monkeypatch):
+    """New pieces are merged many at a time, through full caches, blocks inside a text, and pieces too long for it."""
+    t, rng = Tokenizer.from_file(WORD), random.Random(3)
+    letters = "abcdeXYZ'st 12 \t\n\x1c\x00éßĲŁ日本ЖΣς🙂.,!"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    texts += ["", " ", "a<|startoftext|><|endoftext|> b", "reading " * 300 + "x" * 300 + " é" * 50, "a" * 64 + " " + "b" * 65 + " " + "é" * 40]
+    own, long = bpe_codec.Codec(vocabulary(read_content(WORD))), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda symbols: long.append(len(symbols)) or merge(symbols))
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    exp = [(len(i), " ".join(map(str, i)), t.decode(i, skip_special_tokens=False)) for i in ids]
+    assert own.all(texts) == exp and own.all(texts) == exp
+    assert sorted(set(long)) == [65, 80, 300]  # no piece of up to 64 letters is merged by itself
+    assert max(map(len, own.numbers)) <= bpe_codec.LONGEST and own.numbers.keys() == own.decoded.keys()
+    monkeypatch.setattr(bpe_codec, "KEPT", 20)
+    monkeypatch.setattr(bpe_codec, "BLOCK", 7)
+    monkeypatch.setattr(bpe_codec, "STEP", 3)
+    assert own.all(texts) == exp == [own.both(x) for x in texts]
+
+
 def test_token_id_files(docs, rows):
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 5), (1024, 60000), (5000, 2**32 - 1), (3000, 1)):
