@@ -14,7 +14,7 @@ K1, B, RRF_K = 1.2, 0.75, 60
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:

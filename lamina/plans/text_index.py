@@ -1,9 +1,9 @@
 """A persisted inverted index for BM25: postings by term in folders, statistics that add up over parts, block bounds.
 
 A part is written once for a set of documents. It has `postings` (blocks of BLOCK documents of a term, with the block's
-greatest frequency, least length and least length by frequency), `terms` (document frequencies) and `sizes` (documents and words). Terms are dealt
-to folders by a hash, so that a search opens those of its terms. Parts are appended; frequencies and sizes are summed
-when a search asks for them, so weights are those of all documents together.
+number of documents, greatest frequency, least length and least length by frequency) and `sizes` (documents and words).
+Terms are dealt to folders by a hash, so that a search opens those of its terms. Parts are appended; the documents of a
+term's blocks and sizes are summed when a search asks for them, so weights are those of all documents together.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from . import hybrid
 
 #: Folders of terms, documents of a block, blocks of each term that give a search its first threshold.
 FOLDERS, BLOCK, FIRST = 64, 128, 16
-_POSTINGS = "term string, block long, most int, least int, ratio double, keys array<{}>, tfs array<int>, sizes array<int>, folder int"
+_POSTINGS = "term string, block long, docs int, most int, least int, ratio double, keys array<{}>, tfs array<int>, sizes array<int>, folder int"
 
 
 def folder(term: Column) -> Column:
@@ -46,7 +46,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.add.reduceat(tf.astype(np.int64), at)
         block = pa.array(task + done + np.arange(len(at)), pa.int64())
         done += len(at)
-        yield pa.RecordBatch.from_pydict({"term": term.take(pa.array(at)), "block": block, "most": most, "least": least, "ratio": ratio, **arrays, "folder": rows.column("folder").take(pa.array(at)), "words": words})
+        yield pa.RecordBatch.from_pydict({"term": term.take(pa.array(at)), "block": block, "docs": np.diff(np.append(at, len(tf))).astype(np.int32), "most": most, "least": least, "ratio": ratio, **arrays, "folder": rows.column("folder").take(pa.array(at)), "words": words})
 
 
 class TextIndex:
@@ -76,10 +76,9 @@ class TextIndex:
         # the one shuffle of postings: a folder of many of them spreads over several tasks and files, each with blocks of its own
         placed = rows.select(folder(F.col("term")).alias("folder"), "term", "key", "tf", "n").hint("rebalance", F.col("folder")).sortWithinPartitions("folder", "term", "key")
         part = uuid.uuid4().hex
-        blocks = placed.mapInArrow(cut, f"{_POSTINGS.format(self.kind)}, words long").sortWithinPartitions("folder", "term", "block")
+        blocks = placed.mapInArrow(cut, f"{_POSTINGS.format(self.kind)}, words long").sortWithinPartitions("folder", "block")  # numbers ascend by term
         blocks.write.partitionBy("folder").parquet(f"{self.root}/postings/part={part}")
         stored = self.spark.read.schema(f"{_POSTINGS.format(self.kind)}, words long").parquet(f"{self.root}/postings/part={part}")
-        stored.groupBy("term", "folder").agg(F.sum(F.size("tfs")).alias("df")).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.root}/terms/part={part}")
         sizes = docs.agg(F.count("*").alias("docs"), F.count("text").alias("texts")).crossJoin(stored.agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("words")))  # one row each
         sizes.select("docs", "words", "texts").coalesce(1).write.parquet(f"{self.root}/_sizes-{part}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -94,13 +93,13 @@ class TextIndex:
         return self._of(self._read("postings", _POSTINGS.format(self.kind)), terms)
 
     def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
-        folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(folder(F.col("term"))).distinct().collect()] if terms else []
+        folders = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term")).select(folder(F.col("term"))).distinct().collect()] if terms else []
         return rows.where(F.col("folder").isin(folders) & F.col("term").isin(terms))
 
     def weights(self, terms: list[str]) -> tuple[dict[str, float], float]:
         """The inverse document frequency of each term that occurs, and the mean length, over all parts."""
         docs, words, texts = self._read("sizes", "").agg(F.sum("docs"), F.sum("words"), F.sum("texts")).first()
-        df = self._of(self._read("terms", "term string, df long, folder int"), terms).groupBy("term").agg(F.sum("df").alias("df"))
+        df = self.postings(terms).groupBy("term").agg(F.sum("docs").alias("df"))  # of the blocks, only term and docs are read
         rows = df.select("term", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))).collect()  # one row for each term
         return dict(map(tuple, rows)), float(words or 0) / (texts or 1) or 1.0
 

@@ -1,6 +1,7 @@
 """Stored indexes of vectors and of terms against exact search."""
 
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -152,3 +153,15 @@ def test_postings_are_shuffled_once(spark, tmp_path):
     assert 0 < written() - before < 40 * 2400 * 248
     exp = rounded(hybrid.bm25(docs, "doc_id", "text", ["w1", "w2", "w77"]))
     assert rounded(index.scores(["w1", "w2", "w77"])) == exp and {5, None} <= set(exp)
+
+
+def test_document_frequencies_are_those_of_blocks(spark, texts, terms_index):
+    """Postings are not read and shuffled again for frequencies by term; blocks have them, and weights sum them over parts."""
+    assert {x.name for x in Path(terms_index.root).iterdir()} == {"postings", "sizes"}
+    assert terms_index.postings(["the", "cat"]).where("docs <> size(keys) or docs > 128").count() == 0
+    words = texts.where("text is not null").select("doc_id", F.explode(hybrid.words(F.col("text"))).alias("w"))
+    df = {r.w: r.n for r in words.where("w in ('the', 'cat')").groupBy("w").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    assert {r.term: r.n for r in terms_index.postings(["the", "cat"]).groupBy("term").agg(F.sum("docs").alias("n")).collect()} == df
+    idf, _ = terms_index.weights(["the", "cat", "none"])
+    docs = texts.count()
+    assert {t: round(x, 9) for t, x in idf.items()} == {t: round(float(np.log(1 + (docs - n + 0.5) / (n + 0.5))), 9) for t, n in df.items()}
